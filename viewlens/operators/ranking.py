@@ -44,7 +44,8 @@ def rank_below(df: DataFrame, order_cols: Sequence[str], group_cols: Sequence[st
     first = order_cols[0]
     probs = [i / buckets for i in range(1, buckets)]
     bounds = d.groupBy(*group_cols).agg(
-        F.percentile_approx(first, probs, accuracy).alias("_bounds"),
+        # duplicate bounds collapse, so a small group carries a short array
+        F.array_distinct(F.percentile_approx(first, probs, accuracy)).alias("_bounds"),
         F.sum("_cnt").alias("_n"))
     if group_cols:
         # groups x buckets values; the optimizer broadcasts it when small
