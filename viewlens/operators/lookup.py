@@ -20,7 +20,9 @@ class QuotaExceeded(Exception):
 
 def category_dimension(spark: SparkSession) -> DataFrame:
     """The fixed category dimension as a 32-row DataFrame."""
-    return spark.createDataFrame(S.CATEGORIES, "category_id string, category_name string")
+    rows = [F.struct(F.lit(k).alias("category_id"), F.lit(v).alias("category_name"))
+            for k, v in S.CATEGORIES]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def distinct_ids(watch: DataFrame, key: str = "video_id") -> DataFrame:
