@@ -197,14 +197,15 @@ def transcripts(segments: DataFrame, key: str = "video_id", seq: str = "seq", te
     Every segment's start offset in the joined text comes from the weighted
     exact rank (weight = length + 1), so the full length counts every
     segment and the truncated text is assembled from the segments that
-    start before ``limit`` (at most limit + 1 of them) - no task ever
+    start at or before ``limit`` (at most limit + 1 of them) - no task ever
     holds a whole long transcript.
     """
     seg = segments.select(key, seq, F.coalesce(F.col(text), F.lit("")).alias("_t")).withColumn(
         "_w", F.length("_t") + 1)
     r = rank_below(seg, [seq, "_t"], [key], weight="_w")
     full = r.groupBy(key).agg((F.max("_n") - 1).alias("full_length"))
-    head = (r.filter(F.col("_below") < limit)
+    # a segment starting at offset `limit` still puts its leading space in the prefix
+    head = (r.filter(F.col("_below") <= limit)
             .groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(seq), F.col("_t")))).alias("_s")))
     joined = F.array_join(F.transform("_s", lambda x: x["_t"]), " ")
     out = head.join(full, key).select(key, "full_length", joined.alias("_j"))
