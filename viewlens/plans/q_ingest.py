@@ -363,3 +363,26 @@ def q_chart_feeds(spark, base):
     y = spark.read.parquet(p2).select(F.lit("events_by_year").alias("feed"), F.col("year").cast("string").alias("k"),
                                       F.col("events").cast("double").alias("value"))
     return m.unionByName(y)
+
+
+@register("stream_ingest", """SELECT CAST(p_partkey AS VARCHAR) AS video_id,
+  CASE WHEN p_type = 'PROMO' THEN '[unavailable]' ELSE p_name END AS api_title,
+  CASE WHEN p_type = 'PROMO' THEN NULL ELSE regexp_extract(p_brand, '#(\\d+)', 1) END AS category_id,
+  CASE WHEN p_type = 'PROMO' THEN NULL ELSE CAST(p_size AS BIGINT) * 60 END AS duration_seconds FROM part""")
+def q_stream_ingest(spark, base):
+    """I1 as a stream: responses land in two drops (small parts, then large
+    ones, plus a replay of the first drop); each availableNow run appends
+    only new ids, so the store ends with every part exactly once."""
+    from viewlens.streaming import incremental as ST
+    landing, store = scratch_path(spark, "landing"), scratch_path(spark, "stream-store")
+    ckpt = scratch_path(spark, "stream-ckpt")
+    resp = part_response(spark, base).withColumn("_size", F.col("requested")[0].cast("long"))
+    sizes = io.read_table(spark, base, "part").select(F.col("p_partkey").alias("_size"), "p_size")
+    resp = resp.join(sizes, "_size")
+    first = resp.filter(F.col("p_size") <= 25)
+    ST.land(first, landing)
+    ST.ingest_landed(spark, landing, store, ckpt)
+    ST.land(resp.filter(F.col("p_size") > 25), landing)
+    ST.land(first, landing)  # the same responses landed again
+    ST.ingest_landed(spark, landing, store, ckpt)
+    return ST.store_rows(spark, store).select("video_id", "api_title", "category_id", "duration_seconds")
