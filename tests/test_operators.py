@@ -348,3 +348,12 @@ def test_selection(spark):
     assert len(p3) == 3 and all(r.is_scored for r in p3)
     p6 = SM.priority(ten, scored, 6).collect()
     assert sum(r.is_scored for r in p6) == 4 and len(p6) == 6
+
+
+def test_large_sample_uses_distributed_rank(spark, monkeypatch):
+    monkeypatch.setattr(SM, "TOP_K_LIMIT", 5)
+    ids = spark.range(500).select(F.col("id").cast("string").alias("video_id"))
+    big = sorted(r[0] for r in SM.seeded(ids, 40).collect())
+    monkeypatch.setattr(SM, "TOP_K_LIMIT", 10_000)
+    small = sorted(r[0] for r in SM.seeded(ids.repartition(7), 40).collect())
+    assert len(big) == 40 and big == small

@@ -202,7 +202,8 @@ def transcripts(segments: DataFrame, key: str = "video_id", seq: str = "seq", te
     """
     seg = segments.select(key, seq, F.coalesce(F.col(text), F.lit("")).alias("_t")).withColumn(
         "_w", F.length("_t") + 1)
-    r = rank_below(seg, [seq, "_t"], [key], weight="_w")
+    # most transcripts have few segments: 64 buckets still split a huge one 64 ways
+    r = rank_below(seg, [seq, "_t"], [key], weight="_w", buckets=64)
     full = r.groupBy(key).agg((F.max("_n") - 1).alias("full_length"))
     # a segment starting at offset `limit` still puts its leading space in the prefix
     head = (r.filter(F.col("_below") <= limit)

@@ -2,8 +2,10 @@
 (P22, J3, J4, J9, T6-T8, U1).
 
 Samples are deterministic: rows are ordered by a 60-bit key taken from
-md5('<id>:<seed>') (then the id) and the first n are kept. The cut is made
-with the distributed exact rank, so n may be any size and no task or
+md5('<id>:<seed>') (then the id) and the first n are kept. Up to
+``TOP_K_LIMIT`` rows the cut is Spark's top-k (each task keeps its n best,
+one small merge: at most n x partitions rows move); beyond that it is made
+with the distributed exact rank, so n may be any size and no task or the
 driver gathers the candidates.
 """
 
@@ -16,6 +18,15 @@ from viewlens import schemas as S
 from viewlens.functions import columns as C
 from viewlens.operators.ranking import first_n_by_rank
 
+TOP_K_LIMIT = 10_000
+
+
+def first_n(df: DataFrame, order_cols: list[str], n: int) -> DataFrame:
+    """The first n rows in order_cols order (keys unique per row)."""
+    if n <= TOP_K_LIMIT:
+        return df.orderBy(*order_cols).limit(n)
+    return first_n_by_rank(df, order_cols, n)
+
 
 def available(meta: DataFrame) -> DataFrame:
     """Drop the unavailable sentinel; NULL titles stay (TR9)."""
@@ -34,7 +45,7 @@ def seeded(df: DataFrame, n: int | None, key: str = "video_id", seed: int = 42)
     if not n:
         return df
     keyed = df.withColumn("_h", C.md5_rank_key(key, seed))
-    return first_n_by_rank(keyed, ["_h", key], n).drop("_h")
+    return first_n(keyed, ["_h", key], n).drop("_h")
 
 
 def with_scored_flag(items: DataFrame, scored: DataFrame, key: str = "video_id") -> DataFrame:
@@ -54,7 +65,7 @@ def priority(items: DataFrame, scored: DataFrame, n: int | None, key: str = "vid
     pk = F.when(F.col("is_scored"), F.lit(0)).otherwise(F.lit(1 << 60)).cast("long") \
         + C.md5_rank_key(key, seed)
     keyed = flagged.withColumn("_p", pk)
-    return first_n_by_rank(keyed, ["_p", key], n).drop("_p")
+    return first_n(keyed, ["_p", key], n).drop("_p")
 
 
 def pool_union(*pools: DataFrame) -> DataFrame:
