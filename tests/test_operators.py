@@ -357,3 +357,13 @@ def test_large_sample_uses_distributed_rank(spark, monkeypatch):
     monkeypatch.setattr(SM, "TOP_K_LIMIT", 10_000)
     small = sorted(r[0] for r in SM.seeded(ids.repartition(7), 40).collect())
     assert len(big) == 40 and big == small
+
+
+def test_dedupe_first_by_order_tuple(spark):
+    # a hot key holding most rows, ties on the first order column broken by the second
+    rows = [("hot", 5, i, f"r{i}") for i in range(300, 0, -1)] + [("hot", 4, 9, "win"), ("cold", 1, 2, "b"),
+                                                                   ("cold", 1, 1, "a")]
+    df = spark.createDataFrame(rows, "video_id string, o1 long, o2 long, v string").repartition(5)
+    got = {r.video_id: (r.o1, r.o2, r.v) for r in history.dedupe_first(df, "video_id", ["o1", "o2"]).collect()}
+    assert got == {"hot": (4, 9, "win"), "cold": (1, 1, "a")}
+    assert history.dedupe_first(df, "video_id").count() == 2

@@ -8,14 +8,16 @@ from pyspark.sql import functions as F
 from viewlens.functions import columns as C
 
 
-def dedupe_first(meta: DataFrame, key: str = "video_id", order: str | None = None) -> DataFrame:
-    """W4/TR18: one row per key. With an ingest-order column the first row wins
-    (max_by/min_by is partially aggregated, so a hot key is not one task's
-    sort); without one, any row."""
+def dedupe_first(meta: DataFrame, key: str = "video_id",
+                 order: str | list[str] | None = None) -> DataFrame:
+    """W4/TR18: one row per key. With ingest-order column(s) the first row wins
+    (min_by over the order tuple is partially aggregated, so a hot key is not
+    one task's sort); without one, any row."""
     if order is None:
         return meta.dropDuplicates([key])
+    order = [order] if isinstance(order, str) else list(order)
     others = [c for c in meta.columns if c != key]
-    packed = F.min_by(F.struct(*[F.col(c) for c in others]), F.col(order))
+    packed = F.min_by(F.struct(*[F.col(c) for c in others]), F.struct(*[F.col(c) for c in order]))
     return meta.groupBy(key).agg(packed.alias("_r")).select(key, "_r.*")
 
 

@@ -30,7 +30,7 @@ def totals(enriched: DataFrame, ts: str = "timestamp") -> DataFrame:
 
 
 def yearly(enriched: DataFrame, ts: str = "timestamp") -> DataFrame:
-    """Per year (NULL year excluded, TR6)."""
+    """Per year (NULL year excluded, TR6; whole 24-hour days, TR7)."""
     g = (enriched.filter(F.col("year").isNotNull()).groupBy("year")
          .agg(F.count(F.lit(1)).alias("events"), hours_sum().alias("hours"),
               F.min(ts).alias("_first"), F.max(ts).alias("_last")))

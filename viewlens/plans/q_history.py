@@ -101,6 +101,24 @@ def q_head_sample(spark, base):
                                ["timestamp", "video_id", "channel_name", "type"], 3)
 
 
+FIRST_ORDER = ["l_orderkey", "l_linenumber", "channel_name", "timestamp"]
+
+
+@register("first_per_key", """SELECT video_id, l_orderkey, l_linenumber, channel_name, "timestamp", type,
+  l_quantity FROM (SELECT l_partkey AS video_id, l_orderkey, l_linenumber, l_suppkey AS channel_name,
+    l_shipdate AS "timestamp", l_returnflag AS type, l_quantity, row_number() OVER (
+      PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_shipdate) AS rn
+  FROM lineitem) WHERE rn = 1""")
+def q_first_per_key(spark, base):
+    """The first row per video in ingest order; (orderkey, linenumber)
+    alone repeats in the driver data, so the whole tuple orders."""
+    li = io.read_table(spark, base, "lineitem").select(
+        F.col("l_partkey").alias("video_id"), "l_orderkey", "l_linenumber",
+        F.col("l_suppkey").alias("channel_name"), F.col("l_shipdate").alias("timestamp"),
+        F.col("l_returnflag").alias("type"), "l_quantity")
+    return history.dedupe_first(li, "video_id", FIRST_ORDER)
+
+
 @register("dimension_scan", with_ctes(V.META_SQL, V.category_values_sql()) + """SELECT d.category_id,
   d.category_name, count(m.video_id) AS videos FROM catdim d LEFT JOIN meta m USING (category_id)
   GROUP BY d.category_id, d.category_name""")
