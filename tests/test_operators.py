@@ -367,3 +367,19 @@ def test_dedupe_first_by_order_tuple(spark):
     got = {r.video_id: (r.o1, r.o2, r.v) for r in history.dedupe_first(df, "video_id", ["o1", "o2"]).collect()}
     assert got == {"hot": (4, 9, "win"), "cold": (1, 1, "a")}
     assert history.dedupe_first(df, "video_id").count() == 2
+
+
+def test_bucket_of_matches_counting(spark):
+    import random
+    from viewlens.operators.ranking import bucket_of
+    rnd = random.Random(7)
+    rows = []
+    for buckets in (2, 3, 5, 64, 256):
+        for _ in range(40):
+            arr = sorted(rnd.sample(range(-50, 50), rnd.randint(0, min(buckets - 1, 60))))
+            x = rnd.randint(-60, 60) if rnd.random() < 0.7 else rnd.choice(arr or [0])  # exact ties
+            rows.append((buckets, arr, x, sum(b < x for b in arr)))
+    df = spark.createDataFrame(rows, "buckets int, b array<long>, x long, want long")
+    for buckets in (2, 3, 5, 64, 256):
+        got = bucket_of(df.filter(F.col("buckets") == buckets), "b", "x", buckets, "k")
+        assert got.filter(F.col("k") != F.col("want")).count() == 0

@@ -54,8 +54,7 @@ def rank_below(df: DataFrame, order_cols: Sequence[str], group_cols: Sequence[st
         # one row of `buckets` values: size is fixed, safe to broadcast
         withb = (d.withColumn("_k", F.lit(0))
                  .join(F.broadcast(bounds.withColumn("_k", F.lit(0))), "_k").drop("_k"))
-    withb = withb.withColumn(
-        "_bucket", F.size(F.filter("_bounds", lambda b: b < F.col(first)))).drop("_bounds")
+    withb = bucket_of(withb, "_bounds", first, buckets).drop("_bounds")
 
     totals = withb.groupBy(*group_cols, "_bucket").agg(F.sum("_cnt").alias("_bcnt"))
     wb = Window.partitionBy(*group_cols).orderBy("_bucket").rowsBetween(
@@ -75,6 +74,27 @@ def rank_below(df: DataFrame, order_cols: Sequence[str], group_cols: Sequence[st
         (F.col("_off") + F.sum("_cnt").over(wi) - F.col("_cnt")).alias("_below"))
 
 
+def bucket_of(df: DataFrame, bounds: str, value: str, buckets: int, out: str = "_bucket") -> DataFrame:
+    """Add ``out`` = number of elements of the ascending array ``bounds``
+    (at most ``buckets - 1`` long) that are below ``value``.
+
+    A binary search in plain column expressions: log2(buckets) compares per
+    row inside whole-stage codegen. (A ``filter`` lambda over the array is
+    interpreted and allocates per row; it measured ~25x slower on 40M rows.)
+    Probes past the end of a short array are NULL and never advance.
+    """
+    step = 1
+    while step * 2 < buckets:
+        step *= 2
+    df = df.withColumn(out, F.lit(0))
+    while step >= 1:
+        probe = F.try_element_at(F.col(bounds), F.col(out) + F.lit(step))
+        df = df.withColumn(out, F.when(probe < F.col(value), F.col(out) + F.lit(step))
+                           .otherwise(F.col(out)))
+        step //= 2
+    return df
+
+
 def exact_median(df: DataFrame, value: str, group_cols: Sequence[str] = (),
                  buckets: int = DEFAULT_BUCKETS) -> DataFrame:
     """(group_cols, median) with the interpolated median of non-null ``value``
