@@ -17,6 +17,26 @@ def test_video_id(spark):
     assert one_col(spark, urls, C.video_id) == ["AAA", "B b", None, None, "a b", None, None, "a b|c"]
 
 
+def test_query_param_matches_split_rule(spark):
+    """The regex form against the rule it encodes: split the query on '&',
+    the first pair starting with 'v=' that has a value."""
+    from urllib.parse import unquote_plus
+
+    def rule(u):
+        q = u.split("#")[0].split("?", 1)
+        if len(q) < 2 or "#" in u.split("?")[0]:
+            return None
+        for pair in q[1].split("&"):
+            if pair.startswith("v=") and len(pair) > 2:
+                return unquote_plus(pair[2:])
+        return None
+
+    urls = ["https://x/w?v=&v=x", "https://x/w?xv=1&v=2", "https://x/w?&&v=q&v=r", "https://x/w?",
+            "https://x/w?v", "https://x/w?v==e", "https://x/w?a=1&vv=2", "https://x/w?a=v=3",
+            "https://x/w?v=%41%2B", "https://x/w?q=1&v=k#v=no", "https://x/w?v=&"]
+    assert one_col(spark, urls, C.video_id) == [rule(u) for u in urls]
+
+
 def test_iso_duration(spark):
     isos = ["PT1H2M3S", "PT15M", "PT45S", "PT2H5S", "PT", "", "P1DT2H", "P0D", "PT1.5S", None]
     assert one_col(spark, isos, C.iso_duration_seconds) == [3723, 900, 45, 7205, 0, 0, 0, 0, 0, 0]

@@ -7,6 +7,7 @@ whole-stage-codegen span. Operator ids refer to the README's map.
 from __future__ import annotations
 
 import html
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -54,10 +55,9 @@ def query_param(url, name: str) -> Column:
     split on '&'; a pair counts only when it has a non-empty raw value.
     """
     query = F.regexp_extract(col(url), r"^[^?#]*\?([^#]*)", 1)
-    prefix = f"{name}="
-    hits = F.filter(F.split(query, "&"),
-                    lambda x: x.startswith(prefix) & (F.length(x) > len(prefix)))
-    raw = F.substring(F.get(hits, 0), len(prefix) + 1, 1 << 30)
+    # leftmost pair '<name>=<one or more non-&>': a regex match stays in codegen
+    # (no per-row array and lambda)
+    raw = F.nullif(F.regexp_extract(query, rf"(?:^|&){re.escape(name)}=([^&]+)", 1), F.lit(""))
     plus = F.replace(raw, F.lit("+"), F.lit(" "))
     return F.coalesce(F.try_url_decode(plus), plus)
 
