@@ -30,9 +30,8 @@ def window_specs(text):
     return out
 
 
-@pytest.mark.parametrize("name", ["engagement_metrics", "engagement_lookup", "view_percentile", "seeded_sample",
-                                  "priority_sample", "pool_union", "category_context", "transcripts",
-                                  "trace_summary"])
+@pytest.mark.parametrize("name", ["engagement_metrics", "engagement_lookup", "view_percentile",
+                                  "category_context", "transcripts", "trace_summary"])
 def test_no_unpartitioned_window_over_data(spark, name):
     """The only window without a partition key runs over the bucket totals
     (at most `buckets` rows); every window over data rows is partitioned."""
@@ -42,6 +41,22 @@ def test_no_unpartitioned_window_over_data(spark, name):
         assert partitioned or "_bcnt" in line, line
 
 
+@pytest.mark.parametrize("name", ["seeded_sample", "priority_sample", "pool_union", "plain_sample"])
+def test_small_samples_are_bounded_top_k(spark, name):
+    """n <= TOP_K_LIMIT: each task keeps its n best (TakeOrderedAndProject),
+    no window and no global sort of the candidates."""
+    p = plan(QUERIES[name](spark, SF001))
+    assert "TakeOrderedAndProject" in p
+    assert "Window [" not in p
+
+
+def test_global_ranks_join_no_cross_product(spark):
+    """Table-wide bounds and totals are scalar subqueries, not joins."""
+    for name in ["view_percentile", "engagement_metrics", "score_summary"]:
+        p = plan(QUERIES[name](spark, SF001))
+        assert "BroadcastNestedLoopJoin" not in p and "CartesianProduct" not in p, name
+
+
 def test_category_lookup_is_not_a_join(spark):
     p = plan(QUERIES["watch_enriched"](spark, SF001))
     assert p.count("Join") == 1  # the metadata join only; names come from a literal map

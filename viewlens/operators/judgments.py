@@ -99,9 +99,10 @@ def summary(validated: DataFrame, labels: DataFrame) -> DataFrame:
     totals = c.agg(F.coalesce(F.sum(F.when(ok, F.col("n"))), F.lit(0)).cast("long").alias("scored"),
                    F.coalesce(F.sum(F.when(~ok, F.col("n"))), F.lit(0)).cast("long").alias("errors"))
     counts = c.filter(ok).select("triage_label", F.col("n").alias("label_count"))
-    # one row of run totals: fixed size, broadcast on a constant key
-    j = (labels.join(counts, "triage_label", "left").withColumn("_k", F.lit(0))
-         .join(F.broadcast(totals.withColumn("_k", F.lit(0))), "_k", "left"))
+    # one row of run totals: a scalar subquery, run once (no join)
+    one = totals.select(F.struct("scored", "errors").alias("_t")).scalar()
+    j = (labels.join(counts, "triage_label", "left").withColumn("_t", one)
+         .select("*", "_t.scored", "_t.errors"))
     n = F.coalesce("label_count", F.lit(0).cast("long"))
     return j.select("triage_label", n.alias("label_count"),
                     F.when(F.col("scored") > 0, C.round_ratio(n * 100, F.col("scored"), 1))

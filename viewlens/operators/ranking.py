@@ -51,9 +51,10 @@ def rank_below(df: DataFrame, order_cols: Sequence[str], group_cols: Sequence[st
         # groups x buckets values; the optimizer broadcasts it when small
         withb = d.join(bounds, group_cols)
     else:
-        # one row of `buckets` values: size is fixed, safe to broadcast
-        withb = (d.withColumn("_k", F.lit(0))
-                 .join(F.broadcast(bounds.withColumn("_k", F.lit(0))), "_k").drop("_k"))
+        # one row of at most `buckets` values: an uncorrelated scalar
+        # subquery, run once and inlined into the projection (no join)
+        one = bounds.select(F.struct("_bounds", "_n").alias("_s")).scalar()
+        withb = d.withColumn("_s", one).select("*", "_s._bounds", "_s._n").drop("_s")
     withb = bucket_of(withb, "_bounds", first, buckets).drop("_bounds")
 
     totals = withb.groupBy(*group_cols, "_bucket").agg(F.sum("_cnt").alias("_bcnt"))
