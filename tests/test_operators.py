@@ -383,3 +383,20 @@ def test_bucket_of_matches_counting(spark):
     for buckets in (2, 3, 5, 64, 256):
         got = bucket_of(df.filter(F.col("buckets") == buckets), "b", "x", buckets, "k")
         assert got.filter(F.col("k") != F.col("want")).count() == 0
+
+
+def test_exact_medians_one_pass_matches_brute_force(spark):
+    import random
+    import statistics
+    from viewlens.operators.ranking import exact_medians
+    rnd = random.Random(11)
+    # group 0 is hot (a third of all rows share one value); y is NULL for group 2
+    rows = [(0, 7, rnd.randint(0, 9)) for _ in range(900)] + \
+        [(g, rnd.randint(0, 50), None if g == 2 else rnd.randint(0, 9)) for g in (0, 1, 2) for _ in range(600)]
+    df = spark.createDataFrame(rows, "g int, x long, y long")
+    got = {r.g: (r.median_x, r.median_y) for r in exact_medians(df, ["x", "y"], ["g"], buckets=8).collect()}
+    for g in (0, 1, 2):
+        xs = [x for gg, x, _ in rows if gg == g]
+        ys = [y for gg, _, y in rows if gg == g and y is not None]
+        assert got[g][0] == statistics.median(xs)
+        assert got[g][1] == (statistics.median(ys) if ys else None)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from viewlens import schemas as S
 from viewlens.functions import columns as C
-from viewlens.operators.ranking import exact_median, rank_below
+from viewlens.operators.ranking import exact_medians, rank_below
 
 # --- channel patterns (A17-A21) ---------------------------------------------
 
@@ -139,16 +139,16 @@ def category_context(watch: DataFrame, meta: DataFrame, key: str = "video_id") -
     cm = meta.select(C.canonical_category("category_id").alias("category_id"),
                      C.to_long("view_count").alias("views"),
                      C.to_long("like_count").alias("likes")).filter(F.col("category_id").isNotNull())
-    mv = exact_median(cm, "views", ["category_id"]).withColumnRenamed("median", "_mv")
-    ml = exact_median(cm, "likes", ["category_id"]).withColumnRenamed("median", "_ml")
+    # both medians from one rank pass (one row per category and metric)
+    meds = exact_medians(cm, ["views", "likes"], ["category_id"])
     cats = cm.select("category_id").distinct()
-    j = cats.join(cw, "category_id", "left").join(mv, "category_id", "left").join(ml, "category_id", "left")
+    j = cats.join(cw, "category_id", "left").join(meds, "category_id", "left")
     return j.select(
         "category_id", C.category_name("category_id", default=None).alias("category_name"),
         F.coalesce("total_watches", F.lit(0).cast("long")).alias("total_watches"),
         "unique_videos",
-        F.col("_mv").try_cast("bigint").alias("median_views"),
-        F.col("_ml").try_cast("bigint").alias("median_likes"))
+        F.col("median_views").try_cast("bigint").alias("median_views"),
+        F.col("median_likes").try_cast("bigint").alias("median_likes"))
 
 
 def category_top_channels(watch: DataFrame, meta: DataFrame, key: str = "video_id",

@@ -112,6 +112,19 @@ def exact_median(df: DataFrame, value: str, group_cols: Sequence[str] = (),
     return picked.select(*group_cols, (lo + (hi - lo) / 2).alias("median"))
 
 
+def exact_medians(df: DataFrame, values: Sequence[str], group_cols: Sequence[str] = (),
+                  buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+    """(group_cols, median_<value>...) for several value columns of one type
+    in a single rank pass: the columns are stacked as (metric, value) rows
+    and ranked per (group, metric), then folded back per group."""
+    group_cols = list(group_cols)
+    stacked = df.select(*group_cols, F.inline(F.array(*[
+        F.struct(F.lit(i).alias("_m"), F.col(v).alias("_v")) for i, v in enumerate(values)])))
+    med = exact_median(stacked, "_v", [*group_cols, "_m"], buckets)
+    return med.groupBy(*group_cols).agg(*[
+        F.max(F.when(F.col("_m") == i, F.col("median"))).alias(f"median_{v}") for i, v in enumerate(values)])
+
+
 def first_n_by_rank(df: DataFrame, order_cols: Sequence[str], n: int,
                     group_cols: Sequence[str] = ()) -> DataFrame:
     """Rows of ``df`` whose (order_cols) key is among the first ``n`` in the
