@@ -176,12 +176,15 @@ def test_validate(spark):
 def test_summary(spark):
     v = spark.createDataFrame([("a", "ok", "deep"), ("b", "ok", "deep"), ("c", "ok", "mixed"),
                                ("d", "json_error", None)], "video_id string, status string, triage_label string")
-    out = {r.triage_label: r for r in J.summary(v, J.label_dimension(spark)).collect()}
+    out = {r.triage_label: r for r in J.summary(v).collect()}
     assert (out["deep"].label_count, out["deep"].pct) == (2, 66.7)
     assert out["mixed"].pct == 33.3 and out["shallow"].label_count == 0 and out["useful"].pct == 0.0
     assert out["deep"].scored == 3 and out["deep"].errors == 1
-    none = J.summary(v.filter("status <> 'ok'"), J.label_dimension(spark)).collect()
+    none = J.summary(v.filter("status <> 'ok'")).collect()
     assert all(r.pct == 0.0 for r in none)
+    empty = J.summary(v.filter("false")).collect()
+    assert sorted(r.triage_label for r in empty) == sorted(S.TRIAGE_LABELS)
+    assert all((r.label_count, r.scored, r.errors) == (0, 0, 0) for r in empty)
 
 
 def test_evaluation_text(spark):

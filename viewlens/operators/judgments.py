@@ -90,29 +90,27 @@ def rejects_by_reason(validated: DataFrame) -> DataFrame:
             .agg(F.sum("n").alias("rows")))
 
 
-def summary(validated: DataFrame, labels: DataFrame) -> DataFrame:
-    """A27 + T5: per label (zeros kept): count, percent of scored (1 dp),
-    and the run's scored / error totals. ``labels`` is the 4-row label
-    dimension (``label_dimension``)."""
+def summary(validated: DataFrame, labels: list[str] | tuple[str, ...] = S.TRIAGE_LABELS) -> DataFrame:
+    """A27 + T5: per label of the vocabulary (zeros kept): count, percent of
+    scored (1 dp), and the run's scored / error totals.
+
+    Everything comes from the outcome counts (at most statuses x labels
+    rows) folded into one row, then spread over the fixed label list: one
+    chain, so the validated rows are evaluated once, with no join.
+    """
     c = outcome_counts(validated)
     ok = F.col("status") == "ok"
-    totals = c.agg(F.coalesce(F.sum(F.when(ok, F.col("n"))), F.lit(0)).cast("long").alias("scored"),
-                   F.coalesce(F.sum(F.when(~ok, F.col("n"))), F.lit(0)).cast("long").alias("errors"))
-    counts = c.filter(ok).select("triage_label", F.col("n").alias("label_count"))
-    # one row of run totals: a scalar subquery, run once (no join)
-    one = totals.select(F.struct("scored", "errors").alias("_t")).scalar()
-    j = (labels.join(counts, "triage_label", "left").withColumn("_t", one)
-         .select("*", "_t.scored", "_t.errors"))
-    n = F.coalesce("label_count", F.lit(0).cast("long"))
-    return j.select("triage_label", n.alias("label_count"),
-                    F.when(F.col("scored") > 0, C.round_ratio(n * 100, F.col("scored"), 1))
-                    .otherwise(F.lit(0.0)).alias("pct"), "scored", "errors")
-
-
-def label_dimension(spark) -> DataFrame:
-    """The 4-row label vocabulary as a JVM-side literal table."""
-    return spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in S.TRIAGE_LABELS]))
-                                 .alias("triage_label"))
+    one = c.agg(
+        F.map_from_entries(F.collect_list(F.when(ok & F.col("triage_label").isNotNull(),
+                                                 F.struct("triage_label", "n")))).alias("_counts"),
+        F.coalesce(F.sum(F.when(ok, F.col("n"))), F.lit(0)).cast("long").alias("scored"),
+        F.coalesce(F.sum(F.when(~ok, F.col("n"))), F.lit(0)).cast("long").alias("errors"))
+    per = one.select(F.explode(F.array(*[F.lit(x) for x in labels])).alias("triage_label"),
+                     "_counts", "scored", "errors")
+    n = F.coalesce(F.try_element_at(F.col("_counts"), F.col("triage_label")), F.lit(0)).cast("long")
+    return per.select("triage_label", n.alias("label_count"),
+                      F.when(F.col("scored") > 0, C.round_ratio(n * 100, F.col("scored"), 1))
+                      .otherwise(F.lit(0.0)).alias("pct"), "scored", "errors")
 
 
 def score_rows(valid: DataFrame, titles: DataFrame, model: str, scored_at,

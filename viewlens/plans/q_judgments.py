@@ -148,7 +148,7 @@ def q_judgment_rejects(spark, base):
   LEFT JOIN c USING (triage_label) CROSS JOIN t""")
 def q_score_summary(spark, base):
     """A27 + T5: label counts with zeros, percents, scored and errors."""
-    return J.summary(validated(spark, base), J.label_dimension(spark))
+    return J.summary(validated(spark, base))
 
 
 @register("score_rows", RESP + f""", d AS (SELECT doc_id AS video_id, text AS title FROM documents)
