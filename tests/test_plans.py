@@ -74,3 +74,14 @@ def test_scan_pruning_and_pushdown(spark):
 def test_top_channels_uses_group_limit(spark):
     p = plan(QUERIES["category_top_channels"](spark, SF001))
     assert "WindowGroupLimit" in p
+
+
+def test_sized_conf_scales_with_input(spark):
+    from viewlens.session import input_bytes, sized_conf
+    small = sized_conf(10 << 20, 8)
+    assert small["spark.sql.shuffle.partitions"] == "24"  # floor: 3 per core
+    big = sized_conf(100 * (1 << 40), 8000)  # 100 TB on 1000 x 8 cores
+    assert int(big["spark.sql.shuffle.partitions"]) == 204800  # 25 TB of shuffle / 128 MB
+    assert int(big["spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes"]) == 4 * (128 << 20)
+    li = spark.read.parquet(f"{SF001}/lineitem.parquet")
+    assert input_bytes(li) > 0

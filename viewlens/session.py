@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 import uuid
@@ -67,3 +68,42 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def shuffle_partitions_from_env(default: int = 8) -> int:
     return int(os.environ.get("VIEWLENS_SHUFFLE_PARTITIONS", default))
+
+
+def sized_conf(input_bytes: int, cores: int, partition_bytes: int = 128 << 20,
+               shuffle_fraction: float = 0.25) -> dict[str, str]:
+    """Partition settings for a run over ``input_bytes`` of parquet on
+    ``cores`` executor cores.
+
+    Scan splits are ``partition_bytes``. The initial shuffle partition count
+    is sized so each shuffle partition holds about ``partition_bytes`` of the
+    (projected, partially aggregated) shuffle data, at least 3 per core; AQE
+    coalesces small ones back, and splits a partition past four times that
+    size when a hot key skews a join.
+    """
+    est = max(1, int(input_bytes * shuffle_fraction))
+    parts = max(3 * cores, math.ceil(est / partition_bytes))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * partition_bytes),
+    }
+
+
+def input_bytes(*dfs) -> int:
+    """Catalyst's size estimate of the given scans (file sizes from the
+    listing; no data is read)."""
+    return sum(int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+               for df in dfs)
+
+
+def apply_sized_conf(spark: SparkSession, *dfs, cores: int | None = None) -> dict[str, str]:
+    """Set ``sized_conf`` for the inputs ``dfs`` on a running session (SQL
+    settings only; they take effect for queries planned afterwards)."""
+    cores = cores or spark.sparkContext.defaultParallelism
+    conf = sized_conf(input_bytes(*dfs), cores)
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    return conf
