@@ -117,10 +117,12 @@ def score_rows(valid: DataFrame, titles: DataFrame, model: str, scored_at,
                key: str = "video_id") -> DataFrame:
     """P28 + P30: output rows with the model tag, a clock value (injectable
     for reproducible runs) and a 60-character title preview."""
-    j = valid.join(titles, key, "left")
+    # cut the preview before the join: the exchange carries 60 characters
+    # per title, not the whole text
+    t = titles.select(key, F.substring(F.col("title"), 1, 60).alias("title_preview"))
+    j = valid.join(t, key, "left")
     return j.select(key, *S.QUALITY_DIMENSIONS, "composite_score", "triage_label", "rationale",
-                    F.lit(model).alias("model"), F.lit(scored_at).alias("scored_at"),
-                    F.substring(F.col("title"), 1, 60).alias("title_preview"))
+                    F.lit(model).alias("model"), F.lit(scored_at).alias("scored_at"), "title_preview")
 
 
 def evaluation_text(meta: DataFrame, key: str = "video_id") -> DataFrame:
