@@ -85,3 +85,14 @@ def test_sized_conf_scales_with_input(spark):
     assert int(big["spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes"]) == 4 * (128 << 20)
     li = spark.read.parquet(f"{SF001}/lineitem.parquet")
     assert input_bytes(li) > 0
+
+
+def test_grouped_bounds_join_is_broadcast_at_runtime(spark):
+    """Few groups (categories): AQE turns the (group) join of the distinct
+    values with their bucket bounds into a broadcast, so a hot category's
+    values are never gathered by one task on the group key."""
+    df = QUERIES["category_context"](spark, SF001)
+    df.write.format("noop").mode("overwrite").save()
+    p = df._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in p.split("\n") if "Join [category_id" in line and "_m#" in line]
+    assert joins and all("BroadcastHashJoin" in line for line in joins), joins
