@@ -11,6 +11,7 @@ def one_col(spark, values, fn, typ="string"):
 
 
 def test_video_id(spark):
+    """P11; TR3 (illegal characters decoded, blank v absent), TR4 (&amp;v is key 'amp;v')."""
     urls = ["https://www.youtube.com/watch?v=AAA", "https://x/w?l=1&v=B%20b&v=c#f",
             "https://x/w?l=1&amp;v=X", "https://x/w?v=", "https://x/w?v=a+b", "https://x/p",
             "https://x/w#?v=z", "https://x/w?v=a b|c"]
@@ -43,6 +44,7 @@ def test_iso_duration(spark):
 
 
 def test_canonical_category_and_names(spark):
+    """P16/P19; TR13: float-like ids are canonicalised once."""
     ids = ["24", "24.0", " 24 ", "23", "34", "99", "", "abc", None, "24.5"]
     canon = one_col(spark, ids, C.canonical_category)
     assert canon == ["24", "24", "24", "23", "34", "99", None, None, None, None]
@@ -66,6 +68,7 @@ def test_export_timestamp(spark):
 
 
 def test_days_floor(spark):
+    """TR7: whole 24-hour periods, not date boundaries."""
     df = spark.createDataFrame([("2023-01-10 09:00:00", "2023-01-12 08:00:00"),
                                 ("2024-01-01 23:00:00", "2024-01-03 01:00:00")], "a string, b string")
     df = df.select(F.col("a").cast("timestamp_ntz").alias("a"), F.col("b").cast("timestamp_ntz").alias("b"))
@@ -73,12 +76,14 @@ def test_days_floor(spark):
 
 
 def test_duration_and_count_text(spark):
+    """P33/P34; TR16: 100+ hours keep every digit (no lpad truncation)."""
     assert one_col(spark, [3723, 123, 59, 360123, 0, -1, None], C.duration_text, "bigint") == [
         "1h02m03s", "2m03s", "0m59s", "100h02m03s", "N/A", "N/A", "N/A"]
     assert one_col(spark, ["1235.5", None, "x", "-7.9"], C.count_text) == ["1,235", "N/A", "N/A", "-7"]
 
 
 def test_round_ratio_half_even(spark):
+    """TR8: exact half-even on the rational value; TR10: x/0 is NULL, not an error."""
     df = spark.createDataFrame([(9, 8), (1, 8), (3, 8), (1, 3), (5, 0)], "n long, d long")
     got = [r[0] for r in df.select(C.round_ratio("n", "d", 2)).collect()]
     assert got == [1.12, 0.12, 0.38, 0.33, None]
@@ -96,3 +101,10 @@ def test_md5_rank_key_order_matches_hex(spark):
     by_h = [r.k for r in sorted(rows, key=lambda r: (r.h, r.k))]
     by_m = [r.k for r in sorted(rows, key=lambda r: (r.m, r.k))]
     assert by_h == by_m
+
+
+def test_numeric_coercion_never_raises(spark):
+    """TR10: bad casts give NULL under ANSI."""
+    vals = ["12", "12.0", "1e3", "", "n/a", None, "9" * 30, " 7 "]
+    assert one_col(spark, vals, C.to_double) == [12.0, 12.0, 1000.0, None, None, None, 1e30, 7.0]
+    assert one_col(spark, vals, C.to_long) == [12, 12, 1000, None, None, None, None, 7]

@@ -9,6 +9,7 @@ from viewlens.operators import evidence as E
 from viewlens.operators import history, ingest, judgments as J, lookup as L, reports
 from viewlens.operators import sampling as SM, traces as TR
 from viewlens.operators.ranking import exact_median, rank_below
+from viewlens.sources import io
 
 CELL = ' mdl-cell"><div ' + S.CONTENT_CELL_OPEN
 CH = "https://www.youtube.com/channel/UC1"
@@ -403,3 +404,41 @@ def test_exact_medians_one_pass_matches_brute_force(spark):
         ys = [y for gg, _, y in rows if gg == g and y is not None]
         assert got[g][0] == statistics.median(xs)
         assert got[g][1] == (statistics.median(ys) if ys else None)
+
+
+
+def test_null_keys_grouping_and_duplicate_metadata(spark):
+    """TR6: NULL year / month / channel rows count in the totals but form no
+    group. TR18: a repeated metadata key does not multiply watch rows."""
+    watch = spark.createDataFrame([("a", ts("2024-01-05 00:00:00")), ("a", None), ("b", None)],
+                                  "video_id string, timestamp timestamp_ntz")
+    meta = spark.createDataFrame([("a", 60, "10"), ("a", 60, "10")],
+                                 "video_id string, duration_seconds long, category_id string")
+    e = history.watch_enriched(watch, meta)
+    assert e.count() == 3
+    assert reports.totals(e).collect()[0].events == 3
+    assert [tuple(r) for r in reports.events_by_year(e).collect()] == [(2024, 1)]
+    assert [r.month for r in reports.monthly_hours(e).collect()] == [dt.date(2024, 1, 1)]
+
+
+def test_channel_trend_null_timestamps_count_in_second_half(spark):
+    """TR17: a NULL watch time is never before the midpoint, so it falls in
+    the second half (total - first half); first/last ignore it."""
+    d = lambda s: ts(s + " 00:00:00")
+    rows = [("X", "a", d("2024-01-01")), ("X", "b", d("2024-01-02")), ("X", "c", d("2024-03-31"))] + \
+        [("X", "n", None)] * 3
+    r = E.channel_patterns(spark.createDataFrame(rows, "channel_name string, video_id string, timestamp timestamp_ntz")) \
+        .collect()[0]
+    assert (r.total_watches, r.span_days) == (6, 90)
+    assert r.first_watch == d("2024-01-01") and r.last_watch == d("2024-03-31")
+    assert r.engagement_trend == "increasing"  # halves 2 / 4: 4 > 2 * 1.5
+
+
+def test_csv_only_empty_field_is_null(spark, tmp_path):
+    """TR11 + TR12: quotes and newlines survive; 'None', 'NA', 'null' stay text."""
+    rows = [(1, "None"), (2, "NA"), (3, "null"), (4, ""), (5, 'say "hi"\nbye'), (6, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    path = str(tmp_path / "csv")
+    io.write_csv(df, path)
+    back = {r.doc_id: r.text for r in io.read_csv(spark, path, "doc_id bigint, text string").collect()}
+    assert back == {1: "None", 2: "NA", 3: "null", 4: None, 5: 'say "hi"\nbye', 6: None}

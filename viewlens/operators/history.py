@@ -31,9 +31,12 @@ def watch_enriched(watch: DataFrame, meta: DataFrame, ts: str = "timestamp") ->
     """J1 + P18 + P19 + P21: watch rows with duration, category, year and month.
 
     Left join on video_id: the metadata side is pruned to three columns
-    (P26); Spark picks broadcast vs. shuffle join from runtime sizes.
+    (P26) and holds one row per video (TR18: a repeated metadata key must
+    not multiply watch rows; the store's keys are unique already, and the
+    de-duplication's partitioning on video_id is the one a shuffle join
+    needs). Spark picks broadcast vs. shuffle join from runtime sizes.
     """
-    m = meta.select("video_id", "duration_seconds", "category_id")
+    m = dedupe_first(meta.select("video_id", "duration_seconds", "category_id"), "video_id")
     return (watch.join(m, "video_id", "left")
             .withColumn("duration_hours", F.col("duration_seconds") / F.lit(3600.0))
             .withColumn("category", C.category_name("category_id"))
