@@ -442,3 +442,22 @@ def test_csv_only_empty_field_is_null(spark, tmp_path):
     io.write_csv(df, path)
     back = {r.doc_id: r.text for r in io.read_csv(spark, path, "doc_id bigint, text string").collect()}
     assert back == {1: "None", 2: "NA", 3: "null", 4: None, 5: 'say "hi"\nbye', 6: None}
+
+
+def test_landed_lookup_calls_each_batch_once(spark, tmp_path):
+    """Resolving reads the responses three times (items, requested ids,
+    missing ids); with the responses landed first, the service is called
+    exactly ceil(n / 50) times for one partition."""
+    log = tmp_path / "calls.log"
+
+    def service(ids, log=str(log)):
+        with open(log, "a") as fh:
+            fh.write(",".join(ids) + "\n")
+        return {"items": [{"id": i, "snippet": {"title": f"t{i}"}} for i in ids if int(i) % 3]}
+
+    ids = spark.range(120).select(F.col("id").cast("string").alias("video_id")).coalesce(1)
+    landed = L.fetch_landed(ids, service, str(tmp_path / "landed"))
+    rows = L.resolve(landed).collect()
+    assert len(rows) == 120
+    assert sum(r.api_title == S.UNAVAILABLE_TITLE for r in rows) == 40
+    assert len(log.read_text().splitlines()) == 3

@@ -94,6 +94,18 @@ def fetch(pending: DataFrame, fetch_fn: Callable[[list[str]], dict], key: str =
     return pending.select(F.col(key).cast("string").alias(key)).mapInPandas(run, LANDED)
 
 
+def fetch_landed(pending: DataFrame, fetch_fn: Callable[[list[str]], dict], landing: str,
+                 key: str = "video_id", batch_size: int = S.LOOKUP_BATCH_SIZE) -> DataFrame:
+    """S9 with each external call made once per run: ``fetch`` runs in one
+    job whose output is written to ``landing`` (a fresh folder under the
+    shared ``spark.checkpoint.dir``; one job commit), and the landed table is
+    returned. ``resolve`` reads its input more than once, so it must read
+    landed rows, never the lazy ``fetch`` (each read would call the service
+    again)."""
+    fetch(pending, fetch_fn, key, batch_size).write.mode("append").parquet(landing)
+    return pending.sparkSession.read.schema(LANDED).parquet(landing)
+
+
 def flatten_items(landed: DataFrame) -> DataFrame:
     """S10 + P12-P14: response JSON -> one row per returned item, META columns.
 

@@ -301,7 +301,8 @@ def lookup_cols(df):
 def q_batched_lookup(spark, base):
     """S9 + W5 + U3: every distinct watched id looked up in batches of 50."""
     pending = L.distinct_ids(V.watch(spark, base))
-    return lookup_cols(L.resolve(L.fetch(pending, arithmetic_service)))
+    landed = L.fetch_landed(pending, arithmetic_service, scratch_path(spark, "landed"))
+    return lookup_cols(L.resolve(landed))
 
 
 @register("incremental_append", LOOKUP_SQL)
@@ -314,7 +315,8 @@ def q_incremental_append(spark, base):
     for service in (BudgetedService(3), arithmetic_service):
         known = io.read_keys(spark, store, schema=S.META)
         pending = L.pending_ids(watch.select(F.col("video_id").cast("string").alias("video_id")), known)
-        io.append(L.resolve(L.fetch(pending, service)), store)
+        landed = L.fetch_landed(pending, service, scratch_path(spark, "landed"))
+        io.append(L.resolve(landed), store)
     io.require(spark, store, "lookup run wrote nothing")
     return lookup_cols(spark.read.parquet(store))
 
