@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from viewlens.functions import columns as C
-from viewlens.operators import history, lookup, reports
+from viewlens.operators import history, reports
 from viewlens.plans import standins as V
 from viewlens.plans.catalog import register, with_ctes
 from viewlens.sources import io

@@ -6,7 +6,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from viewlens import schemas as S
-from viewlens.functions import columns as C
 from viewlens.operators import judgments as J
 from viewlens.operators import sampling as SM
 from viewlens.operators import traces as TR
