@@ -41,3 +41,25 @@ def test_entry_smoke(spark):
     assert len(rows) >= 1
     assert df.columns == ["year", "events", "hours", "cal_days", "hours_per_day"]
     assert SF0001
+
+
+SENSITIVE = ["engagement_metrics", "view_percentile", "category_context", "transcripts", "seeded_sample",
+             "priority_sample", "first_per_key", "trace_summary", "category_top_channels", "score_summary"]
+
+
+@pytest.mark.parametrize("name", SENSITIVE)
+def test_results_do_not_depend_on_partitioning(spark, duck, name):
+    """Same rows with AQE off, sort-merge joins only and an odd partition count."""
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "37",
+            "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        df = QUERIES[name](spark, SF001)
+        got = rows_of(df.columns, [tuple(r) for r in df.collect()])
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    res = duck.execute(ORACLE[name])
+    assert got == rows_of([d[0] for d in res.description], res.fetchall())
