@@ -77,20 +77,34 @@ def engagement_metrics(meta: DataFrame, key: str = "video_id") -> DataFrame:
 
     Percentile = share of the population strictly below (x 100, 1 dp). The
     populations are every non-null view count (W1) and every defined like
-    ratio (W2); both ranks come from ``rank_below``, so no step sorts the
-    whole table in one task.
+    ratio (W2). Both are ranked in one ``rank_below`` pass over stacked
+    (metric, value) rows (views as DOUBLE: exact below 2^53), so no step
+    sorts the whole table in one task. Each video's two values then join
+    their ranks on (metric, value); NULL values are dropped first, so they
+    never pile into one join partition. The fold back per video reuses the
+    dedupe's partitioning on the key.
     """
     m = meta.select(key, C.to_long("view_count").alias("views"),
                     C.to_long("like_count").alias("likes"),
                     C.to_long("comment_count").alias("comments"),
                     C.to_long("duration_seconds").alias("duration_seconds"))
     m = m.withColumn("_ratio", like_ratio("likes", "views"))
-    vr = rank_below(m, ["views"]).select("views", F.col("_below").alias("_vb"),
-                                         F.col("_n").alias("_vn"))
-    lr = rank_below(m, ["_ratio"]).select("_ratio", F.col("_below").alias("_lb"),
-                                          F.col("_n").alias("_ln"))
+
+    def stacked(df, *keep):
+        return df.select(*keep, F.inline(F.array(
+            F.struct(F.lit(0).alias("_m"), F.col("views").cast("double").alias("_v")),
+            F.struct(F.lit(1).alias("_m"), F.col("_ratio").alias("_v")))))
+
+    ranks = rank_below(stacked(m), ["_v"], ["_m"]).select("_m", "_v", "_below", "_n")
     first = m.dropDuplicates([key])  # W4: one row per video
-    j = first.join(vr, "views", "left").join(lr, "_ratio", "left")
+
+    def pick(metric, c):
+        return F.max(F.when(F.col("_m") == metric, F.col(c)))
+
+    per_video = (stacked(first, key).filter(F.col("_v").isNotNull()).join(ranks, ["_m", "_v"])
+                 .groupBy(key).agg(pick(0, "_below").alias("_vb"), pick(0, "_n").alias("_vn"),
+                                   pick(1, "_below").alias("_lb"), pick(1, "_n").alias("_ln")))
+    j = first.join(per_video, key, "left")
     has_views = F.col("views").isNotNull() & (F.col("views") > 0)
     has_ratio = has_views & F.col("likes").isNotNull()
     lb, ln = F.col("_lb"), F.col("_ln")
