@@ -47,6 +47,17 @@ def test_parse_enrich_analyze_select(spark, tmp_path):
     meta = spark.read.parquet(store)
     assert meta.count() == meta.select("video_id").distinct().count() == done.total_ids
 
+    log = tmp_path / "calls.log"
+
+    def logged(ids, log=str(log)):
+        with open(log, "a") as fh:
+            fh.write(",".join(ids) + "\n")
+        return service(ids)
+
+    again = jobs.enrich(spark, watch_path, store, logged).collect()[0]  # I1: nothing left to do
+    assert again.remaining == 0 and not log.exists()
+    assert spark.read.parquet(store).count() == done.total_ids
+
     written = jobs.analyze(spark, watch_path, store, out, csv=True)
     watch = spark.read.parquet(watch_path)
     direct = history.watch_enriched(watch, history.clean_metadata(meta))
