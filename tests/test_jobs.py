@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import SF0001
 from viewlens import schemas as S
-from viewlens.operators import history, judgments as J, lookup as L, reports, traces as TR
+from viewlens.operators import evidence as E, history, judgments as J, lookup as L, reports, traces as TR
 from viewlens.plans import jobs
 from viewlens.plans import q_ingest as QI, q_judgments as QJ
 from viewlens.sources import io
@@ -66,10 +66,16 @@ def test_parse_enrich_analyze_select(spark, tmp_path):
     assert rows(spark.read.parquet(written["type_breakdown"])) == rows(reports.type_breakdown(direct))
     assert spark.read.option("header", True).csv(written["totals"] + "_csv").count() == 1
 
+    ev_out = jobs.evidence(spark, watch_path, store, str(tmp_path / "evidence"))
+    assert rows(spark.read.parquet(ev_out["channels"])) == rows(E.channel_patterns(watch))
+    assert rows(spark.read.parquet(ev_out["engagement"])) == rows(E.engagement_metrics(meta))
+
     picked = jobs.select(spark, store, str(tmp_path / "nothing-done"), 5)
     ids = [r.video_id for r in picked.collect()]
     avail = {r.video_id for r in meta.filter(F.col("api_title") != S.UNAVAILABLE_TITLE).collect()}
     assert len(ids) == 5 and set(ids) <= avail
+    texts = jobs.evaluation_texts(spark, store, picked).collect()
+    assert sorted(r.video_id for r in texts) == sorted(ids)
 
 
 def test_score_and_triage(spark, tmp_path):

@@ -4,6 +4,7 @@ parse   export text  -> watch history table (partitioned by year)
 enrich  watch ids    -> metadata store (batched lookups, resumable append)
 analyze watch + meta -> report tables (one folder per report)
 select  meta + done  -> ids to judge next (seeded, or scored-first priority)
+evidence watch + meta -> channel / engagement / category / transcript tables
 score   judge responses -> score rows, rejects by reason, label summary
 triage  evaluation traces -> report rows and tool-order counts
 
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from viewlens import schemas as S
+from viewlens.operators import evidence as ev
 from viewlens.operators import history, ingest, judgments, lookup, reports, sampling, traces
 from viewlens.session import scratch_path
 from viewlens.sources import io
@@ -106,6 +108,39 @@ def select(spark: SparkSession, meta_path: str, done_path: str, n: int | None,
     return sampling.seeded(pool, n, seed=seed)
 
 
+def evaluation_texts(spark: SparkSession, meta_path: str, ids: DataFrame) -> DataFrame:
+    """The evaluation text of each selected id (P31-P36, T9): a semi-join of
+    the ids against the metadata, then one projection."""
+    meta = history.dedupe_first(spark.read.parquet(meta_path), "video_id")
+    return judgments.evaluation_text(meta.join(ids.select("video_id"), "video_id", "left_semi"))
+
+
+def evidence(spark: SparkSession, watch_path: str, meta_path: str, out: str,
+             scores_path: str | None = None, segments_path: str | None = None) -> dict[str, str]:
+    """Evidence for every channel, video and category, one table each (A17-A26,
+    W1-W6, X1-X3). A question about one key or a million is a join of the
+    requested keys against these tables (P24, P25, X4). Returns name -> folder."""
+    watch = spark.read.parquet(watch_path)
+    meta = spark.read.parquet(meta_path)
+    tables = {
+        "channels": ev.channel_patterns(watch),
+        "engagement": ev.engagement_metrics(meta),
+        "categories": ev.category_context(watch, meta),
+        "category_top_channels": ev.category_top_channels(watch, meta),
+    }
+    if scores_path:
+        tables["category_quality"] = ev.category_quality_map(
+            ev.category_quality(meta, spark.read.parquet(scores_path)))
+    if segments_path:
+        tables["transcripts"] = ev.transcripts(spark.read.parquet(segments_path))
+    written = {}
+    for name, df in tables.items():
+        path = f"{out.rstrip('/')}/{name}"
+        io.overwrite(df, path)
+        written[name] = path
+    return written
+
+
 def score(spark: SparkSession, responses_path: str, meta_path: str, out: str,
           model: str, scored_at) -> DataFrame:
     """Judge responses (``video_id``, ``content`` blocks) -> ``out/scores``
