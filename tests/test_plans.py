@@ -80,9 +80,13 @@ def test_sized_conf_scales_with_input(spark):
     from viewlens.session import input_bytes, sized_conf
     small = sized_conf(10 << 20, 8)
     assert small["spark.sql.shuffle.partitions"] == "24"  # floor: 3 per core
-    big = sized_conf(100 * (1 << 40), 8000)  # 100 TB on 1000 x 8 cores
-    assert int(big["spark.sql.shuffle.partitions"]) == 204800  # 25 TB of shuffle / 128 MB
-    assert int(big["spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes"]) == 4 * (128 << 20)
+    mid = sized_conf(4 * (1 << 40), 8000)  # 4 TB: 1 TB of shuffle / 256 MB
+    assert mid["spark.sql.shuffle.partitions"] == "24000"  # floor: 3 per core
+    mid = sized_conf(40 * (1 << 40), 8000)
+    assert mid["spark.sql.shuffle.partitions"] == "40960"
+    big = sized_conf(100 * (1 << 40), 8000)  # 100 TB on 1000 x 8 cores: capped
+    assert big["spark.sql.shuffle.partitions"] == "65536"
+    assert int(big["spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes"]) == 4 * (256 << 20)
     li = spark.read.parquet(f"{SF001}/lineitem.parquet")
     assert input_bytes(li) > 0
 

@@ -70,25 +70,27 @@ def shuffle_partitions_from_env(default: int = 8) -> int:
     return int(os.environ.get("VIEWLENS_SHUFFLE_PARTITIONS", default))
 
 
-def sized_conf(input_bytes: int, cores: int, partition_bytes: int = 128 << 20,
-               shuffle_fraction: float = 0.25) -> dict[str, str]:
+def sized_conf(input_bytes: int, cores: int, scan_bytes: int = 256 << 20,
+               shuffle_bytes: int = 256 << 20, shuffle_fraction: float = 0.25,
+               max_shuffle_partitions: int = 65_536) -> dict[str, str]:
     """Partition settings for a run over ``input_bytes`` of parquet on
     ``cores`` executor cores.
 
-    Scan splits are ``partition_bytes``. The initial shuffle partition count
-    is sized so each shuffle partition holds about ``partition_bytes`` of the
-    (projected, partially aggregated) shuffle data, at least 3 per core; AQE
-    coalesces small ones back, and splits a partition past four times that
-    size when a hot key skews a join.
+    Scan splits are ``scan_bytes``. The initial shuffle partition count aims
+    at ``shuffle_bytes`` of (projected, partially aggregated) shuffle data
+    per partition: at least 3 per core, at most ``max_shuffle_partitions``,
+    because map tasks x reduce partitions is the number of shuffle blocks
+    fetched. Larger partitions spill. AQE coalesces small partitions back
+    and splits one past four times the target when a hot key skews a join.
     """
     est = max(1, int(input_bytes * shuffle_fraction))
-    parts = max(3 * cores, math.ceil(est / partition_bytes))
+    parts = min(max_shuffle_partitions, max(3 * cores, math.ceil(est / shuffle_bytes)))
     return {
-        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(scan_bytes),
         "spark.sql.shuffle.partitions": str(parts),
         "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * partition_bytes),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(shuffle_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * shuffle_bytes),
     }
 
 
