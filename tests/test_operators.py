@@ -461,3 +461,24 @@ def test_landed_lookup_calls_each_batch_once(spark, tmp_path):
     assert len(rows) == 120
     assert sum(r.api_title == S.UNAVAILABLE_TITLE for r in rows) == 40
     assert len(log.read_text().splitlines()) == 3
+
+
+def test_transcripts_match_join_and_cut(spark):
+    """X1-X3 against the rule itself: ' '.join in order, cut at `limit` with
+    the suffix; covers empty segments, one huge segment, exact boundaries."""
+    import random
+    rnd = random.Random(5)
+    limit = 40
+    segs, want = [], {}
+    for v in range(60):
+        n = rnd.choice([1, 2, 3, 8, 20])
+        texts = [("z" * 500 if rnd.random() < 0.05 else "".join(rnd.choice("ab") for _ in range(rnd.choice([0, 1, 5, 9, 13]))))
+                 for _ in range(n)]
+        for i, t in enumerate(texts):
+            segs.append((f"v{v}", i + 1, t))
+        full = " ".join(texts)
+        want[f"v{v}"] = (full if len(full) <= limit else
+                         full[:limit] + f"... [truncated, {len(full)} chars total]", len(full))
+    df = spark.createDataFrame(segs, "video_id string, seq long, text string").repartition(4)
+    got = {r.video_id: (r.transcript, r.full_length) for r in E.transcripts(df, limit=limit).collect()}
+    assert got == want

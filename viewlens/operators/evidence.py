@@ -211,17 +211,21 @@ def transcripts(segments: DataFrame, key: str = "video_id", seq: str = "seq", te
     Every segment's start offset in the joined text comes from the weighted
     exact rank (weight = length + 1), so the full length counts every
     segment and the truncated text is assembled from the segments that
-    start at or before ``limit`` (at most limit + 1 of them) - no task ever
-    holds a whole long transcript.
+    start at or before ``limit`` (at most limit + 1 of them, trimmed to at
+    most ``limit`` characters together) - no task ever holds a whole long
+    transcript or segment.
     """
     seg = segments.select(key, seq, F.coalesce(F.col(text), F.lit("")).alias("_t")).withColumn(
         "_w", F.length("_t") + 1)
     # most transcripts have few segments: 64 buckets still split a huge one 64 ways
     r = rank_below(seg, [seq, "_t"], [key], weight="_w", buckets=64)
     full = r.groupBy(key).agg((F.max("_n") - 1).alias("full_length"))
-    # a segment starting at offset `limit` still puts its leading space in the prefix
+    # a segment starting at offset `limit` still puts its leading space in the
+    # prefix; each kept segment is trimmed to the characters that can fall
+    # inside the first `limit`, so the collected text per key is bounded too
+    visible = F.col("_t").substr(F.lit(1), F.lit(limit) - F.col("_below"))
     head = (r.filter(F.col("_below") <= limit)
-            .groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(seq), F.col("_t")))).alias("_s")))
+            .groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(seq), visible.alias("_t")))).alias("_s")))
     joined = F.array_join(F.transform("_s", lambda x: x["_t"]), " ")
     out = head.join(full, key).select(key, "full_length", joined.alias("_j"))
     cut = F.when(F.col("full_length") > limit, F.concat(
