@@ -482,3 +482,12 @@ def test_transcripts_match_join_and_cut(spark):
     df = spark.createDataFrame(segs, "video_id string, seq long, text string").repartition(4)
     got = {r.video_id: (r.transcript, r.full_length) for r in E.transcripts(df, limit=limit).collect()}
     assert got == want
+
+
+def test_escaped_href_parity_and_option(spark):
+    """TR4: '&amp;v=' is key 'amp;v' by default (no id); unescape_href=True decodes it."""
+    block = CELL + '<a href="https://www.youtube.com/watch?l=1&amp;v=XYZ">t</a><br>Jan 1, 2024, 1:00:00 AM EST</div>'
+    blocks = spark.createDataFrame([(block,)], "block string")
+    assert ingest.parse_blocks(blocks).collect()[0].video_id is None
+    r = ingest.parse_blocks(blocks, unescape_href=True).collect()[0]
+    assert (r.video_id, r.video_url) == ("XYZ", "https://www.youtube.com/watch?l=1&v=XYZ")
