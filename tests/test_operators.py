@@ -491,3 +491,20 @@ def test_escaped_href_parity_and_option(spark):
     assert ingest.parse_blocks(blocks).collect()[0].video_id is None
     r = ingest.parse_blocks(blocks, unescape_href=True).collect()[0]
     assert (r.video_id, r.video_url) == ("XYZ", "https://www.youtube.com/watch?l=1&v=XYZ")
+
+
+def test_category_context_approx_median_is_a_middle_value(spark):
+    import random
+    rnd = random.Random(3)
+    meta_rows = [(f"v{i}", str(rnd.choice([10, 24, 27])), rnd.randint(0, 1000), rnd.randint(0, 50)) for i in range(400)]
+    meta = spark.createDataFrame(meta_rows, "video_id string, category_id string, view_count long, like_count long")
+    watch = spark.createDataFrame([(r[0],) for r in meta_rows], "video_id string")
+    exact = {r.category_id: r for r in E.category_context(watch, meta).collect()}
+    approx = {r.category_id: r for r in E.category_context(watch, meta, approx=True).collect()}
+    assert set(exact) == set(approx)
+    for cat, r in approx.items():
+        views = sorted(v for _, c, v, _ in meta_rows if c == cat)
+        n = len(views)
+        lo, hi = views[(n - 1) // 2], views[n // 2]
+        assert lo <= r.median_views <= hi
+        assert (r.total_watches, r.unique_videos) == (exact[cat].total_watches, exact[cat].unique_videos)
