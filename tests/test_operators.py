@@ -447,7 +447,7 @@ def test_csv_only_empty_field_is_null(spark, tmp_path):
 def test_landed_lookup_calls_each_batch_once(spark, tmp_path):
     """Resolving reads the responses three times (items, requested ids,
     missing ids); with the responses landed first, the service is called
-    exactly ceil(n / 50) times for one partition."""
+    exactly ceil(n / 50) times when max_parallel=1 gathers the ids in one task."""
     log = tmp_path / "calls.log"
 
     def service(ids, log=str(log)):
@@ -455,8 +455,8 @@ def test_landed_lookup_calls_each_batch_once(spark, tmp_path):
             fh.write(",".join(ids) + "\n")
         return {"items": [{"id": i, "snippet": {"title": f"t{i}"}} for i in ids if int(i) % 3]}
 
-    ids = spark.range(120).select(F.col("id").cast("string").alias("video_id")).coalesce(1)
-    landed = L.fetch_landed(ids, service, str(tmp_path / "landed"))
+    ids = spark.range(120).select(F.col("id").cast("string").alias("video_id")).repartition(6)
+    landed = L.fetch_landed(ids, service, str(tmp_path / "landed"), max_parallel=1)
     rows = L.resolve(landed).collect()
     assert len(rows) == 120
     assert sum(r.api_title == S.UNAVAILABLE_TITLE for r in rows) == 40

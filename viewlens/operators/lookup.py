@@ -60,12 +60,13 @@ LANDED = T.StructType([
 
 
 def fetch(pending: DataFrame, fetch_fn: Callable[[list[str]], dict], key: str = "video_id",
-          batch_size: int = S.LOOKUP_BATCH_SIZE) -> DataFrame:
+          batch_size: int = S.LOOKUP_BATCH_SIZE, max_parallel: int | None = None) -> DataFrame:
     """S9 + W5: call ``fetch_fn`` with up to ``batch_size`` ids at a time.
 
     Runs inside ``mapInPandas``: each task chunks its own ids, so calls are
-    at most ceil(n/batch) + partitions - 1 and run in parallel; use
-    ``repartition(k)`` on ``pending`` to bound concurrency. The raw response
+    at most ceil(n/batch) + partitions - 1 and run in parallel.
+    ``max_parallel=k`` coalesces the ids into k tasks (no shuffle), so at
+    most k calls are in flight (a rate limit). The raw response
     is landed as JSON text next to the ids it answers, so parsing is a
     separate, replayable step. A ``QuotaExceeded`` ends the task's calls and
     keeps what already landed (K5); the next run's anti-join resumes.
@@ -91,18 +92,22 @@ def fetch(pending: DataFrame, fetch_fn: Callable[[list[str]], dict], key: str =
             except QuotaExceeded:
                 return
 
-    return pending.select(F.col(key).cast("string").alias(key)).mapInPandas(run, LANDED)
+    ids = pending.select(F.col(key).cast("string").alias(key))
+    if max_parallel:
+        ids = ids.coalesce(max_parallel)
+    return ids.mapInPandas(run, LANDED)
 
 
 def fetch_landed(pending: DataFrame, fetch_fn: Callable[[list[str]], dict], landing: str,
-                 key: str = "video_id", batch_size: int = S.LOOKUP_BATCH_SIZE) -> DataFrame:
+                 key: str = "video_id", batch_size: int = S.LOOKUP_BATCH_SIZE,
+                 max_parallel: int | None = None) -> DataFrame:
     """S9 with each external call made once per run: ``fetch`` runs in one
     job whose output is written to ``landing`` (a fresh folder under the
     shared ``spark.checkpoint.dir``; one job commit), and the landed table is
     returned. ``resolve`` reads its input more than once, so it must read
     landed rows, never the lazy ``fetch`` (each read would call the service
     again)."""
-    fetch(pending, fetch_fn, key, batch_size).write.mode("append").parquet(landing)
+    fetch(pending, fetch_fn, key, batch_size, max_parallel).write.mode("append").parquet(landing)
     return pending.sparkSession.read.schema(LANDED).parquet(landing)
 
 

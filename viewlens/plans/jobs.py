@@ -49,15 +49,18 @@ def parse(spark: SparkSession, export_path: str, out: str) -> DataFrame:
 
 
 def enrich(spark: SparkSession, watch_path: str, store: str,
-           fetch_fn: Callable[[list[str]], dict], batch_size: int = S.LOOKUP_BATCH_SIZE) -> DataFrame:
+           fetch_fn: Callable[[list[str]], dict], batch_size: int = S.LOOKUP_BATCH_SIZE,
+           max_parallel: int | None = None) -> DataFrame:
     """Look up every watched id not yet in ``store`` and append the resolved
     rows (S3, S5, S9, J2, J8, K2-K5, U2-U4). Responses land first, so each
     call is made once; a quota stop keeps what landed and the next run
-    resumes. Returns the progress row (A14, A16) after the append."""
+    resumes. ``max_parallel`` bounds the calls in flight. Returns the
+    progress row (A14, A16) after the append."""
     watch = spark.read.parquet(watch_path).select(F.col("video_id").cast("string").alias("video_id"))
     known = io.read_keys(spark, store, schema=S.META)
     pending = lookup.pending_ids(watch, known)
-    landed = lookup.fetch_landed(pending, fetch_fn, scratch_path(spark, "landed"), batch_size=batch_size)
+    landed = lookup.fetch_landed(pending, fetch_fn, scratch_path(spark, "landed"), batch_size=batch_size,
+                                 max_parallel=max_parallel)
     io.append(lookup.resolve(landed), store)
     return lookup.progress(watch, io.read_keys(spark, store, schema=S.META))
 
