@@ -7,8 +7,11 @@ import __spark_entry__ as E
 from scripts.check_oracle import TABLES, rows_of
 from tests.conftest import SF001, SF0001
 
-QUERIES = E.queries()
-ORACLE = E.oracle_sql()
+from viewlens.plans import catalog
+
+catalog.load_all()
+QUERIES = {k: v for k, v in E.queries().items() if k in catalog.QUERIES}
+ORACLE = catalog.ORACLE
 
 
 @pytest.fixture(scope="module")
