@@ -30,7 +30,7 @@ def land(df: DataFrame, name: str) -> DataFrame:
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it counts at most ``rows`` rows, else
     unchanged: the join then shuffles. ``df`` should be landed and narrow."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

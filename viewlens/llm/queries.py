@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from viewlens.llm import ngram_join
+from viewlens.llm import decontaminate, mixing, ngram_join, sanitise
 from viewlens.llm.common import documents
 from viewlens.llm.registry import register
 
@@ -33,3 +34,49 @@ JOIN (SELECT node, min(r) AS component_id FROM reach GROUP BY node) c ON c.node
 @register("op7_ngram_jaccard_join", OP7_SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_links(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
+@register("op2_spaced_seed_decontamination")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tests = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.flag(documents(spark, sf_dir), tests)
+
+
+@register("op6_information_theoretic_sanitisation")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sanitise.find(documents(spark, sf_dir))
+    of = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    return found.select("doc_id", *(of(i).alias(f"n_{k}") for i, k in enumerate(sanitise.KINDS[:4])),
+                        F.sha2(sanitise.joined(F.col("base")), 256).alias("base_sha256"),
+                        sanitise.joined(F.col("spans")).alias("spans"))
+
+
+OP9_SQL = """
+WITH d AS (
+  SELECT doc_id, source, text, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size
+  FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS n FROM d GROUP BY source),
+w AS (SELECT source, n, [3, 1, 2][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS w FROM s),
+r AS (
+  SELECT *, (SELECT sum(n) * 1.5 FROM w)::DOUBLE AS goal,
+    coalesce(sum(2 * n) OVER before, 0)::DOUBLE AS held, (SELECT sum(w) FROM w) - coalesce(sum(w) OVER before, 0) AS left_w
+  FROM w WINDOW before AS (ORDER BY n::DOUBLE / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+c AS (SELECT *, 2.0::DOUBLE * n * left_w <= w * (goal - held) AS fully FROM r),
+t AS (
+  SELECT source, n, CASE WHEN fully THEN n::DOUBLE * 2 ELSE w::DOUBLE * ((SELECT any_value(goal) FROM c)
+    - (SELECT coalesce(sum(2 * n), 0)::DOUBLE FROM c WHERE fully)) / (SELECT sum(w)::DOUBLE FROM c WHERE NOT fully) END AS target
+  FROM c),
+m AS (
+  SELECT d.doc_id, d.size, t.n AS source_size, t.target, CASE WHEN t.n > 0 THEN t.target / t.n ELSE 0 END AS rate,
+    ('0x' || substr(md5('mix-1:' || coalesce(d.doc_id::VARCHAR, 'null') || ':' || md5(coalesce(d.text, ''))), 1, 13))::BIGINT
+      / 4503599627370496.0::DOUBLE AS u
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+  size * CAST(floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END AS BIGINT) AS taken FROM m
+"""
+
+
+@register("op9_source_mixture", OP9_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(documents(spark, sf_dir)).select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
