@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from viewlens.llm import decontaminate, mixing, ngram_join, sanitise
+from viewlens.llm import decontaminate, mixing, ngram_join, sanitise, tokens, warc
 from viewlens.llm.common import documents
 from viewlens.llm.registry import register
+from viewlens.session import scratch_path
 
 
 OP7_SQL = """
@@ -80,3 +82,29 @@ SELECT doc_id, size, source_size, target,
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(documents(spark, sf_dir)).select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+OP1_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT h, min(page_id) AS f FROM p GROUP BY h)
+SELECT page_id, CAST(octet_length(body) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + CAST((('0x' || substr(p.h, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31 AS BIGINT), 1)), '') AS payload_digest,
+  CASE WHEN page_id = f.f THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> f.f THEN f.f END AS refers_to
+FROM p JOIN f ON p.h = f.h
+"""
+
+
+@register("op1_warc_chunked_records", OP1_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
+    return warc.read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@register("op5_token_id_packs")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "tokens")
+    tokens.write(documents(spark, sf_dir), path, public_tokenizers.path("word_bpe_49k.json"))
+    return tokens.read(spark, path)
