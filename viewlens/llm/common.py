@@ -98,9 +98,10 @@ def doc_slices(offsets: np.ndarray, limit: int = 2 << 20) -> Iterator[tuple[int,
 
 
 def hash_words(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray,
-               block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+               block: int = 1 << 20, prefixes: tuple[int, ...] = ()):
     """64-bit hash of each word and, per document, the index of its first
-    word (length docs + 1). Work arrays cover ``block`` bytes at a time, so
+    word (length docs + 1); with ``prefixes``, also the hash of each word's
+    first so many bytes (0 for words that are not longer). Work arrays cover ``block`` bytes at a time, so
     memory does not follow the length of a document."""
     mapped = table[raw]
     word = mapped != 0
@@ -116,6 +117,18 @@ def hash_words(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray,
     after[first[first > 0] - 1] = False
     ends = np.flatnonzero(word & ~after) + 1
     bounds = np.searchsorted(starts, offsets)
+    whole = _hash_runs(mapped, starts, ends, block)
+    if not prefixes:
+        return whole, bounds
+    heads = []
+    for n in prefixes:
+        h = _hash_runs(mapped, starts, np.minimum(ends, starts + n), block)
+        h[ends - starts <= n] = 0
+        heads.append(h)
+    return whole, bounds, heads
+
+
+def _hash_runs(mapped: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int) -> np.ndarray:
     out = np.empty(len(starts), dtype=np.uint64)
     lo = 0
     with np.errstate(over="ignore"):
@@ -129,7 +142,7 @@ def hash_words(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray,
             part = _multipliers(int(size.max()))[pos] * mapped[src].astype(np.uint64)
             out[lo:hi] = np.add.reduceat(part, at) + size.astype(np.uint64)
             lo = hi
-    return splitmix(out), bounds
+    return splitmix(out)
 
 
 _STEP = splitmix(np.arange(1001, 1065, dtype=np.uint64)) | np.uint64(1)

@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from viewlens.llm import decontaminate, mixing, ngram_join, sanitise, tokens, warc
+from viewlens.llm import (cnn, decontaminate, html_text, mixing, ngram_join, quality, sanitise, spotsigs,
+                          tokens, warc)
 from viewlens.llm.common import documents
 from viewlens.llm.registry import register
 from viewlens.session import scratch_path
@@ -108,3 +109,35 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
     tokens.write(documents(spark, sf_dir), path, public_tokenizers.path("word_bpe_49k.json"))
     return tokens.read(spark, path)
+
+
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+@register("op3_convolutional_toxicity")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return cnn.score(docs, labels(spark, sf_dir)).select("doc_id", "held_out", "score", "predicted")
+
+
+@register("op4_tree_scoring_extraction")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+@register("op8_random_indexing_quality")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return quality.score(docs, labels(spark, sf_dir)).select("doc_id", "held_out", "score", "predicted")
+
+
+@register("op10_spotsigs_fingerprints")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.with_next(documents(spark, sf_dir))
+
+
+@register("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)
