@@ -44,6 +44,8 @@ HOT = 8192
 #: Largest light size considered, and the cost of a listed shingle (list,
 #: hub pair, share of a verification) in units of one subset signature.
 LIGHT_MAX, LIST_COST = 16, 6
+#: Members of a list beyond which it has HUBS hubs instead of one.
+LONG, HUBS = 32, 8
 BITS = 8  # 64-bit words of the parity bitmap
 
 
@@ -395,9 +397,14 @@ def ngram_links(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k:
                  .repartition(buckets, "dest").mapInArrow(_list(percent, x, rank), POSTINGS), "lists")
 
     heavy = lists.where("kind = 0").select("token", "ckey", "n")
-    hubs = heavy.groupBy("token").agg(F.min("ckey").alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    met = land(heavy.join(hubs.select("token", "hub"), "token"), "met")
-    first = met.where("ckey <> hub").select(F.col("ckey").alias("a"), F.col("hub").alias("b")).distinct()
+    # a long list has several hubs: a member that misses one meets another
+    more = [F.min_by("ckey", F.xxhash64("ckey", F.lit(i))).alias(f"hub{i}") for i in range(1, HUBS)]
+    hubs = heavy.groupBy("token").agg(F.min("ckey").alias("hub"), F.count(F.lit(1)).alias("c"), *more).where("c > 1")
+    hubs = hubs.select("token", "hub", F.when(F.col("c") > LONG, F.array("hub", *(f"hub{i}" for i in range(1, HUBS))))
+                       .otherwise(F.array("hub")).alias("hubs"))
+    met = land(heavy.join(hubs, "token"), "met")
+    first = met.select(F.col("ckey").alias("a"), F.explode("hubs").alias("b")).where("a <> b").distinct()
+    met = met.drop("hubs")
     links = _verified(first, classes, docs, id_col, text, k, percent)
 
     # subset signatures: sizes s < t link across, equal sizes all together
