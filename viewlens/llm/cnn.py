@@ -22,7 +22,8 @@ ROWS, SIZE, WIDTHS, FILTERS, STEMS = 1 << 16, 12, (1, 2, 3), 12, (5, 7)
 #: Labelled documents that are learned from, at most; of these, at most so
 #: many words each (longer ones are not picked).
 SAMPLE, LONGEST = 6000, 50_000
-EPOCHS, BATCH, RATE, SHRINK, MIN_DOCS = 6, 64, 2e-3, 20, 12
+EPOCHS, STEPS, BATCH, RATE = 6, 250, 64, 2e-3
+PRIOR, MIN_DOCS = 10, 4
 ACCEPT = 0.7
 BLOCK = 1 << 14
 
@@ -127,15 +128,15 @@ class Net:
 
     def start(self, texts: list[np.ndarray], y: np.ndarray) -> None:
         """First embedding coordinate: the log odds of the label given that a
-        text holds the word, shrunk where few texts do."""
+        text holds the word, shrunk (by PRIOR texts
+        of the usual mixture) where few texts do."""
         seen = np.zeros((2, ROWS))
         for t, label in zip(texts, y):
             mine = np.unique(t)
             seen[int(label), mine[mine < ROWS]] += 1
-        pos = (seen[1] + 0.1) / (y.sum() + 0.2)
-        neg = (seen[0] + 0.1) / (len(y) - y.sum() + 0.2)
-        n = seen.sum(0)
-        self.e[:ROWS, 0] = np.log(pos / neg) * n / (n + SHRINK)
+        n, base = seen.sum(0), y.mean()
+        odds = (seen[1] + PRIOR * base) / (seen[0] + PRIOR * (1 - base))
+        self.e[:ROWS, 0] = np.log(odds * (1 - base) / base) if 0 < base < 1 else 0
         self.known = np.append(n >= MIN_DOCS, False)  # rarer words stay without a vector
         self.e[~self.known] = 0
         for i, k in enumerate(self.k):  # one filter of each width starts on it alone
@@ -149,7 +150,7 @@ class Net:
         self.start(texts, y)
         self.c[0] = np.log(max(y.mean(), 0.01) / max(1 - y.mean(), 0.01))
         adam = Adam([self.e, *self.k, *self.b, self.u, self.c], RATE)
-        for _ in range(EPOCHS):
+        for _ in range(max(EPOCHS, -(-STEPS * BATCH // max(len(texts), 1)))):
             order = rng.permutation(len(texts))
             for lo in range(0, len(order), BATCH):
                 pick = order[lo: lo + BATCH]

@@ -40,14 +40,17 @@ WANTED = re.compile(r"(?:^|[\s_-])(?:article|post-?body|post-?content|entry-?con
 #: Points: for a paragraph, for each 100 characters (three at most), for a
 #: comma; the share of the best score that a sibling needs.
 BASE, EVERY, MOST, SIBLING = 1.0, 100, 3, 0.2
+#: Elements nested deeper lie beside each other at this depth (no text is lost).
+DEEPEST = 512
 _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "score", "drop")
+    __slots__ = ("tag", "parent", "kids", "score", "drop", "depth")
 
     def __init__(self, tag: str, parent: "Node | None", drop: bool):
         self.tag, self.parent, self.kids, self.score, self.drop = tag, parent, [], 0.0, drop
+        self.depth = parent.depth + 1 if parent else 0
 
 
 class Tree(HTMLParser):
@@ -57,7 +60,6 @@ class Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("html", None, False)
-        self.depth = 0
 
     def _up_to(self, tags, scope) -> None:
         node = self.at
@@ -93,7 +95,8 @@ class Tree(HTMLParser):
             drop = node is None
         kid = Node(tag, self.at, drop)
         self.at.kids.append(kid)
-        self.at = kid
+        if drop or kid.depth < DEEPEST:
+            self.at = kid
 
     def handle_endtag(self, tag):
         if tag in VOID:
@@ -113,8 +116,12 @@ class Tree(HTMLParser):
 
 
 def parse(html: str) -> Node:
+    # a tag that never ends is cut off: the parser would look for its end
+    # again from every "<" that follows
+    end = html.rfind(">") + 1
+    cut = html.find("<", end)
     tree = Tree()
-    tree.feed(html)
+    tree.feed(html if cut < 0 else html[:cut])
     tree.close()
     return tree.root
 
@@ -204,7 +211,7 @@ def main_text(html: str) -> str:
     for node in order:  # an element that says it is the article holds its whole text
         if node.tag == "article" and (node in _above(best) or best in _above(node)) and sums[node][0] >= sums[best][0] * 0.5:
             best = node if sums[node][0] >= sums[best][0] or node.score else best
-    need = max(10.0, best.score * (1 - density(best)) * SIBLING)
+    need = best.score * (1 - density(best)) * SIBLING
     if best.parent is None or best.tag in ("article", "main"):
         near = [k for k in best.parent.kids if type(k) is Node and k.tag == "article" and not k.drop] if (
             best.tag == "article" and best.parent is not None) else []
