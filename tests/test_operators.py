@@ -108,7 +108,7 @@ def test_quota_keeps_landed(spark):
                 raise L.QuotaExceeded()
             return {"items": [{"id": i} for i in batch]}
 
-    landed = L.fetch(ids, Budget())
+    landed = L.fetch(ids, Budget(), max_parallel=1)
     assert landed.count() == 1  # the first call landed, the rest stopped
 
 
@@ -354,13 +354,87 @@ def test_selection(spark):
     assert sum(r.is_scored for r in p6) == 4 and len(p6) == 6
 
 
-def test_large_sample_uses_distributed_rank(spark, monkeypatch):
-    monkeypatch.setattr(SM, "TOP_K_LIMIT", 5)
-    ids = spark.range(500).select(F.col("id").cast("string").alias("video_id"))
-    big = sorted(r[0] for r in SM.seeded(ids, 40).collect())
-    monkeypatch.setattr(SM, "TOP_K_LIMIT", 10_000)
-    small = sorted(r[0] for r in SM.seeded(ids.repartition(7), 40).collect())
-    assert len(big) == 40 and big == small
+def test_samples_are_exact_for_any_n(spark):
+    """One rule for every n: md5 order, NULL ids last, min(n, size) rows."""
+    rows = [("a",), ("a",), (None,), ("b",), ("c",), ("c",), ("c",)] + [(f"v{i}",) for i in range(40)]
+    ids = spark.createDataFrame(rows, "video_id string")
+    draws = {n: sorted(str(r[0]) for r in SM.seeded(ids.repartition(5), n).collect()) for n in (1, 2, 3, 5, 45, 46, 47, 60)}
+    for n, got in draws.items():
+        assert len(got) == min(n, 47)
+    for small, large in zip(list(draws), list(draws)[1:]):
+        rest = list(draws[large])
+        for v in draws[small]:
+            rest.remove(v)  # a larger draw holds the smaller one
+    assert "None" not in draws[46] and "None" in draws[47]
+    scored = spark.createDataFrame([("c",), (None,)], "video_id string")
+    assert sorted(r[0] for r in SM.priority(ids, scored, 2).collect()) == ["c", "c"]
+
+
+def test_repeated_metadata_gives_the_first_row(spark):
+    rows = [("v", 100, 1, 60, 2), ("v", 100, 90, 60, 1), ("w", 50, 5, 60, 3)]
+    meta = spark.createDataFrame(rows, "video_id string, view_count long, like_count long, duration_seconds long, "
+                                       "ingest_order long").withColumn("comment_count", F.lit(1).cast("long"))
+    for shuffled in (meta, meta.orderBy(F.desc("ingest_order")).coalesce(1), meta.repartition(3)):
+        got = {r.video_id: r.like_to_view_ratio for r in E.engagement_metrics(shuffled).collect()}
+        assert got == {"v": 0.9, "w": 0.1}
+
+
+def test_null_ids_and_unique_metadata_join_plainly(spark):
+    watch = spark.createDataFrame([(None, "2024-01-01"), ("a", "2024-02-01"), ("z", None)], "video_id string, t string")
+    watch = watch.withColumn("timestamp", F.to_timestamp_ntz("t")).drop("t")
+    meta = spark.createDataFrame([("a", 3600, "10")], "video_id string, duration_seconds long, category_id string")
+    for unique in (False, True):
+        got = {r.video_id: (r.duration_hours, r.category) for r in history.watch_enriched(watch, meta, unique=unique).collect()}
+        assert got == {None: (None, "Unknown"), "a": (1.0, "Music"), "z": (None, "Unknown")}
+
+
+def test_failed_call_loses_its_own_batch_only(spark):
+    def service(ids):
+        if "13" in ids:
+            raise ValueError("boom")
+        return {"items": [{"id": i} for i in ids]}
+    ids = spark.range(200).select(F.col("id").cast("string").alias("video_id"))
+    landed = L.fetch(ids, service, batch_size=10, max_parallel=4).cache()
+    assert landed.rdd.getNumPartitions() == 4
+    failed = landed.where("response is null").collect()
+    assert len(failed) == 1 and failed[0].error == "ValueError: boom" and "13" in failed[0].requested
+    stored = L.resolve(landed)
+    assert stored.count() == 200 - len(failed[0].requested)
+    assert sorted(r[0] for r in L.pending_ids(ids, stored).collect()) == sorted(failed[0].requested)
+
+
+def test_failed_trace(spark):
+    from viewlens.operators import traces
+    rows = [("a", 1, 0, "tool_use", "fetch_transcript", "{}"), ("a", 2, 0, "error", None, None),
+            ("b", 1, 0, "tool_use", "fetch_transcript", "{}"), ("b", 2, 0, "text", None, None)]
+    t = spark.createDataFrame(rows, "video_id string, round int, pos int, block_type string, tool_name string, input_json string")
+    got = {r.video_id: r.outcome for r in traces.summarise(t).collect()}
+    assert got == {"a": "failed", "b": "stopped_without_tools"}
+
+
+def test_transcript_failures_have_their_reason(spark):
+    table = E.transcripts(spark.createDataFrame([("a", 1, "x")], "video_id string, seq long, text string"))
+    asked = spark.createDataFrame([("a",), ("b",), ("c",)], "video_id string")
+    failures = spark.createDataFrame([("b", "unavailable", "subtitles are off")], "video_id string, status string, reason string")
+    got = {r.video_id: (r.status, r.reason) for r in E.transcript_lookup(table, asked, failures=failures).collect()}
+    assert got == {"a": ("success", None), "b": ("unavailable", "subtitles are off"), "c": ("error", "no transcript segments")}
+
+
+def test_watch_csv_round_trip(spark, tmp_path):
+    from viewlens import schemas as S
+    from viewlens.sources import io
+    import datetime as dt
+    rows = [('a "b"\nc', "u", "v1", "ch, x", None, dt.datetime(2024, 1, 2, 3, 4, 5), "normal"), (None,) * 7]
+    df = spark.createDataFrame(rows, S.WATCH)
+    io.write_csv(df, str(tmp_path / "w"))
+    assert sorted(map(str, io.read_csv(spark, str(tmp_path / "w"), S.WATCH).collect())) == sorted(map(str, df.collect()))
+
+
+def test_evaluation_text_without_title_column(spark):
+    meta = spark.createDataFrame([("v", None, 1, 1, 1, 60, None, None)], "video_id string, api_title string, view_count long, "
+                                 "like_count long, comment_count long, duration_seconds long, tags array<string>, description string")
+    text = J.evaluation_text(meta.withColumn("category_id", F.lit("10"))).first().prompt
+    assert "Title: Unknown" in text and "Channel: Unknown" in text
 
 
 def test_dedupe_first_by_order_tuple(spark):

@@ -42,12 +42,11 @@ def test_no_unpartitioned_window_over_data(spark, name):
 
 
 @pytest.mark.parametrize("name", ["seeded_sample", "priority_sample", "pool_union", "plain_sample"])
-def test_small_samples_are_bounded_top_k(spark, name):
-    """n <= TOP_K_LIMIT: each task keeps its n best (TakeOrderedAndProject),
-    no window and no global sort of the candidates."""
+def test_samples_gather_in_no_task(spark, name):
+    """The draw is ranked in buckets: no top-k merge and no global sort."""
     p = plan(QUERIES[name](spark, SF001))
-    assert "TakeOrderedAndProject" in p
-    assert "Window [" not in p
+    assert "TakeOrderedAndProject" not in p and "GlobalLimit" not in p
+    assert "rangepartitioning" not in p
 
 
 def test_global_ranks_join_no_cross_product(spark):

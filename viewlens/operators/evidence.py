@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from viewlens import schemas as S
 from viewlens.functions import columns as C
+from viewlens.operators.history import ORDER, dedupe_first
 from viewlens.operators.ranking import exact_medians, rank_below
 
 # --- channel patterns (A17-A21) ---------------------------------------------
@@ -19,9 +20,11 @@ def channel_patterns(watch: DataFrame, channel: str = "channel_name", video: str
                      ts: str = "timestamp") -> DataFrame:
     """Per channel: totals, first/last watch, span, rate, rewatch ratio, trend.
 
-    Two aggregations over the history: the profile (partial aggregation, so
-    a hot channel is combined map-side), then the first-half count, which
-    needs each channel's midpoint and therefore joins the profile back.
+    The profile is a partial aggregate, so a hot channel is combined
+    map-side. The first-half count needs each channel's midpoint: whole days
+    before it are counted from (channel, day) totals, and only the rows of
+    the midpoint's own day meet it row by row, on (channel, day), so no join
+    gathers a hot channel.
     """
     w = watch.filter(F.col(channel).isNotNull())
     prof = w.groupBy(channel).agg(
@@ -33,8 +36,14 @@ def channel_patterns(watch: DataFrame, channel: str = "channel_name", video: str
                                                    F.lit(1)).cast("long"))
     long_span = prof.filter(F.col("span_days") > S.TREND_MIN_SPAN_DAYS).select(
         channel, C.add_seconds("first_watch", F.col("span_days") * 43200).alias("_mid"))
-    halves = (w.select(channel, ts).join(long_span, channel)
-              .groupBy(channel).agg(F.count_if(F.col(ts) < F.col("_mid")).alias("_first_half")))
+    day = F.to_date(ts)
+    daily = w.groupBy(channel, day.alias("_day")).agg(F.count(F.lit(1)).alias("_n"))
+    on_day = long_span.select(channel, F.to_date("_mid").alias("_day"), "_mid")
+    before = daily.join(on_day.select(channel, F.col("_day").alias("_mid_day")), channel).select(
+        channel, F.when(F.col("_day") < F.col("_mid_day"), F.col("_n")).otherwise(F.lit(0)).alias("_n"))
+    same = (w.select(channel, ts, day.alias("_day")).join(on_day, [channel, "_day"])
+            .groupBy(channel).agg(F.count_if(F.col(ts) < F.col("_mid")).alias("_n")))
+    halves = before.unionByName(same).groupBy(channel).agg(F.sum("_n").alias("_first_half"))
     p = prof.join(halves, channel, "left")
     first, total = F.col("_first_half"), F.col("total_watches")
     second = total - first
@@ -84,7 +93,8 @@ def engagement_metrics(meta: DataFrame, key: str = "video_id") -> DataFrame:
     never pile into one join partition. The fold back per video reuses the
     dedupe's partitioning on the key.
     """
-    m = meta.select(key, C.to_long("view_count").alias("views"),
+    ordered = [ORDER] if ORDER in meta.columns else []
+    m = meta.select(key, *ordered, C.to_long("view_count").alias("views"),
                     C.to_long("like_count").alias("likes"),
                     C.to_long("comment_count").alias("comments"),
                     C.to_long("duration_seconds").alias("duration_seconds"))
@@ -96,7 +106,7 @@ def engagement_metrics(meta: DataFrame, key: str = "video_id") -> DataFrame:
             F.struct(F.lit(1).alias("_m"), F.col("_ratio").alias("_v")))))
 
     ranks = rank_below(stacked(m), ["_v"], ["_m"]).select("_m", "_v", "_below", "_n")
-    first = m.dropDuplicates([key])  # W4: one row per video
+    first = dedupe_first(m, key)  # W4: the first row of a video
 
     def pick(metric, c):
         return F.max(F.when(F.col("_m") == metric, F.col(c)))
@@ -210,6 +220,29 @@ def category_quality_map(quality_long: DataFrame) -> DataFrame:
         .alias("label_distribution"))
 
 
+def category_lookup(context: DataFrame, top_channels: DataFrame, requested: DataFrame,
+                    quality: DataFrame | None = None) -> DataFrame:
+    """P24 + P25 + S7: one record per requested category: its context, its top
+    channels in rank order and its quality, or notes where a category is
+    unknown or has no scores yet (``quality``, in long form, may be absent)."""
+    r = requested.select("category_id").distinct()
+    tops = top_channels.groupBy("category_id").agg(  # at most TOP_CHANNELS rows each
+        F.transform(F.array_sort(F.collect_list(F.struct("rank", "channel", "watches"))),
+                    lambda t: F.struct(t["channel"].alias("channel"), t["watches"].alias("watches"))).alias("top_channels"))
+    j = r.join(context.withColumn("_found", F.lit(True)), "category_id", "left").join(tops, "category_id", "left")
+    if quality is None:
+        j = j.select("*", F.lit(None).cast("long").alias("scored_count"), F.lit(None).cast("double").alias("avg_composite"),
+                     F.lit(None).cast("map<string,long>").alias("label_distribution"))
+    else:
+        j = j.join(category_quality_map(quality), "category_id", "left")
+    found = F.col("_found").isNotNull()
+    return j.select(
+        "category_id", "category_name", F.coalesce("total_watches", F.lit(0).cast("long")).alias("total_watches"),
+        "unique_videos", "median_views", "median_likes", "top_channels", "scored_count", "avg_composite", "label_distribution",
+        F.when(~found, F.lit("Category not found in metadata"))
+        .when(F.col("scored_count").isNull(), F.lit("No quality scores available yet")).alias("note"))
+
+
 # --- transcripts (X1-X4) -------------------------------------------------------
 
 
@@ -218,24 +251,25 @@ def transcripts(segments: DataFrame, key: str = "video_id", seq: str = "seq", te
     """Segments joined by one space in order; over ``limit`` characters the
     text is cut and '... [truncated, N chars total]' appended.
 
-    Every segment's start offset in the joined text comes from the weighted
-    exact rank (weight = length + 1), so the full length counts every
-    segment and the truncated text is assembled from the segments that
-    start at or before ``limit`` (at most limit + 1 of them, trimmed to at
-    most ``limit`` characters together) - no task ever holds a whole long
-    transcript or segment.
+    The full length is a partial sum over every segment. A segment adds a
+    character at least (its space), so only the first limit + 1 of a key can
+    show: they are cut to ``limit`` characters, and ``row_number`` keeps that
+    many per task before the shuffle (the session raises Spark's group-limit
+    threshold above it), so no task holds a whole long transcript.
     """
-    seg = segments.select(key, seq, F.coalesce(F.col(text), F.lit("")).alias("_t")).withColumn(
-        "_w", F.length("_t") + 1)
-    # most transcripts have few segments: 64 buckets still split a huge one 64 ways
-    r = rank_below(seg, [seq, "_t"], [key], weight="_w", buckets=64)
-    full = r.groupBy(key).agg((F.max("_n") - 1).alias("full_length"))
+    seg = segments.select(key, seq, F.coalesce(F.col(text), F.lit("")).alias("_t"))
+    full = seg.groupBy(key).agg((F.sum(F.length("_t") + 1) - 1).alias("full_length"))
+    order = Window.partitionBy(key).orderBy(F.col(seq), "_t")
+    r = (seg.select(key, seq, F.length("_t").alias("_l"), F.substring("_t", 1, limit + 1).alias("_t"))
+         .withColumn("_nth", F.row_number().over(order)).filter(F.col("_nth") <= limit + 1))
+    upto = order.rowsBetween(Window.unboundedPreceding, -1)
+    r = r.withColumn("_below", F.coalesce(F.sum(F.col("_l") + 1).over(upto), F.lit(0)))
     # a segment starting at offset `limit` still puts its leading space in the
     # prefix; each kept segment is trimmed to the characters that can fall
     # inside the first `limit`, so the collected text per key is bounded too
-    visible = F.col("_t").substr(F.lit(1), F.lit(limit) - F.col("_below"))
+    visible = F.col("_t").substr(F.lit(1), (F.lit(limit) - F.col("_below")).cast("int"))
     head = (r.filter(F.col("_below") <= limit)
-            .groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(seq), visible.alias("_t")))).alias("_s")))
+            .groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_nth", visible.alias("_t")))).alias("_s")))
     joined = F.array_join(F.transform("_s", lambda x: x["_t"]), " ")
     out = head.join(full, key).select(key, "full_length", joined.alias("_j"))
     cut = F.when(F.col("full_length") > limit, F.concat(
@@ -246,13 +280,20 @@ def transcripts(segments: DataFrame, key: str = "video_id", seq: str = "seq", te
 
 
 def transcript_lookup(transcript_table: DataFrame, requested: DataFrame,
-                      key: str = "video_id") -> DataFrame:
-    """X4 + S11: per requested id, success with the transcript, else error."""
+                      key: str = "video_id", failures: DataFrame | None = None) -> DataFrame:
+    """X4 + S11: per requested id, success with the transcript, else error.
+    ``failures(key, status, reason)`` names ids whose fetch failed, with
+    status ``unavailable`` (no transcript exists) or ``error``, and why."""
     r = requested.select(key).distinct()
     j = r.join(transcript_table, key, "left")
+    if failures is None:
+        j = j.withColumn("_why", F.lit(None).cast("string")).withColumn("_how", F.lit(None).cast("string"))
+    else:
+        why = failures.groupBy(key).agg(F.min(F.struct("status", "reason")).alias("_f"))
+        j = j.join(why.select(key, F.col("_f.status").alias("_how"), F.col("_f.reason").alias("_why")), key, "left")
     missing = F.col("status").isNull()
     return j.select(
-        key, F.coalesce("status", F.lit("error")).alias("status"),
+        key, F.coalesce("status", "_how", F.lit("error")).alias("status"),
         "transcript_length", "transcript",
-        F.when(missing, F.lit("no transcript segments")).alias("reason"),
+        F.when(missing, F.coalesce("_why", F.lit("no transcript segments"))).alias("reason"),
         F.when(missing, F.lit("Transcript unavailable; evaluate based on metadata")).alias("suggestion"))

@@ -8,15 +8,19 @@ from pyspark.sql import functions as F
 from viewlens.functions import columns as C
 
 
+ORDER = "ingest_order"
+
+
 def dedupe_first(meta: DataFrame, key: str = "video_id",
                  order: str | list[str] | None = None) -> DataFrame:
     """W4/TR18: one row per key. With ingest-order column(s) the first row wins
-    (min_by over the order tuple is partially aggregated, so a hot key is not
-    one task's sort); without one, any row."""
+    (``ORDER`` is taken if the table has it); without any, the least row, so
+    the choice never depends on how the rows arrive. Both are partial
+    aggregates: a hot key is not one task's sort."""
+    others = [c for c in meta.columns if c != key]
     if order is None:
-        return meta.dropDuplicates([key])
+        order = [ORDER] if ORDER in others else others
     order = [order] if isinstance(order, str) else list(order)
-    others = [c for c in meta.columns if c != key]
     packed = F.min_by(F.struct(*[F.col(c) for c in others]), F.struct(*[F.col(c) for c in order]))
     return meta.groupBy(key).agg(packed.alias("_r")).select(key, "_r.*")
 
@@ -27,17 +31,23 @@ def clean_metadata(meta: DataFrame) -> DataFrame:
             .withColumn("duration_seconds", C.to_long("duration_seconds")))
 
 
-def watch_enriched(watch: DataFrame, meta: DataFrame, ts: str = "timestamp") -> DataFrame:
+def watch_enriched(watch: DataFrame, meta: DataFrame, ts: str = "timestamp", unique: bool = False) -> DataFrame:
     """J1 + P18 + P19 + P21: watch rows with duration, category, year and month.
 
     Left join on video_id: the metadata side is pruned to three columns
     (P26) and holds one row per video (TR18: a repeated metadata key must
-    not multiply watch rows; the store's keys are unique already, and the
-    de-duplication's partitioning on video_id is the one a shuffle join
-    needs). Spark picks broadcast vs. shuffle join from runtime sizes.
+    not multiply watch rows). ``unique=True`` says that ``meta`` is a written
+    table of one row per key: both join sides are then plain shuffles and a
+    hot video is split by the skew join (an aggregate below the join is not).
+    NULL ids match nothing and go around the join.
     """
-    m = dedupe_first(meta.select("video_id", "duration_seconds", "category_id"), "video_id")
-    return (watch.join(m, "video_id", "left")
+    cols = ["video_id", "duration_seconds", "category_id", *([ORDER] if ORDER in meta.columns else [])]
+    m = meta.select(*cols) if unique else dedupe_first(meta.select(*cols), "video_id")
+    m = m.select("video_id", "duration_seconds", "category_id")
+    known, none = watch.filter(F.col("video_id").isNotNull()), watch.filter(F.col("video_id").isNull())
+    blank = [F.lit(None).cast(m.schema[c].dataType).alias(c) for c in m.columns[1:]]
+    joined = known.join(m, "video_id", "left")
+    return (joined.unionByName(none.select("*", *blank))
             .withColumn("duration_hours", F.col("duration_seconds") / F.lit(3600.0))
             .withColumn("category", C.category_name("category_id"))
             .withColumn("year", F.year(ts))

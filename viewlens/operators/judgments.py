@@ -110,7 +110,7 @@ def summary(validated: DataFrame, labels: list[str] | tuple[str, ...] = S.TRIAGE
     n = F.coalesce(F.try_element_at(F.col("_counts"), F.col("triage_label")), F.lit(0)).cast("long")
     return per.select("triage_label", n.alias("label_count"),
                       F.when(F.col("scored") > 0, C.round_ratio(n * 100, F.col("scored"), 1))
-                      .otherwise(F.lit(0.0)).alias("pct"), "scored", "errors")
+                      .otherwise(F.lit(0.0)).alias("pct"), "scored", "errors").orderBy("triage_label")
 
 
 def score_rows(valid: DataFrame, titles: DataFrame, model: str, scored_at,
@@ -127,8 +127,10 @@ def score_rows(valid: DataFrame, titles: DataFrame, model: str, scored_at,
 
 def evaluation_text(meta: DataFrame, key: str = "video_id") -> DataFrame:
     """P31-P36 + T9: the per-video evaluation text (9-line template)."""
-    title = F.coalesce(F.col("api_title"), F.lit("Unknown"))
-    channel = F.coalesce(F.col("api_channel_title"), F.lit("Unknown"))
+    def known(c):  # P36: a table without the column counts as all NULL
+        return F.coalesce(F.col(c), F.lit("Unknown")) if c in meta.columns else F.lit("Unknown")
+
+    title, channel = known("api_title"), known("api_channel_title")
     cat = F.coalesce(F.col("category_id").cast("string"), F.lit("N/A"))
     tags = F.array_join(F.slice(F.col("tags"), 1, S.TAG_DISPLAY_LIMIT), ", ")
     tag_str = F.when(F.col("tags").isNull() | (F.size("tags") == 0), F.lit("None")).otherwise(tags)

@@ -56,6 +56,7 @@ def call_count(pending: DataFrame, batch_size: int = S.LOOKUP_BATCH_SIZE) -> Dat
 LANDED = T.StructType([
     T.StructField("requested", T.ArrayType(T.StringType())),
     T.StructField("response", T.StringType()),
+    T.StructField("error", T.StringType()),
 ])
 
 
@@ -63,19 +64,29 @@ def fetch(pending: DataFrame, fetch_fn: Callable[[list[str]], dict], key: str =
           batch_size: int = S.LOOKUP_BATCH_SIZE, max_parallel: int | None = None) -> DataFrame:
     """S9 + W5: call ``fetch_fn`` with up to ``batch_size`` ids at a time.
 
-    Runs inside ``mapInPandas``: each task chunks its own ids, so calls are
-    at most ceil(n/batch) + partitions - 1 and run in parallel.
-    ``max_parallel=k`` coalesces the ids into k tasks (no shuffle), so at
-    most k calls are in flight (a rate limit). The raw response
-    is landed as JSON text next to the ids it answers, so parsing is a
-    separate, replayable step. A ``QuotaExceeded`` ends the task's calls and
-    keeps what already landed (K5); the next run's anti-join resumes.
+    Runs inside ``mapInPandas`` on ids dealt by key to ``max_parallel`` tasks
+    (the shuffle partitions if not given), which is how many calls are in
+    flight; calls are at most ceil(n/batch) + tasks - 1. The raw response is
+    landed as JSON text next to the ids it answers, so parsing is a separate,
+    replayable step. A call that fails lands its error instead of a response
+    and the others go on; its ids stay pending for the next run. A
+    ``QuotaExceeded`` ends the task's calls and keeps what already landed
+    (K5); the next run's anti-join resumes.
     """
+    tasks = max_parallel or int(pending.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         buf: list[str] = []
 
         def call(ids):
-            return pd.DataFrame({"requested": [ids], "response": [json.dumps(fetch_fn(ids))]})
+            response = error = None
+            try:
+                response = json.dumps(fetch_fn(ids))
+            except QuotaExceeded:
+                raise
+            except Exception as e:  # whatever the service raises: the row says what
+                error = f"{type(e).__name__}: {e}"
+            return pd.DataFrame({"requested": [ids], "response": [response], "error": [error]})
 
         for pdf in batches:
             for v in pdf[key].tolist():
@@ -93,9 +104,7 @@ def fetch(pending: DataFrame, fetch_fn: Callable[[list[str]], dict], key: str =
                 return
 
     ids = pending.select(F.col(key).cast("string").alias(key))
-    if max_parallel:
-        ids = ids.coalesce(max_parallel)
-    return ids.mapInPandas(run, LANDED)
+    return ids.repartition(tasks, key).mapInPandas(run, LANDED)
 
 
 def fetch_landed(pending: DataFrame, fetch_fn: Callable[[list[str]], dict], landing: str,
@@ -156,7 +165,9 @@ def unavailable_rows(requested: DataFrame, returned: DataFrame, key: str = "vide
 
 
 def resolve(landed: DataFrame) -> DataFrame:
-    """Returned items plus sentinel rows for the ids each call missed."""
+    """Returned items plus sentinel rows for the ids each call missed;
+    calls without a response say nothing of their ids."""
+    landed = landed.filter(F.col("response").isNotNull())
     returned = flatten_items(landed)
     requested = landed.select(F.explode("requested").alias("video_id"))
     return returned.unionByName(unavailable_rows(requested, returned))

@@ -127,7 +127,14 @@ def exact_medians(df: DataFrame, values: Sequence[str], group_cols: Sequence[str
 
 def first_n_by_rank(df: DataFrame, order_cols: Sequence[str], n: int,
                     group_cols: Sequence[str] = ()) -> DataFrame:
-    """Rows of ``df`` whose (order_cols) key is among the first ``n`` in the
-    ordering (per group). Keys should be unique per row; distributed for any n."""
-    r = rank_below(df, order_cols, group_cols).filter(F.col("_below") < n)
-    return df.join(r.select(*group_cols, *order_cols), [*group_cols, *order_cols], "left_semi")
+    """The first ``n`` rows of ``df`` in the ordering (per group), distributed
+    for any n. The first order column (a number, not NULL) is ranked; of the
+    rows that share the value at the cut, as many as still fit are taken, in
+    the order of the other columns (NULLs last)."""
+    group_cols, (first, *rest) = list(group_cols), order_cols
+    r = rank_below(df, [first], group_cols).filter(F.col("_below") < n)
+    j = df.join(r.select(*group_cols, first, "_cnt", (F.lit(n) - F.col("_below")).alias("_room")), [*group_cols, first])
+    w = Window.partitionBy(*group_cols, first).orderBy(*(F.col(c).asc_nulls_last() for c in rest or [first]))
+    tied = j.filter(F.col("_cnt") > F.col("_room")).withColumn("_nth", F.row_number().over(w))
+    tied = tied.filter((F.col("_nth") <= n) & (F.col("_nth") <= F.col("_room")))
+    return j.filter(F.col("_cnt") <= F.col("_room")).select(*df.columns).union(tied.select(*df.columns))

@@ -49,12 +49,15 @@ def category_hours(enriched: DataFrame) -> DataFrame:
     return enriched.groupBy("category").agg(hours_sum().alias("hours"))
 
 
+def ranked_categories(hours: DataFrame) -> DataFrame:
+    """Categories by hours (ties by name): one row per category, bounded by
+    the dimension."""
+    return hours.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("hours"), "category")))
+
+
 def top_categories(enriched: DataFrame, n: int = 10) -> DataFrame:
-    """The n categories with most hours (ties by name). The limit is the
-    feature; the input is one row per category (bounded by the dimension)."""
-    ranked = category_hours(enriched).withColumn(
-        "rank", F.row_number().over(Window.orderBy(F.desc("hours"), "category")))
-    return ranked.filter(F.col("rank") <= n)
+    """The n categories with most hours. The limit is the feature."""
+    return ranked_categories(category_hours(enriched)).filter(F.col("rank") <= n)
 
 
 def monthly_hours(enriched: DataFrame) -> DataFrame:
@@ -74,18 +77,29 @@ def type_breakdown(watch: DataFrame) -> DataFrame:
     return watch.groupBy("type").agg(F.count(F.lit(1)).alias("events"))
 
 
+def category_year_seconds(enriched: DataFrame) -> DataFrame:
+    """Seconds per year and category: a few hundred rows, from one pass."""
+    return enriched.groupBy("year", "category").agg(F.sum("duration_seconds").alias("duration_seconds"))
+
+
 def category_groups(enriched: DataFrame, top: int = S.TOP_CATEGORIES) -> DataFrame:
     """Category -> slot (1..top by hours, top+1 = Other). One row per
     category, so the broadcast below is bounded by the dimension size."""
-    return top_categories(enriched, n=10**6).select(
+    return ranked_categories(category_hours(enriched)).select(
         "category", F.when(F.col("rank") <= top, F.col("rank")).otherwise(top + 1).alias("slot"))
 
 
+def category_year_feed(enriched: DataFrame) -> DataFrame:
+    """K7: hours per category and year, the long form of the pivot."""
+    hours = F.coalesce(F.col("duration_seconds") / F.lit(3600.0), F.lit(0.0))
+    return category_year_seconds(enriched).filter(F.col("year").isNotNull()).select("category", "year", hours.alias("hours"))
+
+
 def category_year_slots(enriched: DataFrame, top: int = S.TOP_CATEGORIES) -> DataFrame:
     """A10/A11 without a driver round trip: year x (cat_1..cat_top, other),
     zero-filled; slot i is the i-th category by total hours."""
-    slots = category_groups(enriched, top)
-    j = enriched.join(F.broadcast(slots), "category", "left")
+    cells = category_year_seconds(enriched)
+    j = cells.join(F.broadcast(category_groups(cells, top)), "category", "left")
     aggs = [F.coalesce(F.sum(F.when(F.col("slot") == i, F.col("duration_seconds"))) / F.lit(3600.0),
                        F.lit(0.0)).alias(f"cat_{i}") for i in range(1, top + 1)]
     aggs.append(F.coalesce(F.sum(F.when(F.col("slot") > top, F.col("duration_seconds")))
@@ -97,7 +111,7 @@ def category_year_pivot(enriched: DataFrame, top: int = S.TOP_CATEGORIES) -> Dat
     """A10/A11 with real column names: top categories in order, then 'Other'
     only when some category falls outside the top. Collects at most top+1
     names (one row per category) to name the columns."""
-    slots = category_groups(enriched, top).orderBy("slot").collect()
+    slots = category_groups(category_year_seconds(enriched), top).orderBy("slot").collect()
     names = [r["category"] for r in slots if r["slot"] <= top]
     has_other = any(r["slot"] > top for r in slots)
     wide = category_year_slots(enriched, top)

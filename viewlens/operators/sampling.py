@@ -2,11 +2,10 @@
 (P22, J3, J4, J9, T6-T8, U1).
 
 Samples are deterministic: rows are ordered by a 60-bit key taken from
-md5('<id>:<seed>') (then the id) and the first n are kept. Up to
-``TOP_K_LIMIT`` rows the cut is Spark's top-k (each task keeps its n best,
-one small merge: at most n x partitions rows move); beyond that it is made
-with the distributed exact rank, so n may be any size and no task or the
-driver gathers the candidates.
+md5('<id>:<seed>') (then the id) and the first n are kept, with the
+distributed exact rank for every n, so no task or the driver gathers the
+candidates. A NULL id orders last; rows that repeat an id are taken or left
+one by one, so a sample has exactly min(n, size) rows.
 """
 
 from __future__ import annotations
@@ -18,13 +17,11 @@ from viewlens import schemas as S
 from viewlens.functions import columns as C
 from viewlens.operators.ranking import first_n_by_rank
 
-TOP_K_LIMIT = 10_000
+NULL_KEY = 1 << 62  # above every pool bit and hash
 
 
 def first_n(df: DataFrame, order_cols: list[str], n: int) -> DataFrame:
-    """The first n rows in order_cols order (keys unique per row)."""
-    if n <= TOP_K_LIMIT:
-        return df.orderBy(*order_cols).limit(n)
+    """The first n rows in order_cols order; the first one is a number."""
     return first_n_by_rank(df, order_cols, n)
 
 
@@ -44,7 +41,7 @@ def seeded(df: DataFrame, n: int | None, key: str = "video_id", seed: int = 42)
     """N rows without replacement; all rows when n is 0/None or >= size."""
     if not n:
         return df
-    keyed = df.withColumn("_h", C.md5_rank_key(key, seed))
+    keyed = df.withColumn("_h", F.coalesce(C.md5_rank_key(key, seed), F.lit(NULL_KEY)))
     return first_n(keyed, ["_h", key], n).drop("_h")
 
 
@@ -64,7 +61,7 @@ def priority(items: DataFrame, scored: DataFrame, n: int | None, key: str = "vid
     # scored rows sort before every unscored row: the pool bit sits above the 60-bit hash
     pk = F.when(F.col("is_scored"), F.lit(0)).otherwise(F.lit(1 << 60)).cast("long") \
         + C.md5_rank_key(key, seed)
-    keyed = flagged.withColumn("_p", pk)
+    keyed = flagged.withColumn("_p", F.coalesce(pk, F.lit(NULL_KEY)))
     return first_n(keyed, ["_p", key], n).drop("_p")
 
 

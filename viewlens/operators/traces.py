@@ -20,26 +20,28 @@ EMPTY_RE = r"^\s*\{\s*\}\s*$"
 
 
 def summarise(trace: DataFrame, key: str = "video_id", max_rounds: int = S.MAX_TOOL_ROUNDS) -> DataFrame:
-    """Per trace: outcome (assessed / empty_assessment / stopped_without_tools /
-    round_cap), final assessment JSON, ordered tools_used (unknown tools not
+    """Per trace: outcome (assessed / empty_assessment / failed /
+    stopped_without_tools / round_cap; failed: the loop reached a round whose
+    call failed, which the trace records as a block of type ``error``), final assessment JSON, ordered tools_used (unknown tools not
     recorded), tool_rounds (= non-submit calls), error_calls, end_round."""
     t = trace.filter(F.col("round") <= max_rounds)
     is_tool = F.col("block_type") == "tool_use"
     is_submit = is_tool & (F.col("tool_name") == S.SUBMIT_TOOL)
     rounds = t.groupBy(key, "round").agg(
         (F.count_if(is_tool) > 0).alias("_has_tool"),
+        (F.count_if(F.col("block_type") == "error") > 0).alias("_error"),
         F.max_by(F.when(is_submit, F.col("input_json")),
                  F.when(is_submit, F.col("pos"))).alias("_last_submit"))
     w = Window.partitionBy(key).orderBy("round").rowsBetween(Window.unboundedPreceding, 0)
     rounds = rounds.withColumn("_latest", F.last("_last_submit", ignorenulls=True).over(w))
     nonempty = F.col("_latest").isNotNull() & ~F.col("_latest").rlike(EMPTY_RE)
     rounds = rounds.withColumn("_done", F.col("_has_tool") & nonempty) \
-                   .withColumn("_stop", ~F.col("_has_tool"))
+                   .withColumn("_stop", ~F.col("_has_tool") | F.col("_error"))
     # a trace's rounds are few (<= max_rounds), so this group is bounded
     per = rounds.groupBy(key).agg(
         F.min(F.when(F.col("_done") | F.col("_stop"), F.col("round"))).alias("_end"),
         F.max("round").alias("_max_round"),
-        F.min_by(F.struct("_done", "_latest"),
+        F.min_by(F.struct("_done", "_latest", "_error"),
                  F.when(F.col("_done") | F.col("_stop"), F.col("round"))).alias("_at_end"),
         F.max_by("_latest", "round").alias("_latest_last"))
     ended = F.col("_end").isNotNull()
@@ -47,12 +49,13 @@ def summarise(trace: DataFrame, key: str = "video_id", max_rounds: int = S.MAX_T
     done = ended & F.col("_at_end._done")
     empty = latest.isNotNull() & latest.rlike(EMPTY_RE)
     outcome = (F.when(done, F.lit("assessed"))
+               .when(ended & F.col("_at_end._error"), F.lit("failed"))
                .when(empty, F.lit("empty_assessment"))
                .when(ended | (F.col("_max_round") < max_rounds), F.lit("stopped_without_tools"))
                .otherwise(F.lit("round_cap")))
     per = per.select(key, F.coalesce("_end", "_max_round").alias("end_round"),
                      outcome.alias("outcome"),
-                     F.when(done | empty, latest).alias("assessment"))
+                     F.when(done | (empty & ~(ended & F.col("_at_end._error"))), latest).alias("assessment"))
     calls = (t.filter(is_tool).select(key, "round", "pos", "tool_name")
              .join(per.select(key, "end_round"), key)
              .filter(F.col("round") <= F.col("end_round")))

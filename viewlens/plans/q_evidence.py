@@ -175,3 +175,57 @@ def q_transcript_status(spark, base):
     """S11 + X4: requested ids (documents) with or without segments."""
     req = io.read_table(spark, base, "documents").select(F.col("doc_id").alias("video_id"))
     return E.transcript_lookup(E.transcripts(segments(spark, base)), req)
+
+
+@register("category_lookup", CAT_BASE + """, cw AS (SELECT category_id, count(*) AS total_watches,
+  count(DISTINCT w.video_id) AS unique_videos FROM watch w JOIN vc USING (video_id) GROUP BY category_id),
+  cm AS (SELECT category_id, CAST(trunc(quantile_cont(view_count, 0.5)) AS BIGINT) AS median_views,
+    CAST(trunc(quantile_cont(like_count, 0.5)) AS BIGINT) AS median_likes
+    FROM meta_stats WHERE category_id IS NOT NULL GROUP BY category_id),
+  ctx AS (SELECT cm.category_id, coalesce(c.category_name, 'Category ' || cm.category_id) AS category_name,
+    coalesce(cw.total_watches, 0) AS total_watches, cw.unique_videos, cm.median_views, cm.median_likes
+    FROM cm LEFT JOIN cw USING (category_id) LEFT JOIN catdim c ON c.category_id = cm.category_id),
+  top AS (SELECT category_id, string_agg(channel_name || ':' || n, ',' ORDER BY rank) AS top_channels FROM (
+    SELECT category_id, channel_name, count(*) AS n,
+      row_number() OVER (PARTITION BY category_id ORDER BY count(*) DESC, channel_name) AS rank
+    FROM watch w JOIN vc USING (video_id) WHERE channel_name IS NOT NULL GROUP BY category_id, channel_name)
+    WHERE rank <= 5 GROUP BY category_id), """ + V.SCORES_SQL + ", " + DOC_META_SQL + f""",
+  q AS (SELECT category_id, count(*) AS scored_count,
+      {HE('sum(CAST(round(composite_score * 100) AS BIGINT))', 'count(*) * 100', 2)} AS avg_composite
+    FROM scores s JOIN doc_meta m USING (video_id) GROUP BY category_id),
+  ql AS (SELECT category_id, string_agg(triage_label || ':' || n, ',' ORDER BY triage_label) AS labels FROM (
+    SELECT category_id, triage_label, count(*) AS n FROM scores s JOIN doc_meta m USING (video_id)
+    GROUP BY category_id, triage_label) GROUP BY category_id)
+  SELECT r.category_id, ctx.category_name, coalesce(ctx.total_watches, 0) AS total_watches, ctx.unique_videos,
+    ctx.median_views, ctx.median_likes, top.top_channels, q.scored_count, q.avg_composite, ql.labels,
+    CASE WHEN ctx.category_id IS NULL THEN 'Category not found in metadata'
+         WHEN q.scored_count IS NULL THEN 'No quality scores available yet' END AS note
+  FROM (SELECT DISTINCT CAST(p_size AS VARCHAR) AS category_id FROM part) r LEFT JOIN ctx USING (category_id)
+  LEFT JOIN top USING (category_id) LEFT JOIN q USING (category_id) LEFT JOIN ql USING (category_id)""")
+def q_category_lookup(spark, base):
+    """Categories asked about (part sizes), known or not, with top
+    channels, medians and quality in one record."""
+    watch, meta = V.watch(spark, base), V.meta_stats(spark, base)
+    req = io.read_table(spark, base, "part").select(F.col("p_size").cast("string").alias("category_id"))
+    quality = E.category_quality(doc_meta(spark, base), V.scores(spark, base))
+    j = E.category_lookup(E.category_context(watch, meta), E.category_top_channels(watch, meta), req, quality)
+    tops = F.array_join(F.transform("top_channels", lambda t: F.concat_ws(
+        ":", t["channel"].cast("string"), t["watches"].cast("string"))), ",")
+    labels = F.array_join(F.transform(F.array_sort(F.map_entries("label_distribution")), lambda e: F.concat_ws(
+        ":", e["key"], e["value"].cast("string"))), ",")
+    return j.select("category_id", "category_name", "total_watches", "unique_videos", "median_views", "median_likes",
+                    tops.alias("top_channels"), "scored_count", "avg_composite", labels.alias("labels"), "note")
+
+
+@register("engagement_first_row", ENG_SQL.replace("AS ratio FROM meta_stats)", """AS ratio, ingest_order
+  FROM (SELECT *, 1 AS ingest_order FROM meta_stats UNION ALL
+    SELECT * REPLACE (view_count * 2 AS view_count), 2 FROM meta_stats))""").replace(
+    "FROM m LEFT JOIN vr USING (views) LEFT JOIN lr USING (ratio))",
+    "FROM m LEFT JOIN vr USING (views) LEFT JOIN lr USING (ratio) WHERE ingest_order = 1)") + "SELECT * FROM metrics")
+def q_engagement_first_row(spark, base):
+    """Every video is stored twice; the first stored row speaks for it
+    (the population of the percentiles is all rows)."""
+    m = V.meta_stats(spark, base)
+    twice = m.withColumn("ingest_order", F.lit(1)).unionByName(
+        m.withColumn("view_count", F.col("view_count") * 2).withColumn("ingest_order", F.lit(2)))
+    return E.engagement_metrics(twice)

@@ -388,3 +388,27 @@ def q_stream_ingest(spark, base):
     ST.land(first, landing)  # the same responses landed again
     ST.ingest_landed(spark, landing, store, ckpt)
     return ST.store_rows(spark, store).select("video_id", "api_title", "category_id", "duration_seconds")
+
+
+@register("category_year_feed", with_ctes(V.WATCH_SQL, V.META_SQL, V.category_values_sql()) + """SELECT
+  coalesce(c.category_name, 'Unknown') AS category, CAST(year(w."timestamp") AS INTEGER) AS year,
+  coalesce(CAST(sum(m.duration_seconds) AS DOUBLE) / 3600, 0.0) AS hours
+  FROM watch w LEFT JOIN meta m USING (video_id) LEFT JOIN catdim c USING (category_id) GROUP BY 1, 2""")
+def q_category_year_feed(spark, base):
+    """K7 + A10: hours per category and year, written as a feed and read back."""
+    from viewlens.operators import history
+    path = scratch_path(spark, "feed-category-year")
+    io.overwrite(reports.category_year_feed(history.watch_enriched(V.watch(spark, base), V.meta(spark, base))), path)
+    return spark.read.parquet(path)
+
+
+@register("csv_metadata_import", """SELECT CAST(p_partkey AS VARCHAR) AS video_id,
+  CASE WHEN p_type = 'PROMO' THEN '[unavailable]' ELSE p_name END AS api_title,
+  CASE WHEN p_type = 'PROMO' THEN NULL ELSE regexp_extract(p_brand, '#(\\d+)', 1) END AS category_id,
+  CASE WHEN p_type = 'PROMO' THEN NULL ELSE CAST(p_size AS BIGINT) * 60 END AS duration_seconds FROM part""")
+def q_csv_metadata_import(spark, base):
+    """S4 + K6: the metadata store through CSV and back with its own schema
+    (array columns as '|'-joined text)."""
+    path = scratch_path(spark, "meta-csv")
+    io.write_csv(L.resolve(part_response(spark, base)), path)
+    return io.read_csv(spark, path, S.META).select("video_id", "api_title", "category_id", "duration_seconds")

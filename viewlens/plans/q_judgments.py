@@ -403,3 +403,21 @@ def q_report_rows(spark, base):
     return r.select(*[F.array_join(c, "|").alias(c) if c in ("key_signals", "tools_used") else
                       (F.col(c).cast("long").alias(c) if c == "tool_rounds" else F.col(c))
                       for c in r.columns])
+
+
+@register("report_append", with_ctes(V.META_SQL) + ", " + TRACE_SQL[len("WITH "):] + """SELECT s.video_id,
+  m.api_title AS title, s.outcome = 'assessed' AS assessed, count(*) OVER (PARTITION BY s.video_id) AS reports
+  FROM summ s LEFT JOIN meta m USING (video_id) WHERE s.outcome IN ('assessed', 'empty_assessment')""")
+def q_report_append(spark, base):
+    """The reports are appended twice; each id has one."""
+    from viewlens.plans import jobs
+    from viewlens.session import scratch_path
+    path = scratch_path(spark, "reports")
+    s = summaries(spark, base)
+    for _ in range(2):
+        jobs.append_reports(s, V.meta(spark, base), path, clock())
+    r = spark.read.parquet(path)
+    per = r.groupBy("video_id").agg(F.count(F.lit(1)).alias("reports"))
+    outcome = s.select("video_id", (F.col("outcome") == "assessed").alias("assessed"))
+    return r.select("video_id", "title").join(outcome, "video_id").join(per, "video_id").select(
+        "video_id", "title", "assessed", "reports")

@@ -132,43 +132,3 @@ RESPONSE_ITEM = T.StructType([
     ])),
 ])
 RESPONSE = T.StructType([T.StructField("items", T.ArrayType(RESPONSE_ITEM))])
-
-SCORES = T.StructType([
-    T.StructField("video_id", T.StringType()),
-    *[T.StructField(d, T.LongType()) for d in QUALITY_DIMENSIONS],
-    T.StructField("composite_score", T.DoubleType()),
-    T.StructField("triage_label", T.StringType()),
-    T.StructField("rationale", T.StringType()),
-    T.StructField("model", T.StringType()),
-    T.StructField("scored_at", T.TimestampType()),
-])
-
-REPORTS = T.StructType([
-    T.StructField("video_id", T.StringType()),
-    T.StructField("title", T.StringType()),
-    T.StructField("channel", T.StringType()),
-    T.StructField("triage_label", T.StringType()),
-    T.StructField("confidence", T.StringType()),
-    T.StructField("content_type", T.StringType()),
-    T.StructField("summary", T.StringType()),
-    T.StructField("key_signals", T.ArrayType(T.StringType())),
-    T.StructField("tools_used", T.ArrayType(T.StringType())),
-    T.StructField("tool_rounds", T.IntegerType()),
-    T.StructField("evaluated_at", T.TimestampType()),
-])
-
-SEGMENTS = T.StructType([
-    T.StructField("video_id", T.StringType()),
-    T.StructField("seq", T.LongType()),
-    T.StructField("text", T.StringType()),
-])
-
-# One tool-call (or text) block of an evaluation trace.
-TRACE = T.StructType([
-    T.StructField("video_id", T.StringType()),
-    T.StructField("round", T.IntegerType()),
-    T.StructField("pos", T.IntegerType()),
-    T.StructField("block_type", T.StringType()),
-    T.StructField("tool_name", T.StringType()),
-    T.StructField("input_json", T.StringType()),
-])

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import os
 import tempfile
 import uuid
 
@@ -20,6 +19,9 @@ BASE_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # External lookups must not be repeated by speculative copies.
     "spark.speculation": "false",
+    # First-k per key is cut before the shuffle up to this k (a transcript's
+    # visible prefix has at most 3,001 segments).
+    "spark.sql.optimizer.windowGroupLimitThreshold": "4096",
     "spark.ui.enabled": "false",
 }
 
@@ -50,10 +52,14 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared folder named by ``spark.checkpoint.dir``.
 
-    Set our own only where the session leaves it unset (as in tests).
+    Set our own only where the session leaves it unset and runs in one
+    process (as in tests): a folder of the driver's machine is none that
+    executors share.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="viewlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
@@ -66,8 +72,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def shuffle_partitions_from_env(default: int = 8) -> int:
-    return int(os.environ.get("VIEWLENS_SHUFFLE_PARTITIONS", default))
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    """Remove a folder that ``scratch_path`` named."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def sized_conf(input_bytes: int, cores: int, scan_bytes: int = 256 << 20,

@@ -84,19 +84,30 @@ def _csv_ready(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
+CSV_FILE_ROWS = 1_000_000
+
+
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV-compat sink: every field quoted, quotes doubled, header, multi-line safe."""
-    (_csv_ready(df).write.mode("overwrite")
+    """CSV-compat sink: every field quoted, quotes doubled, header, multi-line
+    safe; at most CSV_FILE_ROWS rows a file, as a file is read by one task."""
+    (_csv_ready(df).write.mode("overwrite").option("maxRecordsPerFile", CSV_FILE_ROWS)
      .option("header", True).option("quoteAll", True).option("escape", '"')
      .option("emptyValue", "").csv(path))
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """S2/S4 CSV import with an explicit schema; only empty fields are NULL."""
-    return (spark.read.schema(schema).option("header", True).option("multiLine", True)
-            .option("escape", '"').option("mode", "FAILFAST").csv(path))
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage into the shared ``spark.checkpoint.dir`` (reliable checkpoint)."""
-    return df.checkpoint(eager=True)
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, multiline: bool = True) -> DataFrame:
+    """S2/S4 CSV import with an explicit schema; only empty fields are NULL.
+    Array columns are read as '|'-joined text and split (empty: no entries).
+
+    A quoted line break can only be told from a record's end by reading a
+    file from its start, so a file is one task: the writer spreads a table
+    over many files. ``multiline=False`` splits files that hold none."""
+    if isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    flat = T.StructType([T.StructField(f.name, T.StringType() if isinstance(f.dataType, T.ArrayType) else f.dataType)
+                         for f in schema.fields])
+    df = (spark.read.schema(flat).option("header", True).option("multiLine", multiline)
+          .option("escape", '"').option("mode", "FAILFAST").csv(path))
+    return df.select(*(
+        F.when(F.col(f.name).isNull(), F.array().cast(f.dataType)).otherwise(F.split(f.name, r"\|").cast(f.dataType)).alias(f.name)
+        if isinstance(f.dataType, T.ArrayType) else F.col(f.name) for f in schema.fields))

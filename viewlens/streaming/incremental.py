@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from viewlens import schemas as S
 from viewlens.operators import lookup as L
+from viewlens.operators.history import dedupe_first
 from viewlens.sources import io
 
 
@@ -23,7 +24,7 @@ def _append_new(store: str):
         resolved = L.resolve(batch)
         known = io.read_keys(spark, store, schema=S.META)
         # one row per id inside the batch, none already stored
-        fresh = resolved.dropDuplicates(["video_id"]).join(known, "video_id", "left_anti")
+        fresh = dedupe_first(resolved).join(known, "video_id", "left_anti")
         io.append(fresh, store)
     return run
 
@@ -39,7 +40,7 @@ def ingest_landed(spark: SparkSession, landing: str, store: str, checkpoint: str
 
 def land(df: DataFrame, landing: str) -> None:
     """Write landed responses as JSON files (one drop)."""
-    df.select("requested", "response").write.mode("append").json(landing)
+    df.select("requested", "response", *(["error"] if "error" in df.columns else [])).write.mode("append").json(landing)
 
 
 def store_rows(spark: SparkSession, store: str) -> DataFrame:
