@@ -385,8 +385,9 @@ def ngram_links(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k:
     counts = {r["n"]: r["c"] for r in classes.where(F.col("n") <= LIGHT_MAX).groupBy("n")
               .agg(F.count(F.lit(1)).alias("c")).collect()}
     x = light_boundary(counts, percent)
+    everywhere = rows.agg(F.sum("n")).first()[0] or 0  # copies included, as chunks count them
     hot = (seen.where("kind = 1").groupBy("token").agg(F.sum("cnt").alias("cnt"))
-           .where(F.col("cnt") * HOT > total).limit(2 * HOT).collect())  # at most HOT by the threshold
+           .where(F.col("cnt") * F.lit(HOT).cast("long") > everywhere).collect())  # at most HOT by the threshold
     tokens = np.array([r["token"] for r in hot], np.int64).view(np.uint64)
     by = np.argsort(tokens)
     tokens = tokens[by]
