@@ -100,19 +100,23 @@ def joined(spans: Column) -> Column:
 def revealing_terms(near: DataFrame, docs: DataFrame, min_contexts: int = MIN_CONTEXTS,
                     min_share: float = MIN_SHARE, min_bits: float = MIN_BITS) -> DataFrame:
     """``(term, entity, contexts, texts, bits)`` of the terms that give an
-    entity away. ``near(entity, around)`` are the entities with the words
-    about them; counts of a term cover every text of ``docs(text)``.
+    entity away. ``near(th, entity, around)`` are the entities with the words
+    about them and the hash of their text; counts of a term cover every text
+    of ``docs(text)``.
 
     Contexts that are equal (copies) count once for an entity, while every
     text that holds a term counts for the term, so a passage gives nothing
-    away by being copied.
+    away by being copied. Texts with the term beside any entity bound its
+    texts from below: common words fall out before the texts are searched.
     """
+    words = F.explode(F.array_distinct(F.split(F.lower("around"), WORDS))).alias("term")
+    beside = near.select("th", words).distinct().groupBy("term").agg(F.count(F.lit(1)).alias("beside"))
     near = near.select("entity", F.lower("around").alias("around")).distinct()
     per_entity = near.groupBy("entity").agg(F.count(F.lit(1)).alias("e")).where(F.col("e") >= min_contexts)
-    terms = near.select("entity", F.explode(F.array_distinct(F.split("around", WORDS))).alias("term")).where(
-        F.char_length("term") >= 3)
+    terms = near.select("entity", words).where(F.char_length("term") >= 3)
     both = land(terms.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts"))
-                .where(F.col("contexts") >= min_contexts).join(per_entity, "entity"), "cooccur")
+                .where(F.col("contexts") >= min_contexts).join(per_entity, "entity").join(beside, "term")
+                .where(F.col("contexts") >= F.col("beside") * min_share), "cooccur")
     wanted = land(both.select("term").distinct(), "terms")
     if wanted.isEmpty():
         return both.select("term", "entity", "contexts", F.lit(0).cast("long").alias("texts"), F.lit(0.0).alias("bits"))
@@ -150,7 +154,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **kw) -> D
                         F.inline(F.array(F.struct(base_spans(F.col("text")).alias("base")))))
     rows = land(rows.select("doc_id", "th", "base", F.transform("base", lambda s: F.struct(
         entity(s).alias("entity"), around(s).alias("around"))).alias("near")), "base")
-    terms = land(revealing_terms(rows.select(F.inline("near")), plain, **kw).select("term").distinct(), "reveal")
+    terms = land(revealing_terms(rows.select("th", F.inline("near")), plain, **kw).select("term").distinct(), "reveal")
     rows = rows.select("doc_id", "th", "base")
     if terms.isEmpty():
         return rows.select(F.col("doc_id").alias(id_col), "th", "base", F.col("base").alias("spans"))

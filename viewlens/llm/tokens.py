@@ -16,7 +16,11 @@ one path, written by Spark's committers.
 from __future__ import annotations
 
 import hashlib
+import os
+import re
+import unicodedata
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -31,38 +35,127 @@ from viewlens.llm.common import documents, land, shuffle_partitions  # noqa: F40
 DICT_BYTES, SAMPLE_DOCS, SAMPLE_IDS = 64 << 10, 2000, 2048
 LEVEL = 3
 PACK_BYTES = 1 << 20
-#: Distinct words whose ids a task remembers.
-CACHE = 200_000
+#: Distinct words whose ids a task remembers, and words on which it checks
+#: the shortcuts.
+CACHE, CHECKED = 150_000, 500
 
 _HEAD = np.dtype([("magic", "S4"), ("version", "<u2"), ("width", "<u2"), ("docs", "<u4"), ("dict", "V16")])
 _ENTRY = np.dtype([("offset", "<u8"), ("length", "<u4"), ("ids", "<u8"), ("start", "<u8")])
 
 
-class Encoder:
-    """Ids of a text by the words between its blanks and line feeds, which
-    no token of these vocabularies spans; words seen before are looked up."""
+_LOADED: dict[str, object] = {}
+#: A run of letters and one of ASCII punctuation: apart in every vocabulary
+#: that separates words from punctuation (checked, see ``Encoder``).
+_PARTS = re.compile(r"([^\W\d_]+)([!-&(-/:;=-@\[-`{-~]*)\Z")
+_NONE = "\uffff"
+
+
+class _Letters(dict):
+    """Code point -> what normaliser and pre-tokenizer make of that letter."""
+
+    def __init__(self, tok):
+        super().__init__()
+        self.tok = tok
+
+    def __missing__(self, point: int) -> str:
+        text = self.tok.normalizer.normalize_str(chr(point)) if self.tok.normalizer else chr(point)
+        pieces = self.tok.pre_tokenizer.pre_tokenize_str(text) if self.tok.pre_tokenizer else [(text, None)]
+        self[point] = out = pieces[0][0] if len(pieces) == 1 else _NONE
+        return out
 
-    def __init__(self, tokenizer: str, end_id: int):
+
+def _load(path: str):
+    """A tokenizer once for each worker process, without threads of its own."""
+    if path not in _LOADED:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
-        self.tok = Tokenizer.from_file(tokenizer)
-        self.end = end_id
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def batch(self, texts: list[str]) -> list[np.ndarray]:
-        known, split = self.known, [t.replace("\n", " ").split(" ") for t in texts]
-        new = list({w for ws in split for w in ws if w not in known})
-        if len(known) + len(new) > CACHE:
-            known.clear()
-            new = list({w for ws in split for w in ws})
-        for lo in range(0, len(new), 4096):
-            part = new[lo: lo + 4096]
+        _LOADED[path] = Tokenizer.from_file(path)
+    return _LOADED[path]
+
+
+class Encoder:
+    """Ids of a text, serialised, by its words between blanks and line feeds;
+    words seen lately are looked up (two generations of at most CACHE).
+
+    Whether words can be encoded apart is asked of the tokenizer itself, on
+    a probe: if not (byte-level vocabularies whose tokens start with a
+    blank), texts are encoded whole. Likewise the shortcuts for a word of
+    letters and punctuation are checked on the first words of every task.
+    """
+
+    def __init__(self, tokenizer: str, end_id: int, width: int = 4):
+        self.tok, self.kind = _load(tokenizer), {2: "H", 4: "I"}[width]
+        self.letters = _Letters(self.tok)
+        self.end = self._pack([end_id])
+        ids = lambda t: self.tok.encode(t, add_special_tokens=False).ids
+        self.words = ids("One two,\nthree") == ids("One") + ids("two,") + ids("three") and not ids(" ") and not ids("\n")
+        self.known, self.old = {}, {}
+        self.parts, self.checked = True, 0
+
+    def _pack(self, ids) -> bytes:
+        return array(self.kind, ids).tobytes()
+
+    def _shortcut(self, word: str) -> bytes | None:
+        m = _PARTS.match(word)
+        if m is None:
+            return None
+        head, tail = m.groups()
+        out = self.known.get(head) if tail else None
+        if out is None:
+            # letters are one piece; composed ones do not change in company
+            if not head.isalpha() or not (head.isascii() or unicodedata.is_normalized("NFC", head)):
+                return None
+            piece = head.translate(self.letters)
+            if _NONE in piece:
+                return None
+            out = self._pack([t.id for t in self.tok.model.tokenize(piece)])
+            if tail:
+                self.known[head] = out
+        if tail:
+            end = self.known.get(tail)
+            if end is None:
+                end = self.known[tail] = self._pack(self.tok.encode(tail, add_special_tokens=False).ids)
+            out += end
+        return out
+
+    def _learn(self, new: list[str]) -> None:
+        if len(self.known) > CACHE:
+            self.known, self.old = {}, self.known
+        slow = []
+        for w in new:
+            got = self.old.get(w)
+            if got is None and self.parts:
+                got = self._shortcut(w)
+                if got is not None and self.checked < CHECKED:
+                    self.checked += 1
+                    if got != self._pack(self.tok.encode(w, add_special_tokens=False).ids):
+                        self.parts, got = False, None
+                        self.known, self.old = {}, {}
+            if got is None:
+                slow.append(w)
+            else:
+                self.known[w] = got
+        for lo in range(0, len(slow), 4096):
+            part = slow[lo: lo + 4096]
             for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
-                known[w] = tuple(e.ids)
+                self.known[w] = self._pack(e.ids)
+
+    def batch(self, texts: list[str]) -> list[bytes]:
+        """Serialised ids of each text, the end id included."""
+        if not self.words:
+            return [self._pack(e.ids) + self.end for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        known = self.known
+        self._learn(list({w for ws in split for w in ws if w not in known}))
+        known = self.known
         out = []
         for ws in split:
-            ids = [i for w in ws for i in known[w]]
-            ids.append(self.end)
-            out.append(np.array(ids, dtype=np.uint32))
+            try:
+                out.append(b"".join([known[w] for w in ws]) + self.end)
+            except KeyError:  # the generation changed meanwhile
+                self._learn([w for w in set(ws) if w not in known])
+                known = self.known
+                out.append(b"".join([known[w] if w in known else self.old[w] for w in ws]) + self.end)
         return out
 
 
@@ -86,11 +179,10 @@ def train(docs: DataFrame, tokenizer: str, width: int, end_id: int, id_col: str,
     pick = F.pmod(F.xxhash64(F.col(id_col), F.col(text)), F.lit(total)) < want
 
     def run(batches):
-        enc = Encoder(tokenizer, end_id)
+        enc = Encoder(tokenizer, end_id, width)
         for b in batches:
             ids = [i for part in _slices(b.column(0).fill_null("").to_pylist()) for i in enc.batch(part)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([i[:SAMPLE_IDS].astype(f"<u{width}").tobytes() for i in ids], pa.binary())], names=["ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([i[:SAMPLE_IDS * width] for i in ids], pa.binary())], names=["ids"])
 
     # a text far beyond what SAMPLE_IDS ids can come from is not needed whole
     head = docs.where(pick).select(F.substring(F.col(text), 1, 16 * SAMPLE_IDS).alias("t"))
@@ -119,7 +211,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, vocab: in
     out_schema = pa.schema([("seq", pa.int32()), *fields])
 
     def run(batches):
-        enc = Encoder(tokenizer, end_id)
+        enc = Encoder(tokenizer, end_id, width)
         shared = zstandard.ZstdCompressionDict(raw) if raw else None
         press = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared, write_content_size=True)
         held, keys, size, seq, done = [], [], 0, 0, 0
@@ -145,8 +237,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, vocab: in
             at = 0
             for part in _slices(texts):
                 for ids in enc.batch(part):
-                    frame = press.compress(ids.astype(f"<u{width}").tobytes())
-                    held.append((frame, len(ids)))
+                    frame = press.compress(ids)
+                    held.append((frame, len(ids) // width))
                     keys.append(names[at])
                     at += 1
                     size += len(frame)
