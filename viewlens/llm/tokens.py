@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import os
-import re
+import string
 import unicodedata
 import zlib
 from array import array
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from viewlens.llm.common import documents, land, shuffle_partitions  # noqa: F401
+from viewlens.llm.common import doc_slices, shuffle_partitions, text_buffers
 
 #: Dictionary bytes, sampled documents and ids of each that train it.
 DICT_BYTES, SAMPLE_DOCS, SAMPLE_IDS = 64 << 10, 2000, 2048
@@ -37,16 +37,17 @@ LEVEL = 3
 PACK_BYTES = 1 << 20
 #: Distinct words whose ids a task remembers, and words on which it checks
 #: the shortcuts.
-CACHE, CHECKED = 150_000, 500
+CACHE, CHECKED = 200_000, 500
 
 _HEAD = np.dtype([("magic", "S4"), ("version", "<u2"), ("width", "<u2"), ("docs", "<u4"), ("dict", "V16")])
 _ENTRY = np.dtype([("offset", "<u8"), ("length", "<u4"), ("ids", "<u8"), ("start", "<u8")])
 
 
 _LOADED: dict[str, object] = {}
-#: A run of letters and one of ASCII punctuation: apart in every vocabulary
-#: that separates words from punctuation (checked, see ``Encoder``).
-_PARTS = re.compile(r"([^\W\d_]+)([!-&(-/:;=-@\[-`{-~]*)\Z")
+#: ASCII punctuation that never joins the letters before it in vocabularies
+#: that part words from punctuation (checked, see ``Encoder``): all but the
+#: apostrophe of contractions and the "<" of special tokens.
+_PUNCTUATION = "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
 _NONE = "\uffff"
 
 
@@ -86,88 +87,87 @@ class Encoder:
     def __init__(self, tokenizer: str, end_id: int, width: int = 4):
         self.tok, self.kind = _load(tokenizer), {2: "H", 4: "I"}[width]
         self.letters = _Letters(self.tok)
+        self.ascii_lower = all(self.letters[ord(c)] == c.lower() for c in string.ascii_letters)
         self.end = self._pack([end_id])
         ids = lambda t: self.tok.encode(t, add_special_tokens=False).ids
         self.words = ids("One two,\nthree") == ids("One") + ids("two,") + ids("three") and not ids(" ") and not ids("\n")
-        self.known, self.old = {}, {}
+        self.known, self.old, self.pieces = {}, {}, {}
         self.parts, self.checked = True, 0
 
     def _pack(self, ids) -> bytes:
         return array(self.kind, ids).tobytes()
 
+    def _piece(self, head: str) -> bytes | None:
+        """Ids of a run of letters: one piece of the pre-tokenizer. Composed
+        letters do not change in company, so they are mapped one by one."""
+        if head.isascii():
+            piece = head.lower() if self.ascii_lower else head.translate(self.letters)
+        elif unicodedata.is_normalized("NFC", head):
+            piece = head.translate(self.letters)
+        else:
+            return None
+        got = self.pieces.get(piece)
+        if got is None and _NONE not in piece:
+            got = self.pieces[piece] = array(self.kind, [t.id for t in self.tok.model.tokenize(piece)]).tobytes()
+        return got
+
     def _shortcut(self, word: str) -> bytes | None:
-        m = _PARTS.match(word)
-        if m is None:
+        """Ids of letters and ASCII punctuation after them, else None."""
+        if word.isalpha():
+            return self._piece(word)
+        head = word.rstrip(_PUNCTUATION)
+        if not head.isalpha():
             return None
-        head, tail = m.groups()
-        out = self.known.get(head) if tail else None
+        out = self._piece(head)
         if out is None:
-            # letters are one piece; composed ones do not change in company
-            if not head.isalpha() or not (head.isascii() or unicodedata.is_normalized("NFC", head)):
-                return None
-            piece = head.translate(self.letters)
-            if _NONE in piece:
-                return None
-            out = self._pack([t.id for t in self.tok.model.tokenize(piece)])
-            if tail:
-                self.known[head] = out
-        if tail:
-            end = self.known.get(tail)
-            if end is None:
-                end = self.known[tail] = self._pack(self.tok.encode(tail, add_special_tokens=False).ids)
-            out += end
-        return out
-
-    def _learn(self, new: list[str]) -> None:
-        if len(self.known) > CACHE:
-            self.known, self.old = {}, self.known
-        slow = []
+            return None
+        tail = word[len(head):]
+        end = self.known.get(tail)
+        if end is None:
+            end = self.known[tail] = self._pack(self.tok.encode(tail, add_special_tokens=False).ids)
+        return out + end
+
+    def _learn(self, new: set[str]) -> None:
+        known, old, slow = self.known, self.old, []
         for w in new:
-            got = self.old.get(w)
+            got = old.get(w)
             if got is None and self.parts:
                 got = self._shortcut(w)
                 if got is not None and self.checked < CHECKED:
                     self.checked += 1
                     if got != self._pack(self.tok.encode(w, add_special_tokens=False).ids):
                         self.parts, got = False, None
-                        self.known, self.old = {}, {}
+                        known.clear()
+                        old.clear()
+                        slow = [v for v in new]
+                        break
             if got is None:
                 slow.append(w)
             else:
-                self.known[w] = got
+                known[w] = got
         for lo in range(0, len(slow), 4096):
             part = slow[lo: lo + 4096]
             for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[w] = self._pack(e.ids)
+                known[w] = self._pack(e.ids)
 
     def batch(self, texts: list[str]) -> list[bytes]:
         """Serialised ids of each text, the end id included."""
         if not self.words:
             return [self._pack(e.ids) + self.end for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
         split = [t.replace("\n", " ").split(" ") for t in texts]
+        if len(self.known) > CACHE:  # words of this batch come over as they are met
+            self.known, self.old, self.pieces = {}, self.known, {}
         known = self.known
-        self._learn(list({w for ws in split for w in ws if w not in known}))
-        known = self.known
-        out = []
-        for ws in split:
-            try:
-                out.append(b"".join([known[w] for w in ws]) + self.end)
-            except KeyError:  # the generation changed meanwhile
-                self._learn([w for w in set(ws) if w not in known])
-                known = self.known
-                out.append(b"".join([known[w] if w in known else self.old[w] for w in ws]) + self.end)
-        return out
+        self._learn({w for w in set().union(*split) if w not in known})
+        return [b"".join([known[w] for w in ws]) + self.end for ws in split]
 
 
-def _slices(texts: list[str], limit: int = 1 << 20):
-    lo, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= limit:
-            yield texts[lo: i + 1]
-            lo, size = i + 1, 0
-    if lo < len(texts):
-        yield texts[lo:]
+def _slices(column, limit: int = 1 << 20):
+    """Texts of an Arrow column, about ``limit`` bytes at a time."""
+    column = column.fill_null("")
+    _, offsets = text_buffers(column)
+    for lo, hi in doc_slices(offsets, limit):
+        yield column.slice(lo, hi - lo).to_pylist()
 
 
 def train(docs: DataFrame, tokenizer: str, width: int, end_id: int, id_col: str, text: str,
@@ -181,7 +181,7 @@ def train(docs: DataFrame, tokenizer: str, width: int, end_id: int, id_col: str,
     def run(batches):
         enc = Encoder(tokenizer, end_id, width)
         for b in batches:
-            ids = [i for part in _slices(b.column(0).fill_null("").to_pylist()) for i in enc.batch(part)]
+            ids = [i for part in _slices(b.column(0)) for i in enc.batch(part)]
             yield pa.RecordBatch.from_arrays([pa.array([i[:SAMPLE_IDS * width] for i in ids], pa.binary())], names=["ids"])
 
     # a text far beyond what SAMPLE_IDS ids can come from is not needed whole
@@ -232,10 +232,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, vocab: in
             return pa.RecordBatch.from_pylist([row], schema=out_schema)
 
         for b in batches:
-            texts = b.column(1).fill_null("").to_pylist()
             names = b.column(0).to_pylist()
             at = 0
-            for part in _slices(texts):
+            for part in _slices(b.column(1)):
                 for ids in enc.batch(part):
                     frame = press.compress(ids)
                     held.append((frame, len(ids) // width))
