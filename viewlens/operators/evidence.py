@@ -105,7 +105,7 @@ def engagement_metrics(meta: DataFrame, key: str = "video_id") -> DataFrame:
             F.struct(F.lit(0).alias("_m"), F.col("views").cast("double").alias("_v")),
             F.struct(F.lit(1).alias("_m"), F.col("_ratio").alias("_v")))))
 
-    ranks = rank_below(stacked(m), ["_v"], ["_m"]).select("_m", "_v", "_below", "_n")
+    ranks = rank_below(stacked(m), ["_v"], ["_m"], few_groups=True).select("_m", "_v", "_below", "_n")
     first = dedupe_first(m, key)  # W4: the first row of a video
 
     def pick(metric, c):

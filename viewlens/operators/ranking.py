@@ -22,18 +22,28 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 256
+MIN_BUCKETS = 256
+
+
+def default_buckets(df: DataFrame) -> int:
+    """Buckets of a rank: twice the shuffle partitions, so that a table-wide
+    rank uses every task of the session."""
+    return max(MIN_BUCKETS, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def rank_below(df: DataFrame, order_cols: Sequence[str], group_cols: Sequence[str] = (),
-               weight: str | None = None, buckets: int = DEFAULT_BUCKETS,
-               accuracy: int = 10_000) -> DataFrame:
+               weight: str | None = None, buckets: int | None = None,
+               accuracy: int = 10_000, few_groups: bool = False) -> DataFrame:
     """Distinct (group_cols, order_cols) rows with ``_cnt`` (their weight),
     ``_below`` (weight strictly before, same group) and ``_n`` (group total).
 
     Rows with a NULL in any order column are ignored (they are outside the
     population). The first order column must be numeric or a timestamp.
+    ``few_groups`` says that the number of groups is fixed (such as two
+    metrics): their bounds are then broadcast, and no join gathers a group.
     """
+    buckets = buckets or default_buckets(df)
+    small = F.broadcast if few_groups else (lambda t: t)
     group_cols, order_cols = list(group_cols), list(order_cols)
     w = F.col(weight) if weight else F.lit(1)
     base = df
@@ -49,7 +59,7 @@ def rank_below(df: DataFrame, order_cols: Sequence[str], group_cols: Sequence[st
         F.sum("_cnt").alias("_n"))
     if group_cols:
         # groups x buckets values; the optimizer broadcasts it when small
-        withb = d.join(bounds, group_cols)
+        withb = d.join(small(bounds), group_cols)
     else:
         # one row of at most `buckets` values: an uncorrelated scalar
         # subquery, run once and inlined into the projection (no join)
@@ -63,7 +73,7 @@ def rank_below(df: DataFrame, order_cols: Sequence[str], group_cols: Sequence[st
     offsets = totals.select(*group_cols, "_bucket",
                             (F.sum("_bcnt").over(wb) - F.col("_bcnt")).alias("_off"))
     if group_cols:
-        withb = withb.join(offsets, [*group_cols, "_bucket"])
+        withb = withb.join(small(offsets), [*group_cols, "_bucket"])
     else:
         # at most `buckets` rows
         withb = withb.join(F.broadcast(offsets), "_bucket")
@@ -97,7 +107,7 @@ def bucket_of(df: DataFrame, bounds: str, value: str, buckets: int, out: str = "
 
 
 def exact_median(df: DataFrame, value: str, group_cols: Sequence[str] = (),
-                 buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                 buckets: int | None = None) -> DataFrame:
     """(group_cols, median) with the interpolated median of non-null ``value``
     (mean of the two middle values when the count is even)."""
     r = rank_below(df, [value], group_cols, buckets=buckets)
@@ -113,7 +123,7 @@ def exact_median(df: DataFrame, value: str, group_cols: Sequence[str] = (),
 
 
 def exact_medians(df: DataFrame, values: Sequence[str], group_cols: Sequence[str] = (),
-                  buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                  buckets: int | None = None) -> DataFrame:
     """(group_cols, median_<value>...) for several value columns of one type
     in a single rank pass: the columns are stacked as (metric, value) rows
     and ranked per (group, metric), then folded back per group."""

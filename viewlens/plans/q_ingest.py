@@ -75,8 +75,8 @@ def q_export_scan(spark, base):
 
 @register("page_links", """SELECT page_id, CAST(unnest(range(1, len(h) + 1)) AS INTEGER) AS pos,
   unnest(h) AS href, unnest(t) AS text FROM (
-  SELECT page_id, regexp_extract_all(html, '<a href="([^"]+)">([^<]+)</a>', 1) AS h,
-    regexp_extract_all(html, '<a href="([^"]+)">([^<]+)</a>', 2) AS t FROM pages) WHERE len(h) > 0""")
+  SELECT page_id, regexp_extract_all(html, '""" + S.LINK_RE + """', 1) AS h,
+    regexp_extract_all(html, '""" + S.LINK_RE + """', 2) AS t FROM pages) WHERE len(h) > 0""")
 def q_page_links(spark, base):
     """P2 + P3: every anchor of every page, in order."""
     p = io.read_table(spark, base, "pages").select("page_id", F.col("html").alias("body"))
@@ -89,7 +89,7 @@ def q_page_links(spark, base):
 @register("entry_types", """SELECT page_id, len(h) AS n_links,
   CASE WHEN len(h) >= 2 AND contains(h[2], '/th') THEN 'normal'
        WHEN contains(html, '<!-- ad') THEN 'ad' ELSE 'removed' END AS type
-  FROM (SELECT page_id, html, regexp_extract_all(html, '<a href="([^"]+)">([^<]+)</a>', 1) AS h FROM pages)""")
+  FROM (SELECT page_id, html, regexp_extract_all(html, '""" + S.LINK_RE + """', 1) AS h FROM pages)""")
 def q_entry_types(spark, base):
     """P9 + P10 with page markers: second link '/th...' = channel, ad comment = ad."""
     p = io.read_table(spark, base, "pages").select("page_id", "html")
