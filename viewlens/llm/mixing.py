@@ -12,6 +12,9 @@ WEIGHTS = (3, 1, 2)  # by source order, repeating
 SHARE = (3, 2)       # all targets together: 3/2 of all words
 LIMIT = 2            # no target above 2 times its source
 SEED = "mix-1"
+#: Seeds a source may draw with (turns of the hash by 1/DRAWS): it takes the
+#: one whose mixture comes nearest to its target.
+DRAWS = 32
 
 
 def n_words(text: str) -> Column:
@@ -73,7 +76,9 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source:
     """``docs`` with ``size, source_size, target, copies``: each document
     comes floor(rate) times, plus once more with the fraction's probability,
     by a hash of seed, id and text (so reruns agree, and rows that repeat id
-    and text agree with each other).
+    and text agree with each other). A few long documents can carry a small
+    source off its target, so one aggregate sums what each of DRAWS turns of
+    the hash would take, and a source draws by the turn that is nearest.
 
     Null sources are one source, ordered last; null and empty texts have
     size 0 and count for no words; a source of size 0 has target 0 and
@@ -87,11 +92,22 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source:
     mark = F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(":"),
                     F.md5(F.coalesce(F.col(text), F.lit(""))))
     draw = F.conv(F.substring(F.md5(mark), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
-    out = sized.join(small(goal), F.col(source).eqNullSafe(F.col("_source"))).withColumn("_rate", rate)
-    copies = F.floor("_rate") + (draw < F.col("_rate") - F.floor("_rate")).cast("long")
+
+    def copies(turn) -> Column:
+        turned = F.col("_draw") + turn
+        return F.floor("_rate") + (turned - F.floor(turned) < F.col("_rate") - F.floor("_rate")).cast("long")
+
+    drawn = sized.withColumn("_draw", draw)
+    met = drawn.join(small(goal), F.col(source).eqNullSafe(F.col("_source"))).withColumn("_rate", rate)
+    taken = met.select("_source", "_target", "_size", "_rate", "_draw").groupBy("_source", "_target").agg(
+        *(F.sum(F.col("_size") * copies(F.lit(k / DRAWS))).alias(f"t{k}") for k in range(DRAWS)))
+    best = F.array_min(F.array(*(F.struct(F.abs(F.col(f"t{k}") - F.col("_target")).alias("off"), F.lit(k).alias("k"))
+                                 for k in range(DRAWS))))
+    turns = land(taken.select(F.col("_source").alias("_of"), (best["k"] / F.lit(float(DRAWS))).alias("_turn")), "turns")
+    out = met.join(small(turns), F.col("_source").eqNullSafe(F.col("_of")))
     return out.select(*(docs[c] for c in docs.columns), F.col("_size").alias("size"),
                       F.col("_source_size").alias("source_size"), F.col("_target").alias("target"),
-                      copies.alias("copies"))
+                      copies(F.col("_turn")).alias("copies"))
 
 
 def mix(docs: DataFrame, **kw) -> DataFrame:

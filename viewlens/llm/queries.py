@@ -70,12 +70,20 @@ t AS (
     - (SELECT coalesce(sum(2 * n), 0)::DOUBLE FROM c WHERE fully)) / (SELECT sum(w)::DOUBLE FROM c WHERE NOT fully) END AS target
   FROM c),
 m AS (
-  SELECT d.doc_id, d.size, t.n AS source_size, t.target, CASE WHEN t.n > 0 THEN t.target / t.n ELSE 0 END AS rate,
+  SELECT d.doc_id, d.source, d.size, t.n AS source_size, t.target, CASE WHEN t.n > 0 THEN t.target / t.n ELSE 0 END AS rate,
     ('0x' || substr(md5('mix-1:' || coalesce(d.doc_id::VARCHAR, 'null') || ':' || md5(coalesce(d.text, ''))), 1, 13))::BIGINT
       / 4503599627370496.0::DOUBLE AS u
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-  size * CAST(floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END AS BIGINT) AS taken FROM m
+SELECT m.doc_id, m.size, m.source_size, m.target,
+  m.size * CAST(floor(m.rate) + CASE WHEN (m.u + b.k / 32.0::DOUBLE) - floor(m.u + b.k / 32.0::DOUBLE)
+    < m.rate - floor(m.rate) THEN 1 ELSE 0 END AS BIGINT) AS taken
+FROM m JOIN (
+  SELECT source, k FROM (
+    SELECT source, k, row_number() OVER (PARTITION BY source ORDER BY abs(taken - target), k) AS nth FROM (
+      SELECT source, target, k, sum(size * CAST(floor(rate) + CASE WHEN (u + k / 32.0::DOUBLE)
+        - floor(u + k / 32.0::DOUBLE) < rate - floor(rate) THEN 1 ELSE 0 END AS BIGINT))::DOUBLE AS taken
+      FROM m, (SELECT unnest(range(0, 32)) AS k) GROUP BY source, target, k))
+  WHERE nth = 1) b ON m.source IS NOT DISTINCT FROM b.source
 """
 
 
