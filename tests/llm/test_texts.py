@@ -110,7 +110,7 @@ def test_extraction_keeps_the_article():
     page = """<html><head><title>T</title><style>p{}</style></head><body class="page sidebar-left"><header><h1>Site</h1></header>
     <nav><a href="/">Home</a></nav><div id="cookie-notice"><p>We use cookies, and more, and more, and more of them.</p></div>
     <div class="side"><p>Other, quite long, things, to read, for you, now, here, and there.</p></div>
-    <div class="post"><h2>Title</h2><p>First &amp; best,  with <b>bold</b>
+    <div class="post with-sidebar no-comments"><h2>Title</h2><p>First &amp; best,  with <b>bold</b>
     text, and commas.<p>Second <i>one</i>, unclosed, and so on.<div class="ad">Buy, now, this, thing.</div><script>if (a<b) x("</p>")</script>
     <ul><li>item, one</li><li>item two</li></ul><form><p>Your name, please, and address.</p></form></div>
     <div class="comments"><p>Nice, really nice, thanks, for this, article, bye.</p></div><footer><p>Copyright, all, rights.</p></footer>"""

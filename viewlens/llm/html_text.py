@@ -34,6 +34,8 @@ UNWANTED = re.compile(
     r"breadcrumbs?|pagination|pager|footer|foot|header|masthead|topbar|toolbar|share|sharing|social|related|recommend\w*|"
     r"newsletter|subscribe|signup|login|popup|modal|overlay|search|form|tags|taglist|skip|contentinfo|complementary|hidden)"
     r"(?:$|[\s_-])", re.I)
+#: Such a word after one of these only describes the page's layout.
+LAYOUT = re.compile(r"(?:^|(?<=\s))(?:has|with|without|no)[_-][\w-]+", re.I)
 #: ... unless the element says that it is the article.
 WANTED = re.compile(r"(?:^|[\s_-])(?:article|post-?body|post-?content|entry-?content|main-?content|story)(?:$|[\s_-])", re.I)
 
@@ -84,6 +86,7 @@ class Tree(HTMLParser):
         drop = tag in DROPPED
         if not drop and tag not in ("article", "main"):
             named = " ".join(v for k, v in attrs if v and k in ("class", "id", "role"))
+            named = LAYOUT.sub("", named)
             drop = bool(named and UNWANTED.search(named) and not WANTED.search(named))
             hidden = {k: v for k, v in attrs}
             drop = drop or "hidden" in hidden or hidden.get("aria-hidden") == "true" or bool(
