@@ -87,7 +87,7 @@ def text_buffers(col) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0]: off[-1]], off - off[0]
 
 
-def doc_slices(offsets: np.ndarray, limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def doc_slices(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of documents of about ``limit`` bytes (one document at least)."""
     lo, n = 0, len(offsets) - 1
     while lo < n:
@@ -98,7 +98,7 @@ def doc_slices(offsets: np.ndarray, limit: int = 2 << 20) -> Iterator[tuple[int,
 
 
 def hash_words(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray,
-               block: int = 1 << 20, prefixes: tuple[int, ...] = ()):
+               block: int = 1 << 19, prefixes: tuple[int, ...] = ()):
     """64-bit hash of each word and, per document, the index of its first
     word (length docs + 1); with ``prefixes``, also the hash of each word's
     first so many bytes (0 for words that are not longer). Work arrays cover ``block`` bytes at a time, so

@@ -36,7 +36,7 @@ from viewlens.llm.common import (byte_table, doc_slices, hash_words, land, shing
 from viewlens.llm.components import components
 
 #: Shingles in a map chunk and in a reduce bucket.
-CHUNK = 1_000_000
+CHUNK = 500_000
 BUCKET = 2_000_000
 #: A shingle with more than this share of all shingle occurrences is hot: it
 #: is ordered last and has no counting bucket. At most HOT of them exist.
