@@ -105,6 +105,19 @@ def test_terms_that_reveal_are_spans_and_are_generalised(spark):
     assert sanitise.find(docs.limit(0)).count() == 0
 
 
+def test_copies_neither_make_nor_hide_a_term(spark):
+    rows = [f"Report {i}: agent Zanzibar wrote from boss@corp.com about thing{i}." for i in range(5)]
+    rows += [f"A thing{i} and more words about report {i}" for i in range(400)]
+    found = []
+    for copies in (0, 1000):
+        docs = spark.createDataFrame([(i, t) for i, t in enumerate(rows + rows[:1] * copies)], "doc_id long, text string")
+        spans = {r.doc_id: [(s.kind, s.value) for s in r.spans] for r in sanitise.find(docs).collect()}
+        assert all((4, "Zanzibar") in spans[i] for i in range(5))
+        assert all(spans[i] == spans[0] for i in range(len(rows), len(spans)))
+        found.append([spans[i] for i in range(len(rows))])
+    assert found[0] == found[1]
+
+
 # ---- extraction
 def test_extraction_keeps_the_article():
     page = """<html><head><title>T</title><style>p{}</style></head><body class="page sidebar-left"><header><h1>Site</h1></header>

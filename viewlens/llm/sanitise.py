@@ -2,9 +2,9 @@
 
 Base patterns find e-mail addresses, IPs, card and phone numbers. These
 *entities* are protected. A *term* (a word) reveals an entity when it
-occurs mostly beside it: with ``c`` distinct contexts of the entity that
-hold the term, ``n`` occurrences of the term (texts that hold it) and ``e``
-contexts of the entity among ``N`` texts, it tells
+occurs mostly beside it: with ``c`` texts that hold the term beside the
+entity, ``n`` texts that hold the term and ``e`` that hold the entity among
+``N`` texts (all of them distinct texts: copies are one), it tells
 ``log2((c / n) / (e / N))`` bits of the entity and is right in ``c / n`` of
 its uses. Terms beyond both thresholds are spans of kind ``term``
 themselves and are generalised wherever they occur.
@@ -104,22 +104,22 @@ def revealing_terms(near: DataFrame, docs: DataFrame, min_contexts: int = MIN_CO
     about them and the hash of their text; counts of a term cover every text
     of ``docs(text)``.
 
-    Contexts that are equal (copies) count once for an entity, while every
-    text that holds a term counts for the term, so a passage gives nothing
-    away by being copied. Texts with the term beside any entity bound its
-    texts from below: common words fall out before the texts are searched.
+    All counts are of distinct texts, so copying a text neither makes nor
+    hides a term. Texts with the term beside any entity bound its texts from
+    below: common words fall out before the texts are searched.
     """
     words = F.explode(F.array_distinct(F.split(F.lower("around"), WORDS))).alias("term")
     beside = near.select("th", words).distinct().groupBy("term").agg(F.count(F.lit(1)).alias("beside"))
-    near = near.select("entity", F.lower("around").alias("around")).distinct()
-    per_entity = near.groupBy("entity").agg(F.count(F.lit(1)).alias("e")).where(F.col("e") >= min_contexts)
-    terms = near.select("entity", words).where(F.char_length("term") >= 3)
+    per_entity = (near.select("th", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("e"))
+                  .where(F.col("e") >= min_contexts))
+    terms = near.select("th", "entity", words).where(F.char_length("term") >= 3).distinct()
     both = land(terms.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts"))
                 .where(F.col("contexts") >= min_contexts).join(per_entity, "entity").join(beside, "term")
                 .where(F.col("contexts") >= F.col("beside") * min_share), "cooccur")
     wanted = land(both.select("term").distinct(), "terms")
     if wanted.isEmpty():
         return both.select("term", "entity", "contexts", F.lit(0).cast("long").alias("texts"), F.lit(0.0).alias("bits"))
+    docs = docs.select("text", F.xxhash64("text").alias("th")).dropDuplicates(["th"])
     texts = _holding(docs, [], wanted).groupBy("term").agg(F.count(F.lit(1)).alias("texts"))
     total = docs.count()
     share = F.col("contexts") / F.col("texts")
