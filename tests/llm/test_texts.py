@@ -118,6 +118,38 @@ def test_copies_neither_make_nor_hide_a_term(spark):
     assert found[0] == found[1]
 
 
+def test_rare_entities_are_estimated_over_whole_texts(spark):
+    far = "more words about thing here " * 10  # the term is not within a line of the entity
+    rows = [f"Quillon {far} one@corp.com", f"quillon {far}", f"{far} Brask {far} two@corp.com", f"two@corp.com {far} Brask later",
+            f"{far} a third brask"]
+    rows += [f"{far} thing{i}" for i in range(300)] + [f"all@corp.com {far} Wendel number{i}" for i in range(150)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string")
+    spans = {r.doc_id: [s.value for s in r.spans if s.kind == 4] for r in sanitise.find(docs).collect()}
+    assert spans[0] == ["Quillon"] and spans[1] == ["quillon"]  # an entity of one text, its name in another as well
+    assert spans[2] == spans[3] == ["Brask"] and spans[4] == ["brask"]
+    assert spans[5] == [] and all(spans[i] == ["Wendel"] for i in range(305, 455))  # an entity in a third of all texts
+
+
+def test_revealing_terms_match_brute_force(spark):
+    rng = np.random.default_rng(6)
+    rows = [" ".join([f"word{w}" for w in rng.zipf(1.4, 30) if w < 400]
+                     + [f"p{e}@corp.com" for e in rng.zipf(1.5, 3) if e < 60 and rng.random() < 0.4]) for _ in range(400)]
+    texts = list(dict.fromkeys(rows))
+    words = [{w for w in t.split() if "@" not in w} for t in texts]
+    mails = [{w for w in t.split() if "@" in w} for t in texts]
+    want = set()
+    for e in set().union(*mails):
+        of = [i for i, m in enumerate(mails) if e in m]
+        for w in set().union(*(words[i] for i in of)):
+            c, n = sum(w in words[i] for i in of), sum(w in x for x in words)
+            own = math.log2(len(texts) / len(of))
+            if n > 1 and c / n >= 0.5 and math.log2(c / n) + own >= max(own / 2, 1e-9):
+                want.add(w)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(rows + rows[:50])], "doc_id long, text string")
+    found = {s.value for r in sanitise.find(docs).collect() for s in r.spans if s.kind == 4}
+    assert found == want and want
+
+
 # ---- extraction
 def test_extraction_keeps_the_article():
     page = """<html><head><title>T</title><style>p{}</style></head><body class="page sidebar-left"><header><h1>Site</h1></header>

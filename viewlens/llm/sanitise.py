@@ -2,12 +2,12 @@
 
 Base patterns find e-mail addresses, IPs, card and phone numbers. These
 *entities* are protected. A *term* (a word) reveals an entity when it
-occurs mostly beside it: with ``c`` texts that hold the term beside the
-entity, ``n`` texts that hold the term and ``e`` that hold the entity among
-``N`` texts (all of them distinct texts: copies are one), it tells
-``log2((c / n) / (e / N))`` bits of the entity and is right in ``c / n`` of
-its uses. Terms beyond both thresholds are spans of kind ``term``
-themselves and are generalised wherever they occur.
+occurs mostly with it: with ``c`` texts that hold both, ``n`` texts that
+hold the term and ``e`` that hold the entity among ``N`` texts (all of them
+distinct texts: copies are one), it tells ``log2((c / n) / (e / N))`` of the
+entity's own ``log2(N / e)`` bits and is right in ``c / n`` of its uses.
+Terms beyond both thresholds are spans of kind ``term`` themselves and are
+generalised wherever they occur.
 """
 
 from __future__ import annotations
@@ -26,11 +26,12 @@ CARD = r"[0-9](?:[ -]?[0-9])++"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone", "term")
 
-#: A term reveals an entity with at least this many distinct contexts that
-#: hold both, this share of the term's texts, and this many bits.
-MIN_CONTEXTS, MIN_SHARE, MIN_BITS = 3, 0.5, 6.0
-#: Characters on either side of an entity that are its context.
-REACH = 80
+#: A term reveals an entity when this share of the texts that hold it hold
+#: the entity, and when it tells this share of the entity's own bits.
+MIN_SHARE, MIN_TOLD = 0.5, 0.5
+#: Texts that hold a term: a word of one text alone has no other use that it
+#: could be counted in.
+MIN_TEXTS = 2
 WORDS = r"[^\p{L}\p{N}]+"
 
 _SPAN = "array<struct<kind:int,start:int,end:int,value:string>>"
@@ -97,35 +98,55 @@ def joined(spans: Column) -> Column:
         ":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def revealing_terms(near: DataFrame, docs: DataFrame, min_contexts: int = MIN_CONTEXTS,
-                    min_share: float = MIN_SHARE, min_bits: float = MIN_BITS) -> DataFrame:
+def _words(df: DataFrame, text: str, *keep: str) -> DataFrame:
+    """A row for each text and distinct word of three characters or more."""
+    each = F.explode(F.array_distinct(F.split(F.lower(text), WORDS))).alias("term")
+    return df.select(*keep, each).where(F.char_length("term") >= 3)
+
+
+def _held_by(rows: DataFrame, what: str) -> DataFrame:
+    """``what`` with the number of its texts and a signature (x, y) of them,
+    from distinct rows (th, what)."""
+    return rows.groupBy(what).agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("th", F.lit(1))).alias("x"),
+                                  F.bit_xor(F.xxhash64("th", F.lit(2))).alias("y"))
+
+
+def revealing_terms(near: DataFrame, docs: DataFrame, min_share: float = MIN_SHARE, min_told: float = MIN_TOLD,
+                    min_texts: int = MIN_TEXTS) -> DataFrame:
     """``(term, entity, contexts, texts, bits)`` of the terms that give an
-    entity away. ``near(th, entity, around)`` are the entities with the words
-    about them and the hash of their text; counts of a term cover every text
-    of ``docs(text)``.
+    entity away. ``near(th, entities, rest)`` are the texts that hold
+    entities, with these and the text outside them, ``docs(th, text)`` all
+    texts; ``th`` is the hash of a text.
 
+    Every entity is estimated, however rare, against all words of its texts.
     All counts are of distinct texts, so copying a text neither makes nor
-    hides a term. Texts with the term beside any entity bound its texts from
-    below: common words fall out before the texts are searched.
+    hides a term. Entities (and terms) of the same texts have the same
+    figures and are counted as one; such entities are listed under the
+    smallest. Texts with the term and any entity bound its contexts from
+    above: common words fall out before they are paired.
     """
-    words = F.explode(F.array_distinct(F.split(F.lower("around"), WORDS))).alias("term")
-    beside = near.select("th", words).distinct().groupBy("term").agg(F.count(F.lit(1)).alias("beside"))
-    per_entity = (near.select("th", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("e"))
-                  .where(F.col("e") >= min_contexts))
-    terms = near.select("th", "entity", words).where(F.char_length("term") >= 3).distinct()
-    both = land(terms.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts"))
-                .where(F.col("contexts") >= min_contexts).join(per_entity, "entity").join(beside, "term")
-                .where(F.col("contexts") >= F.col("beside") * min_share), "cooccur")
-    wanted = land(both.select("term").distinct(), "terms")
-    if wanted.isEmpty():
-        return both.select("term", "entity", "contexts", F.lit(0).cast("long").alias("texts"), F.lit(0.0).alias("bits"))
-    docs = docs.select("text", F.xxhash64("text").alias("th")).dropDuplicates(["th"])
-    texts = _holding(docs, [], wanted).groupBy("term").agg(F.count(F.lit(1)).alias("texts"))
-    total = docs.count()
+    near = land(near.dropDuplicates(["th"]), "bearing")
+    total = float(max(docs.select("th").distinct().count(), 1))
+    held = near.select("th", F.explode(F.array_distinct("entities")).alias("entity"))
+    heads = land(_held_by(held, "entity").groupBy("n", "x", "y").agg(F.min("entity").alias("entity"))
+                 .select("entity", F.col("n").alias("e")), "entities")
+    beside = _words(near, "rest", "th")
+    others = docs.join(small(near.select("th")), "th", "left_anti").dropDuplicates(["th"])
+    apart = _words(others, "text").groupBy("term").agg(F.count(F.lit(1)).alias("apart"))
+    texts = F.col("n") + F.coalesce("apart", F.lit(0))
+    terms = land(_held_by(beside, "term").join(apart, "term", "left").select("term", "n", "x", "y", texts.alias("texts"))
+                 .where((F.col("texts") >= min_texts) & (F.col("n") >= F.col("texts") * min_share)), "terms")
+    same = ["n", "x", "y", "texts"]
+    alike = land(terms.groupBy(same).agg(F.min("term").alias("head")), "alike")
+    both = (beside.join(small(alike.select(F.col("head").alias("term"), "texts")), "term")
+            .join(held.join(small(heads), "entity"), "th")
+            .groupBy("entity", "e", F.col("term").alias("head"), "texts").agg(F.count(F.lit(1)).alias("contexts")))
     share = F.col("contexts") / F.col("texts")
-    bits = F.log2(share / (F.col("e") / F.lit(float(max(total, 1)))))
-    return both.join(texts, "term").withColumn("bits", bits).where((share >= min_share) & (bits >= min_bits)).select(
-        "term", "entity", "contexts", "texts", "bits")
+    own = F.log2(F.lit(total) / F.col("e"))
+    told = both.withColumn("bits", F.log2(share) + own).where(
+        (share >= min_share) & (F.col("bits") > 0) & (F.col("bits") >= own * min_told))
+    members = terms.join(alike, same).select("term", "head")
+    return told.join(members, "head").select("term", "entity", "contexts", "texts", "bits")
 
 
 def _holding(docs: DataFrame, keep: list[str], terms: DataFrame) -> DataFrame:
@@ -146,15 +167,14 @@ def find(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **kw) -> D
     do. An empty table gives an empty table; other columns are not read.
     """
     plain = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    around = lambda s: F.concat_ws(
-        " ", F.substring(F.col("text"), F.greatest(F.lit(1), s["start"] - REACH + 1), F.least(s["start"], F.lit(REACH))),
-        F.substring(F.col("text"), s["end"] + 1, F.lit(REACH)))
     entity = lambda s: F.when(s["kind"] >= 2, _digits(s["value"])).otherwise(F.lower(s["value"]))
     rows = plain.select("doc_id", F.xxhash64("text").alias("th"), "text",
                         F.inline(F.array(F.struct(base_spans(F.col("text")).alias("base")))))
-    rows = land(rows.select("doc_id", "th", "base", F.transform("base", lambda s: F.struct(
-        entity(s).alias("entity"), around(s).alias("around"))).alias("near")), "base")
-    terms = land(revealing_terms(rows.select("th", F.inline("near")), plain, **kw).select("term").distinct(), "reveal")
+    rest = F.when(F.size("base") > 0, _replaced(F.col("text"), F.col("base"), lambda s: F.lit(" ")))
+    rows = land(rows.select("doc_id", "th", "base", F.transform("base", entity).alias("entities"), rest.alias("rest")), "base")
+    near = rows.where(F.size("base") > 0).select("th", "entities", "rest")
+    texts = plain.select(F.xxhash64("text").alias("th"), "text")
+    terms = land(revealing_terms(near, texts, **kw).select("term").distinct(), "reveal")
     rows = rows.select("doc_id", "th", "base")
     if terms.isEmpty():
         return rows.select(F.col("doc_id").alias(id_col), "th", "base", F.col("base").alias("spans"))
@@ -172,17 +192,23 @@ def find(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **kw) -> D
         F.array_sort(F.concat("base", free), _before)).alias("spans"))
 
 
-def sanitised(text: Column, spans: Column) -> Column:
-    """The text with each span generalised to its kind in brackets; of
-    overlapping spans the first one counts."""
-    names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
+def _replaced(text: Column, spans: Column, by) -> Column:
+    """The text with ``by`` of a span in its place; of overlapping spans the
+    first one counts."""
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
     done = F.aggregate(spans, start, lambda acc, s: F.when(s["start"] < acc["at"], acc).otherwise(F.struct(
-        F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.get(names, s["kind"])).alias("out"),
+        F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), by(s)).alias("out"),
         s["end"].alias("at"))), lambda acc: F.struct(acc["out"].alias("out"), acc["at"].alias("at")))
     return F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))
 
 
+def sanitised(text: Column, spans: Column) -> Column:
+    """The text with each span generalised to its kind in brackets; of
+    overlapping spans the first one counts."""
+    names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
+    return _replaced(text, spans, lambda s: F.get(names, s["kind"]))
+
+
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **kw) -> DataFrame:
     """``docs`` with every span of ``find`` generalised in ``text`` (null
     stays null); all other columns as they are."""
