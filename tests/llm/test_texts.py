@@ -237,6 +237,15 @@ def test_classifiers_on_held_out_rows(spark):
     assert quality.score(docs.limit(0), labels).count() == 0 and cnn.score(docs.limit(0), labels).count() == 0
 
 
+def test_the_quality_stage_drops_what_the_operator_rejects(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text {i}", "en", "s", 6) for i in range(5)], DOCS)
+    scores = F.array(*(F.lit(v) for v in (0.1, 0.55, 0.69, 0.7, 0.9)))
+    monkeypatch.setattr(quality, "score", lambda d, labels, accept=quality.ACCEPT: d.withColumn(
+        "score", F.get(scores, F.col("doc_id").cast("int"))).withColumn("predicted", (F.col("score") >= accept).cast("int")))
+    kept = quality.accepted(docs, None)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [3, 4]
+
+
 def test_held_out_labels_are_never_read(spark):
     import zlib
     rows = [(i, "fine" if i % 2 else "bad", None, None, None) for i in range(400)]

@@ -193,7 +193,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
         "*", held_out(id_col, folds, fold).alias("held_out"), (F.col("score") >= accept).cast("int").alias("predicted"))
 
 
-def accepted(docs: DataFrame, labels: DataFrame, least: float = 0.5, **kw) -> DataFrame:
-    """``docs`` without the documents that the classifier rejects: those
-    whose calibrated probability of quality is below ``least``."""
-    return score(docs, labels, **kw).where(F.col("score") >= least).select(docs.columns)
+def accepted(docs: DataFrame, labels: DataFrame, **kw) -> DataFrame:
+    """``docs`` without the documents that the classifier rejects: those that
+    ``score`` predicts 0, with its ``accept``."""
+    return score(docs, labels, **kw).where("predicted = 1").select(docs.columns)
