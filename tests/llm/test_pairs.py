@@ -2,6 +2,7 @@
 
 import random
 import re
+from itertools import combinations
 
 import duckdb
 import pytest
@@ -127,6 +128,21 @@ def overlaps(text, items):
     return found
 
 
+def test_decontamination_misses_no_substitution(spark):
+    """All substitutions that leave 80 % of an item of 8 to 13 tokens."""
+    items, docs = [], []
+    for n in range(8, 14):
+        v = [f"i{n}w{k}" for k in range(n)]
+        items.append((n, " ".join(v)))
+        for gone in combinations(range(n), n - -(-n * 80 // 100)):
+            docs.append((n, " ".join(["before", *("zz" if k in gone else x for k, x in enumerate(v)), "after"])))
+        docs.append((None, " ".join("zz" if k in range(0, n, 3) else x for k, x in enumerate(v))))  # too many
+    tests = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.flag(table(spark, [t for _, t in docs]), tests).collect()
+    assert len(got) == len(docs)
+    assert all(r["items"] == ([docs[r.doc_id][0]] if docs[r.doc_id][0] else []) for r in got)
+
+
 def test_decontamination_matches_brute_force(spark):
     rng = random.Random(1)
     words = [f"v{i}" for i in range(60)]

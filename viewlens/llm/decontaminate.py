@@ -14,13 +14,16 @@ from pyspark.sql import functions as F
 
 from viewlens.llm.common import land, small
 
-#: Windows of 8 tokens of which six are hashed ("1").
-MASKS = ("11011011", "11100111", "01111110")
+#: Windows of 8 tokens of which six are hashed ("1"). Together they leave a
+#: seed intact under every substitution that an item or window of 8 to 13
+#: tokens may have (enumerated in the tests).
+MASKS = ("11011011", "11100111", "01111110", "11101011", "10111101", "00111111", "01011111", "10111011", "11110011")
 SPAN = 8
 #: Aligned tokens compared, and the least equal share of them, in percent.
 WINDOW, PERCENT = 13, 80
-#: Test tokens and their seeds in one broadcast block; more are searched in
-#: several blocks, each against all documents.
+#: Test tokens in one broadcast block, with three seeds each (fewer tokens
+#: with more masks); more are searched in several blocks, each against all
+#: documents.
 BLOCK_TOKENS = 250_000
 
 TOKENS = r"[^\p{L}\p{N}]+"
@@ -67,7 +70,7 @@ def contaminated(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text
     items = land(items.where(F.size("h") >= SPAN).groupBy("h").agg(F.min("item").alias("item"))
                  .withColumn("no", F.xxhash64("h")), "items")
     tokens = items.agg(F.sum(F.size("h"))).first()[0] or 0
-    blocks = -(-tokens // BLOCK_TOKENS)
+    blocks = -(-tokens * len(masks) // (3 * BLOCK_TOKENS))
     base = _hashed(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("_t"), F.xxhash64(F.col(text)).alias("th")),
                    ["doc_id", "th"], "_t")
     length = F.least(F.lit(window), F.size("ih"))
