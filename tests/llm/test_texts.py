@@ -173,6 +173,19 @@ def test_extraction_of_odd_pages(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_extraction_of_text_after_a_bare_less_than_sign():
+    assert html_text.main_text("<p>if a < b then <3 and on, to the end") == "if a < b then <3 and on, to the end"
+    assert html_text.main_text("<p>one, two</p><p>a < b, then <a href='cut") == "one, two\na < b, then"
+
+
+def test_extraction_judges_siblings_by_their_own_points():
+    text = "A paragraph, with commas, and more of them, in part, and, so on."
+    said, code, head = "Said, by one, two, three, four, five, six, seven.", "code(a, b, c, d, e, f, g, h)", "In, part, of, a, long, kind, of, list"
+    page = (f"<div><div>{f'<p>{text}' * 6}</div><blockquote>{said}</blockquote><pre>{code}</pre><h5>{head}</h5>"
+            f"<pre>short</pre><h6><a href='/'>{head}</a></h6></div>")
+    assert html_text.main_text(page).split("\n") == [text] * 6 + [said, code, head]
+
+
 # ---- fingerprints
 def test_fingerprints_follow_the_order(spark):
     rows = [(10 * i, f"The cat number {i} sat on the mat of the house and it was é good {i}. " * (i % 5)) for i in range(60)]

@@ -45,6 +45,8 @@ BASE, EVERY, MOST, SIBLING = 1.0, 100, 3, 0.2
 #: Elements nested deeper lie beside each other at this depth (no text is lost).
 DEEPEST = 512
 _SPACE = re.compile(r"\s+")
+#: A "<" that can open a tag; any other is text.
+_OPENS = re.compile(r"<[A-Za-z/!?]|<$")
 
 
 class Node:
@@ -121,10 +123,9 @@ class Tree(HTMLParser):
 def parse(html: str) -> Node:
     # a tag that never ends is cut off: the parser would look for its end
     # again from every "<" that follows
-    end = html.rfind(">") + 1
-    cut = html.find("<", end)
+    cut = _OPENS.search(html, html.rfind(">") + 1)
     tree = Tree()
-    tree.feed(html if cut < 0 else html[:cut])
+    tree.feed(html[:cut.start()] if cut else html)
     tree.close()
     return tree.root
 
@@ -189,22 +190,25 @@ def main_text(html: str) -> str:
     root = parse(html)
     order = list(_walk(root))
     sums = _measure(order)
+
+    def points(node: Node) -> float:
+        size, links, commas = sums[node]
+        return (BASE + min(size / EVERY, MOST) + commas) * (1 - links / size) if size else 0.0
+
     scored: dict[Node, None] = {}
     for node in order:
         direct = any(type(k) is str and k.strip() for k in node.kids)
         if node.tag not in PARAGRAPHS and not (node.tag in ("div", "section", "article", "main") and direct):
             continue
-        size, links, commas = sums[node]
-        if not size:
+        if not sums[node][0]:
             continue
-        points = (BASE + min(size / EVERY, MOST) + commas) * (1 - links / size)
         above, share = node.parent, 1.0
         if node.tag not in PARAGRAPHS:  # text right in a container scores there
             above = node
         for _ in range(2):
             if above is None:
                 break
-            above.score += points * share
+            above.score += points(node) * share
             scored[above] = None
             above, share = above.parent, 0.5
     if not scored:
@@ -227,7 +231,8 @@ def main_text(html: str) -> str:
             size = sums[k][0]
             heading = k.tag in ("h1", "h2", "h3") and best in best.parent.kids
             prose = k.tag == "p" and size and (size > 80 and density(k) < 0.25 or density(k) == 0)
-            if k is best or heading or prose or k.score * (1 - density(k)) >= need:
+            alone = k.tag in ("pre", "blockquote", "h4", "h5", "h6") and points(k) >= need  # its points went to the parent
+            if k is best or heading or prose or alone or k.score * (1 - density(k)) >= need:
                 kept.append(k)
     for node in (x for k in kept for x in _walk(k)):  # lists of links inside
         if node not in kept and node.tag in ("ul", "ol", "div", "table", "section") and density(node) > 0.6:
