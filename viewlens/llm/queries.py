@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from viewlens.llm import (cnn, decontaminate, html_text, mixing, ngram_join, quality, sanitise, spotsigs,
+from viewlens.llm import (cnn, decontaminate, html_text, line_dedup, mixing, ngram_join, quality, sanitise, spotsigs,
                           tokens, warc)
 from viewlens.llm.common import documents
 from viewlens.llm.registry import register
@@ -145,6 +145,25 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.with_next(documents(spark, sf_dir))
 
 
+OP13_SQL = """
+WITH l AS (
+  SELECT doc_id, pos, ln[pos] AS line, translate(trim(ln[pos], concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM (SELECT doc_id, ln, unnest(range(1, len(ln) + 1)) AS pos
+        FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ln FROM documents))),
+f AS (SELECT k, min(doc_id) AS f FROM l WHERE length(k) >= 10 GROUP BY k),
+m AS (SELECT l.*, coalesce(l.doc_id <> f.f, false) AS gone FROM l LEFT JOIN f ON f.k = l.k)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
+
+@register("op13_line_keep_bitmaps", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digests(documents(spark, sf_dir))
+
+
 @register("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
