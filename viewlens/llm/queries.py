@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from viewlens.llm import (cnn, decontaminate, html_text, line_dedup, mixing, ngram_join, quality, sanitise, spotsigs,
-                          tokens, warc)
+from viewlens.llm import (ball_tree, cnn, decontaminate, html_text, line_dedup, mixing, ngram_join, quality,
+                          sanitise, spotsigs, tokens, warc, whitening)
 from viewlens.llm.common import documents
 from viewlens.llm.registry import register
 from viewlens.session import scratch_path
@@ -145,6 +145,36 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.with_next(documents(spark, sf_dir))
 
 
+@register("op11_spectrum_slicing_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+OP12_SQL = """
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS t FROM documents),
+q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS w FROM benchmark),
+s AS (SELECT count(*) AS docs, CAST(sum(len(t)) AS BIGINT) AS words FROM d WHERE len(t) > 0),
+tf AS (SELECT doc_id, w, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS w FROM d) WHERE w IN (SELECT w FROM q) GROUP BY ALL),
+df AS (SELECT w, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS weight
+       FROM tf, s GROUP BY w, docs),
+m AS (SELECT doc_id, 100 - 90 + (90 * len(t) * docs) // words AS m FROM d, s WHERE len(t) > 0),
+r AS (SELECT q.item_id, tf.doc_id, CAST(sum(weight * ((1000000000 * tf.tf) // (1000 * tf.tf + 8 * m.m))) AS BIGINT) AS score
+      FROM q JOIN tf ON tf.w = q.w JOIN df ON df.w = q.w JOIN m ON m.doc_id = tf.doc_id GROUP BY ALL)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r WHERE score > 0)
+WHERE rank <= 10
+"""
+
+
+@register("op12_ball_tree_lexical_search", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_tree.search(spark, documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 OP13_SQL = """
 WITH l AS (
   SELECT doc_id, pos, ln[pos] AS line, translate(trim(ln[pos], concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))),
