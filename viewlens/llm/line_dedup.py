@@ -187,8 +187,9 @@ def with_bitmaps(docs: DataFrame, out: str, id_col: str = "doc_id", text: str =
     """``docs`` with a struct ``out`` of ``n_dropped`` and ``keep`` (null for
     documents that keep every line); all columns stay, whatever their names,
     but one named ``out``, which is replaced."""
-    found = small(land(keep_bitmaps(docs, id_col, text, **kw), "bitmaps"), rows=100_000).select(
-        F.struct("doc", "th", "n_dropped", "keep").alias("_found"))
+    # one plan at every size: bitmaps grow with the documents, so they are never broadcast
+    found = land(keep_bitmaps(docs, id_col, text, **kw), "bitmaps").select(
+        F.struct("doc", "th", "n_dropped", "keep").alias("_found")).hint("merge")
     base = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"))
     of = lambda c: F.col("_row").getField(c)
     mine = of(id_col).cast("long").eqNullSafe(F.col("_found.doc")) & (F.xxhash64(of(text)) == F.col("_found.th"))
