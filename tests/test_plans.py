@@ -31,7 +31,7 @@ def window_specs(text):
 
 
 @pytest.mark.parametrize("name", ["engagement_metrics", "engagement_lookup", "view_percentile",
-                                  "category_context", "transcripts", "trace_summary"])
+                                  "category_context", "transcripts"])
 def test_no_unpartitioned_window_over_data(spark, name):
     """The only window without a partition key runs over the bucket totals
     (at most `buckets` rows); every window over data rows is partitioned."""
@@ -41,6 +41,12 @@ def test_no_unpartitioned_window_over_data(spark, name):
         assert partitioned or "_bcnt" in line, line
 
 
+def test_traces_need_no_window(spark):
+    """The replay is one aggregate and a fold: nothing is ranked or joined."""
+    p = plan(QUERIES["trace_summary"](spark, SF001))
+    assert "Window" not in p and "Join" not in p and p.count("Exchange") == 1
+
+
 @pytest.mark.parametrize("name", ["seeded_sample", "priority_sample", "pool_union", "plain_sample"])
 def test_samples_gather_in_no_task(spark, name):
     """The draw is ranked in buckets: no top-k merge and no global sort."""

@@ -5,11 +5,13 @@ plan."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from viewlens import schemas as S
 from viewlens.functions import columns as C
+from viewlens.operators import keyed
 from viewlens.operators.history import ORDER, dedupe_first
 from viewlens.operators.ranking import exact_medians, rank_below
 
@@ -71,6 +73,16 @@ def channel_lookup(patterns: DataFrame, requested: DataFrame, key: str = "channe
         F.when(F.col("_found").isNull(), F.lit("Channel not found in watch history")).alias("note"))
 
 
+def channels_asked(watch: DataFrame, requested: DataFrame, channel: str = "channel_name",
+                   video: str = "video_id", ts: str = "timestamp") -> DataFrame:
+    """P24 + P25 for ``requested(channel)``: only the history of these
+    channels is aggregated; the answer is that of ``channel_lookup`` over the
+    patterns of all channels."""
+    asked = requested.select(F.col("channel").alias(channel))
+    mine = keyed.among(watch.select(video, channel, ts), asked, channel)
+    return channel_lookup(channel_patterns(mine, channel, video, ts), requested)
+
+
 # --- engagement (A22, A23, W1-W4) -------------------------------------------
 
 
@@ -243,25 +255,70 @@ def category_lookup(context: DataFrame, top_channels: DataFrame, requested: Data
         .when(F.col("scored_count").isNull(), F.lit("No quality scores available yet")).alias("note"))
 
 
+def categories_asked(watch: DataFrame, meta: DataFrame, requested: DataFrame, scores: DataFrame | None = None,
+                     scored_meta: DataFrame | None = None, key: str = "video_id") -> DataFrame:
+    """P24 + P25 + S7 for ``requested(category_id)``: only the metadata of
+    these categories, and the history of their videos, is read on; the
+    answer is that of ``category_lookup`` over all categories.
+    ``scored_meta`` (``meta`` if not given) holds the categories of scored
+    videos."""
+    asked = requested.select(F.col("category_id").alias("_asked"))
+
+    def of_categories(m):
+        return keyed.among(m.withColumn("_asked", C.canonical_category("category_id")), asked, "_asked").drop("_asked")
+
+    mine = of_categories(meta)
+    seen = keyed.among(watch, video_categories(mine, key), key)
+    quality = None
+    if scores is not None:
+        quality = category_quality(mine if scored_meta is None else of_categories(scored_meta), scores, key)
+    return category_lookup(category_context(seen, mine, key), category_top_channels(seen, mine, key), requested, quality)
+
+
 # --- transcripts (X1-X4) -------------------------------------------------------
 
 
+HEAD_PARTS = 32
+
+
+def _heads(seg: DataFrame, key: str, seq: str, limit: int) -> DataFrame:
+    """Within each task, the segments of a key that start within the first
+    ``limit`` characters of what the task has of it. The rows are sorted in
+    the task (no shuffle) and passed through in batches."""
+    def run(batches):
+        at, used = object(), 0  # no key yet
+        for b in batches:
+            keys, lengths, keep = b.column(key).to_pylist(), b.column("_l").to_pylist(), []
+            for i, (k, n) in enumerate(zip(keys, lengths)):
+                if k != at:
+                    at, used = k, 0
+                if used <= limit:
+                    keep.append(i)
+                used += n + 1
+            yield b.take(pa.array(keep, pa.int64()))
+    return seg.sortWithinPartitions(key, seq, "_t").mapInArrow(run, seg.schema)
+
+
 def transcripts(segments: DataFrame, key: str = "video_id", seq: str = "seq", text: str = "text",
                 limit: int = S.TRANSCRIPT_LIMIT) -> DataFrame:
     """Segments joined by one space in order; over ``limit`` characters the
     text is cut and '... [truncated, N chars total]' appended.
 
-    The full length is a partial sum over every segment. A segment adds a
-    character at least (its space), so only the first limit + 1 of a key can
-    show: they are cut to ``limit`` characters, and ``row_number`` keeps that
-    many per task before the shuffle (the session raises Spark's group-limit
-    threshold above it), so no task holds a whole long transcript.
+    The full length is a partial sum over every segment. Only a key's first
+    segments can show, as each adds a character at least (its space), so each
+    task first cuts its own segments of a key to the visible characters
+    (``_heads``), before any shuffle; then a key's segments meet in
+    HEAD_PARTS parts that are cut again, and at last in one window. No
+    session setting matters, and however long a transcript is, a task gets at
+    most HEAD_PARTS times ``limit`` characters of it in one place.
     """
     seg = segments.select(key, seq, F.coalesce(F.col(text), F.lit("")).alias("_t"))
     full = seg.groupBy(key).agg((F.sum(F.length("_t") + 1) - 1).alias("full_length"))
     order = Window.partitionBy(key).orderBy(F.col(seq), "_t")
-    r = (seg.select(key, seq, F.length("_t").alias("_l"), F.substring("_t", 1, limit + 1).alias("_t"))
-         .withColumn("_nth", F.row_number().over(order)).filter(F.col("_nth") <= limit + 1))
+    seg = seg.select(key, seq, F.length("_t").alias("_l"), F.substring("_t", 1, limit + 1).alias("_t"))
+    part = F.pmod(F.spark_partition_id(), F.lit(HEAD_PARTS)).alias("_part")
+    r = _heads(_heads(seg.select("*", part), key, seq, limit).repartition(key, "_part"), key, seq, limit)
+    r = r.drop("_part").withColumn("_nth", F.row_number().over(order)).filter(F.col("_nth") <= limit + 1)
     upto = order.rowsBetween(Window.unboundedPreceding, -1)
     r = r.withColumn("_below", F.coalesce(F.sum(F.col("_l") + 1).over(upto), F.lit(0)))
     # a segment starting at offset `limit` still puts its leading space in the

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from viewlens.functions import columns as C
+from viewlens.operators import skew
 
 
 ORDER = "ingest_order"
@@ -37,17 +38,15 @@ def watch_enriched(watch: DataFrame, meta: DataFrame, ts: str = "timestamp", uni
     Left join on video_id: the metadata side is pruned to three columns
     (P26) and holds one row per video (TR18: a repeated metadata key must
     not multiply watch rows). ``unique=True`` says that ``meta`` is a written
-    table of one row per key: both join sides are then plain shuffles and a
-    hot video is split by the skew join (an aggregate below the join is not).
-    NULL ids match nothing and go around the join.
+    table of one row per key. Where the metadata is too large to broadcast,
+    the heavy videos of the log are salted (``skew.left_join``), so a video
+    with most of the history is many tasks' work. NULL ids match nothing and
+    go around the join.
     """
     cols = ["video_id", "duration_seconds", "category_id", *([ORDER] if ORDER in meta.columns else [])]
     m = meta.select(*cols) if unique else dedupe_first(meta.select(*cols), "video_id")
     m = m.select("video_id", "duration_seconds", "category_id")
-    known, none = watch.filter(F.col("video_id").isNotNull()), watch.filter(F.col("video_id").isNull())
-    blank = [F.lit(None).cast(m.schema[c].dataType).alias(c) for c in m.columns[1:]]
-    joined = known.join(m, "video_id", "left")
-    return (joined.unionByName(none.select("*", *blank))
+    return (skew.left_join(watch, m, "video_id")
             .withColumn("duration_hours", F.col("duration_seconds") / F.lit(3600.0))
             .withColumn("category", C.category_name("category_id"))
             .withColumn("year", F.year(ts))

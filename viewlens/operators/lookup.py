@@ -6,9 +6,10 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window
 
 from viewlens import schemas as S
 from viewlens.functions import columns as C
@@ -64,14 +65,14 @@ def fetch(pending: DataFrame, fetch_fn: Callable[[list[str]], dict], key: str =
           batch_size: int = S.LOOKUP_BATCH_SIZE, max_parallel: int | None = None) -> DataFrame:
     """S9 + W5: call ``fetch_fn`` with up to ``batch_size`` ids at a time.
 
-    Runs inside ``mapInPandas`` on ids dealt by key to ``max_parallel`` tasks
-    (the shuffle partitions if not given), which is how many calls are in
-    flight; calls are at most ceil(n/batch) + tasks - 1. The raw response is
-    landed as JSON text next to the ids it answers, so parsing is a separate,
-    replayable step. A call that fails lands its error instead of a response
-    and the others go on; its ids stay pending for the next run. A
-    ``QuotaExceeded`` ends the task's calls and keeps what already landed
-    (K5); the next run's anti-join resumes.
+    Runs inside ``mapInPandas``. ``batch_numbers`` deals the ids to calls
+    first, so exactly ceil(n / batch_size) are made (A16); the calls are dealt
+    to ``max_parallel`` tasks (the shuffle partitions if not given), which is
+    how many are in flight. The raw response is landed as JSON text next to
+    the ids it answers, so parsing is a separate, replayable step. A call that
+    fails lands its error instead of a response and the others go on; its ids
+    stay pending for the next run. A ``QuotaExceeded`` ends the task's calls
+    and keeps what already landed (K5); the next run's anti-join resumes.
     """
     tasks = max_parallel or int(pending.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -88,23 +89,23 @@ def fetch(pending: DataFrame, fetch_fn: Callable[[list[str]], dict], key: str =
                 error = f"{type(e).__name__}: {e}"
             return pd.DataFrame({"requested": [ids], "response": [response], "error": [error]})
 
-        for pdf in batches:
-            for v in pdf[key].tolist():
-                buf.append(str(v))
-                if len(buf) == batch_size:
-                    try:
+        at = None
+        try:
+            for pdf in batches:
+                for v, batch in zip(pdf[key].tolist(), pdf["batch"].tolist()):
+                    if buf and batch != at:
                         yield call(buf)
-                    except QuotaExceeded:
-                        return
-                    buf = []
-        if buf:
-            try:
+                        buf = []
+                    at = batch
+                    buf.append(str(v))
+            if buf:
                 yield call(buf)
-            except QuotaExceeded:
-                return
+        except QuotaExceeded:
+            return
 
-    ids = pending.select(F.col(key).cast("string").alias(key))
-    return ids.repartition(tasks, key).mapInPandas(run, LANDED)
+    ids = batch_numbers(pending.select(F.col(key).cast("string").alias(key)), batch_size, key)
+    dealt = ids.repartition(tasks, "batch").sortWithinPartitions("batch", "position")
+    return dealt.select(key, "batch").mapInPandas(run, LANDED)
 
 
 def fetch_landed(pending: DataFrame, fetch_fn: Callable[[list[str]], dict], landing: str,
@@ -120,15 +121,9 @@ def fetch_landed(pending: DataFrame, fetch_fn: Callable[[list[str]], dict], land
     return pending.sparkSession.read.schema(LANDED).parquet(landing)
 
 
-def flatten_items(landed: DataFrame) -> DataFrame:
-    """S10 + P12-P14: response JSON -> one row per returned item, META columns.
-
-    Missing fields are NULL (the CSV-compat sink writes them blank); lists
-    stay arrays; statistics are coerced to integers; the duration text is
-    parsed (missing -> 0)."""
-    items = (landed.select(F.explode(F.from_json("response", S.RESPONSE)["items"]).alias("i"))
-             .select("i.*"))
-    return items.select(
+def _item_columns() -> list[Column]:
+    """META columns of a response item (its fields as columns)."""
+    return [
         F.col("id").alias("video_id"),
         F.col("snippet.title").alias("api_title"),
         F.col("snippet.channelTitle").alias("api_channel_title"),
@@ -148,7 +143,18 @@ def flatten_items(landed: DataFrame) -> DataFrame:
         C.to_long("statistics.commentCount").alias("comment_count"),
         F.coalesce(F.col("topicDetails.topicCategories"),
                    F.array().cast("array<string>")).alias("topic_categories"),
-    )
+    ]
+
+
+def flatten_items(landed: DataFrame) -> DataFrame:
+    """S10 + P12-P14: response JSON -> one row per returned item, META columns.
+
+    Missing fields are NULL (the CSV-compat sink writes them blank); lists
+    stay arrays; statistics are coerced to integers; the duration text is
+    parsed (missing -> 0)."""
+    items = (landed.select(F.explode(F.from_json("response", S.RESPONSE)["items"]).alias("i"))
+             .select("i.*"))
+    return items.select(*_item_columns())
 
 
 def unavailable_rows(requested: DataFrame, returned: DataFrame, key: str = "video_id") -> DataFrame:
@@ -173,6 +179,59 @@ def resolve(landed: DataFrame) -> DataFrame:
     return returned.unionByName(unavailable_rows(requested, returned))
 
 
+def resolve_calls(landed: DataFrame) -> DataFrame:
+    """U3 call by call, without a join (so that it works on a stream): the
+    items a call returned and a sentinel row for each id that it asked for
+    and did not return. Calls without a response say nothing of their ids."""
+    item = S.RESPONSE["items"].dataType.elementType
+    called = landed.filter(F.col("response").isNotNull()).select(
+        "requested", F.coalesce(F.from_json("response", S.RESPONSE)["items"], F.array().cast(S.RESPONSE["items"].dataType)).alias("_i"))
+    missing = F.array_except("requested", F.transform("_i", lambda i: i["id"]))
+    entries = F.concat(F.transform("_i", lambda i: F.struct(i["id"].alias("_id"), i.alias("_item"))),
+                       F.transform(missing, lambda m: F.struct(m.alias("_id"), F.lit(None).cast(item).alias("_item"))))
+    each = called.select(F.explode(entries).alias("e")).select("e._id", "e._item", "e._item.*")
+    gone = F.col("_item").isNull()
+    return each.select(*(
+        F.col("_id").alias(c) if c == "video_id" else
+        F.when(gone, F.lit(S.UNAVAILABLE_TITLE if c == "api_title" else None)).otherwise(v).alias(c)
+        for c, v in zip(S.META.fieldNames(), _item_columns())))
+
+
+def batch_numbers(pending: DataFrame, size: int = S.LOOKUP_BATCH_SIZE, key: str = "video_id",
+                  seed: int = 42) -> DataFrame:
+    """(key, batch, position): the ids dealt to exactly ceil(n / size)
+    calls, every call but the last with ``size`` ids. The key column holds
+    each id once (repeats are numbered one by one, in any order).
+
+    A dense number without a global sort: ids are ordered by a hash, cut into
+    buckets by its leading bits, numbered within their bucket, and shifted by
+    the counts of the buckets before (a few thousand rows). All of it is a
+    function of the ids alone, so any partitioning gives the same calls.
+    """
+    bits = max(8, (2 * int(pending.sparkSession.conf.get("spark.sql.shuffle.partitions"))).bit_length())
+    ids = pending.select(key, F.coalesce(C.md5_rank_key(key, seed), F.lit(0)).alias("_h"))
+    ids = ids.withColumn("_b", F.shiftright("_h", 60 - bits))
+    counts = ids.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    shift = counts.select("_b", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_s"))  # 2 ** bits rows at most
+    within = Window.partitionBy("_b").orderBy("_h", key)
+    at = (ids.withColumn("_i", F.row_number().over(within) - 1).join(F.broadcast(shift), "_b")
+          .withColumn("_n", F.col("_i") + F.col("_s")))
+    return at.select(key, F.floor(F.col("_n") / size).cast("long").alias("batch"), (F.col("_n") % size).cast("int").alias("position"))
+
+
+def answered(batches: DataFrame, answers: DataFrame, key: str = "video_id") -> DataFrame:
+    """Landed responses of calls that a table answers: ``batches(key, batch,
+    position)`` from ``batch_numbers`` and ``answers(key, item)``, the items
+    that the other side holds (one per id it knows). One LANDED row per
+    call; a call's ids and items are at most the batch size."""
+    met = batches.join(answers.select(key, "item"), key, "left")
+    asked = F.transform(F.array_sort(F.collect_list(F.struct("position", F.col(key).cast("string").alias("id")))), lambda x: x["id"])
+    items = F.transform(F.array_sort(F.collect_list(F.when(F.col("item").isNotNull(), F.struct("position", "item")))), lambda x: x["item"])
+    return met.groupBy("batch").agg(asked.alias("requested"), items.alias("items")).select(
+        "batch", "requested", F.to_json(F.struct("items")).alias("response"), F.lit(None).cast("string").alias("error"))
+
+
 def latest(df: DataFrame, key: str, order: str) -> DataFrame:
     """Newest row per key (max_by is partially aggregated: skew-safe)."""
     others = [c for c in df.columns if c != key]

@@ -122,17 +122,54 @@ def exact_median(df: DataFrame, value: str, group_cols: Sequence[str] = (),
     return picked.select(*group_cols, (lo + (hi - lo) / 2).alias("median"))
 
 
+#: Rank error of the bracketing sketch (1 / ACCURACY) and half the width of
+#: the bracket, both as shares of a group.
+ACCURACY, HALF_WIDTH = 10_000, 0.002
+
+
 def exact_medians(df: DataFrame, values: Sequence[str], group_cols: Sequence[str] = (),
-                  buckets: int | None = None) -> DataFrame:
-    """(group_cols, median_<value>...) for several value columns of one type
-    in a single rank pass: the columns are stacked as (metric, value) rows
-    and ranked per (group, metric), then folded back per group."""
+                  buckets: int | None = None, half_width: float = HALF_WIDTH) -> DataFrame:
+    """(group_cols, median_<value>...) for several value columns of one type:
+    the columns are stacked as (metric, value) rows, and each (group,
+    metric) is bracketed.
+
+    1. A mergeable sketch (of rank error 1 / ``buckets``) gives two values
+       around the middle.
+    2. One counting pass says how many values lie below and up to them, and
+       so whether the middle is between them.
+    3. Only the values in between (about 2 * ``half_width`` of all), counted
+       once each per task, are shuffled and ranked.
+
+    The result is exact whatever the sketch gives: a group whose middle lies
+    outside its bracket takes part with all its values. Rows with a NULL
+    group, and groups without any value, are left out.
+    """
     group_cols = list(group_cols)
+    keys = [*group_cols, "_m"]
     stacked = df.select(*group_cols, F.inline(F.array(*[
-        F.struct(F.lit(i).alias("_m"), F.col(v).alias("_v")) for i, v in enumerate(values)])))
-    med = exact_median(stacked, "_v", [*group_cols, "_m"], buckets)
-    return med.groupBy(*group_cols).agg(*[
-        F.max(F.when(F.col("_m") == i, F.col("median"))).alias(f"median_{v}") for i, v in enumerate(values)])
+        F.struct(F.lit(i).alias("_m"), F.col(v).alias("_v")) for i, v in enumerate(values)]))).filter(F.col("_v").isNotNull())
+    q = F.percentile_approx("_v", [0.5 - half_width, 0.5 + half_width], buckets or ACCURACY)
+    bracket = stacked.groupBy(*keys).agg(q.alias("_q")).select(*keys, F.col("_q")[0].alias("_lo"), F.col("_q")[1].alias("_hi"))
+    met = stacked.join(bracket, keys)
+    counts = met.groupBy(*keys, "_lo", "_hi").agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col("_v") < F.col("_lo")).alias("_under"),
+                                                  F.count_if(F.col("_v") <= F.col("_hi")).alias("_upto"))
+    first, last = F.floor((F.col("_n") + 1) / 2), F.floor(F.col("_n") / 2) + 1
+    holds = (F.col("_under") < first) & (F.col("_upto") >= last)
+    plan = counts.select(*keys, "_lo", "_hi", first.alias("_k1"), last.alias("_k2"), holds.alias("_holds"),
+                         F.when(holds, F.col("_under")).otherwise(F.lit(0)).alias("_under"))
+    inside = stacked.join(plan, keys).filter(~F.col("_holds") | ((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))))
+    each = inside.groupBy(*keys, "_v", "_k1", "_k2", "_under").agg(F.count(F.lit(1)).alias("_c"))
+    upto = F.col("_under") + F.sum("_c").over(Window.partitionBy(*keys).orderBy("_v").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow))
+    each = each.withColumn("_upto", upto).withColumn("_below", F.col("_upto") - F.col("_c"))
+
+    def at(metric, k):
+        hit = (F.col("_m") == metric) & (F.col("_below") < F.col(k)) & (F.col(k) <= F.col("_upto"))
+        return F.max(F.when(hit, F.col("_v"))).cast("double")
+
+    def middle(i):
+        return at(i, "_k1") + (at(i, "_k2") - at(i, "_k1")) / 2
+    return each.groupBy(*group_cols).agg(*[middle(i).alias(f"median_{v}") for i, v in enumerate(values)])
 
 
 def first_n_by_rank(df: DataFrame, order_cols: Sequence[str], n: int,

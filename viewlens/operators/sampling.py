@@ -2,10 +2,11 @@
 (P22, J3, J4, J9, T6-T8, U1).
 
 Samples are deterministic: rows are ordered by a 60-bit key taken from
-md5('<id>:<seed>') (then the id) and the first n are kept, with the
-distributed exact rank for every n, so no task or the driver gathers the
-candidates. A NULL id orders last; rows that repeat an id are taken or left
-one by one, so a sample has exactly min(n, size) rows.
+md5('<id>:<seed>') (then the id) and the first n are kept by an exact
+threshold on that key (``selection``), so a sample of any size is a filter:
+no task or the driver gathers the candidates. A NULL id orders last; rows that
+repeat an id are taken or left one by one, so a sample has exactly
+min(n, size) rows.
 """
 
 from __future__ import annotations
@@ -15,16 +16,11 @@ from pyspark.sql import functions as F
 
 from viewlens import schemas as S
 from viewlens.functions import columns as C
-from viewlens.operators.ranking import first_n_by_rank
+from viewlens.operators.selection import first_n
 
 NULL_KEY = 1 << 62  # above every pool bit and hash
 
 
-def first_n(df: DataFrame, order_cols: list[str], n: int) -> DataFrame:
-    """The first n rows in order_cols order; the first one is a number."""
-    return first_n_by_rank(df, order_cols, n)
-
-
 def available(meta: DataFrame) -> DataFrame:
     """Drop the unavailable sentinel; NULL titles stay (TR9)."""
     return meta.filter(~F.col("api_title").eqNullSafe(S.UNAVAILABLE_TITLE))

@@ -9,7 +9,7 @@ rounds after the cap are never run. Only blocks of executed rounds count.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from viewlens import schemas as S
@@ -22,52 +22,56 @@ EMPTY_RE = r"^\s*\{\s*\}\s*$"
 def summarise(trace: DataFrame, key: str = "video_id", max_rounds: int = S.MAX_TOOL_ROUNDS) -> DataFrame:
     """Per trace: outcome (assessed / empty_assessment / failed /
     stopped_without_tools / round_cap; failed: the loop reached a round whose
-    call failed, which the trace records as a block of type ``error``), final assessment JSON, ordered tools_used (unknown tools not
-    recorded), tool_rounds (= non-submit calls), error_calls, end_round."""
-    t = trace.filter(F.col("round") <= max_rounds)
+    call failed, which the trace records as a block of type ``error``), final
+    assessment JSON, ordered tools_used (unknown tools not recorded),
+    tool_rounds (= non-submit calls), error_calls, end_round.
+
+    One scan and one shuffle: an aggregate per trace holds a struct for each
+    of the ``max_rounds`` rounds (partial in every task), and a fold over
+    these structs, in round order, replays the loop.
+    """
     is_tool = F.col("block_type") == "tool_use"
     is_submit = is_tool & (F.col("tool_name") == S.SUBMIT_TOOL)
-    rounds = t.groupBy(key, "round").agg(
-        (F.count_if(is_tool) > 0).alias("_has_tool"),
-        (F.count_if(F.col("block_type") == "error") > 0).alias("_error"),
-        F.max_by(F.when(is_submit, F.col("input_json")),
-                 F.when(is_submit, F.col("pos"))).alias("_last_submit"))
-    w = Window.partitionBy(key).orderBy("round").rowsBetween(Window.unboundedPreceding, 0)
-    rounds = rounds.withColumn("_latest", F.last("_last_submit", ignorenulls=True).over(w))
-    nonempty = F.col("_latest").isNotNull() & ~F.col("_latest").rlike(EMPTY_RE)
-    rounds = rounds.withColumn("_done", F.col("_has_tool") & nonempty) \
-                   .withColumn("_stop", ~F.col("_has_tool") | F.col("_error"))
-    # a trace's rounds are few (<= max_rounds), so this group is bounded
-    per = rounds.groupBy(key).agg(
-        F.min(F.when(F.col("_done") | F.col("_stop"), F.col("round"))).alias("_end"),
-        F.max("round").alias("_max_round"),
-        F.min_by(F.struct("_done", "_latest", "_error"),
-                 F.when(F.col("_done") | F.col("_stop"), F.col("round"))).alias("_at_end"),
-        F.max_by("_latest", "round").alias("_latest_last"))
-    ended = F.col("_end").isNotNull()
-    latest = F.when(ended, F.col("_at_end._latest")).otherwise(F.col("_latest_last"))
-    done = ended & F.col("_at_end._done")
-    empty = latest.isNotNull() & latest.rlike(EMPTY_RE)
-    outcome = (F.when(done, F.lit("assessed"))
-               .when(ended & F.col("_at_end._error"), F.lit("failed"))
+    known = is_tool & F.col("tool_name").isin(*KNOWN)
+
+    def of_round(r):
+        here = F.col("round") == r
+        submit = here & is_submit
+        return [F.count_if(here).alias(f"_n{r}"), F.count_if(here & is_tool).alias(f"_c{r}"),
+                F.count_if(here & (F.col("block_type") == "error")).alias(f"_e{r}"),
+                F.max_by(F.when(submit, F.col("input_json")), F.when(submit, F.col("pos"))).alias(f"_s{r}"),
+                F.collect_list(F.when(here & known, F.struct("pos", "tool_name"))).alias(f"_t{r}")]
+
+    run = range(1, max_rounds + 1)
+    per = trace.filter(F.col("round").between(1, max_rounds)).groupBy(key).agg(*(c for r in run for c in of_round(r)))
+    rounds = F.array(*(F.struct(
+        F.lit(r).alias("round"), (F.col(f"_n{r}") > 0).alias("met"), F.col(f"_c{r}").alias("calls"), (F.col(f"_e{r}") > 0).alias("error"),
+        F.col(f"_s{r}").alias("submit"), F.transform(F.array_sort(f"_t{r}"), lambda t: t["tool_name"]).alias("tools")) for r in run))
+    start = F.struct(F.lit(0).alias("end_round"), F.lit(False).alias("ended"), F.lit(False).alias("done"),
+                     F.lit(False).alias("error"), F.lit(None).cast("string").alias("latest"),
+                     F.array().cast("array<string>").alias("tools"), F.lit(0).cast("long").alias("calls"))
+
+    def step(acc, r):
+        latest = F.coalesce(r["submit"], acc["latest"])
+        done = (r["calls"] > 0) & latest.isNotNull() & ~latest.rlike(EMPTY_RE)
+        ran = F.struct(r["round"].alias("end_round"), (done | (r["calls"] == 0) | r["error"]).alias("ended"),
+                       F.coalesce(done, F.lit(False)).alias("done"), r["error"].alias("error"), latest.alias("latest"),
+                       F.concat(acc["tools"], r["tools"]).alias("tools"), (acc["calls"] + r["calls"]).alias("calls"))
+        return F.when(acc["ended"] | ~r["met"], acc).otherwise(ran)
+
+    # the one-element generator keeps the fold from being repeated in each later expression
+    f = per.select(key, F.inline(F.array(F.aggregate(rounds, start, step))))
+    empty = F.col("latest").isNotNull() & F.col("latest").rlike(EMPTY_RE)
+    failed = F.col("ended") & F.col("error")
+    outcome = (F.when(F.col("done"), F.lit("assessed")).when(failed, F.lit("failed"))
                .when(empty, F.lit("empty_assessment"))
-               .when(ended | (F.col("_max_round") < max_rounds), F.lit("stopped_without_tools"))
+               .when(F.col("ended") | (F.col("end_round") < max_rounds), F.lit("stopped_without_tools"))
                .otherwise(F.lit("round_cap")))
-    per = per.select(key, F.coalesce("_end", "_max_round").alias("end_round"),
-                     outcome.alias("outcome"),
-                     F.when(done | (empty & ~(ended & F.col("_at_end._error"))), latest).alias("assessment"))
-    calls = (t.filter(is_tool).select(key, "round", "pos", "tool_name")
-             .join(per.select(key, "end_round"), key)
-             .filter(F.col("round") <= F.col("end_round")))
-    used = calls.filter(F.col("tool_name").isin(*KNOWN)).groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("round", "pos", "tool_name"))).alias("_u"))
-    errs = calls.filter(~F.col("tool_name").isin(*KNOWN)).groupBy(key).agg(
-        F.count(F.lit(1)).alias("error_calls"))
-    tools = F.coalesce(F.transform("_u", lambda x: x["tool_name"]), F.array().cast("array<string>"))
-    return (per.join(used, key, "left").join(errs, key, "left")
-            .select(key, "outcome", "end_round", "assessment", tools.alias("tools_used"),
-                    F.size(F.filter(tools, lambda x: x != S.SUBMIT_TOOL)).alias("tool_rounds"),
-                    F.coalesce("error_calls", F.lit(0).cast("long")).alias("error_calls")))
+    return f.select(key, outcome.alias("outcome"), "end_round",
+                    F.when(F.col("done") | (empty & ~failed), F.col("latest")).alias("assessment"),
+                    F.col("tools").alias("tools_used"),
+                    F.size(F.filter("tools", lambda x: x != S.SUBMIT_TOOL)).alias("tool_rounds"),
+                    (F.col("calls") - F.size("tools")).alias("error_calls"))
 
 
 def tool_order(summary: DataFrame) -> DataFrame:

@@ -20,6 +20,7 @@ requires its inputs (S14).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -58,17 +59,44 @@ class _Scratch:
         return self.spark.read.parquet(path)
 
 
-YEAR_SALT = 16  # tasks, and so files, for each year of the history
+FILE_ROWS = 1_000_000  # rows of a history file at most
 
 
-def parse(spark: SparkSession, export_path: str, out: str) -> DataFrame:
+def by_year(df: DataFrame, out: str, file_rows: int = FILE_ROWS) -> None:
+    """K1: overwrite ``out`` with ``df`` (a written table), partitioned by
+    ``year``, in files of at most ``file_rows`` rows. The rows of each year
+    are counted first; a year of many files is dealt to as many tasks, and a
+    small one to a single task and file."""
+    files = {r["year"]: max(1, math.ceil(r["n"] / file_rows))
+             for r in df.groupBy("year").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a year
+    salts = F.lit(files.get(None, 1))
+    many = {y: n for y, n in files.items() if y is not None and n > 1}
+    if many:
+        of_year = F.element_at(F.create_map(*(F.lit(x) for yn in many.items() for x in yn)), F.col("year"))
+        salts = F.when(F.col("year").isNull(), salts).otherwise(F.coalesce(of_year, F.lit(1)))
+    elif None not in files or files[None] == 1:
+        salts = F.lit(1)
+    else:
+        salts = F.when(F.col("year").isNull(), salts).otherwise(F.lit(1))
+    salt = F.pmod(F.xxhash64(F.spark_partition_id(), *df.columns), salts)
+    # a few more than the files, so that two of them seldom share a task
+    tasks = max(1, min(2 * sum(files.values()), MAX_WRITERS))
+    (df.repartition(tasks, F.col("year"), salt).write.mode("overwrite").option("maxRecordsPerFile", file_rows)
+     .partitionBy("year").parquet(out))
+
+
+MAX_WRITERS = 65_536
+
+
+def parse(spark: SparkSession, export_path: str, out: str, file_rows: int = FILE_ROWS) -> DataFrame:
     """Export blocks -> watch history at ``out``, partitioned by year (S1,
     P1-P11, K1). Rows whose time text did not parse stay with a NULL year
-    (TR2; ``ingest.time_quarantine`` lists them). Returns the summary row."""
+    (TR2; ``ingest.time_quarantine`` lists them). The blocks are parsed once
+    and written, then counted and laid out. Returns the summary row."""
     io.require(spark, export_path, "Export the history first.")
     parsed = ingest.parse_blocks(io.read_export(spark, export_path)).withColumn("year", F.year("timestamp"))
-    salt = F.pmod(F.xxhash64("video_url", "timestamp"), F.lit(YEAR_SALT))
-    io.overwrite(parsed.repartition(F.col("year"), salt), out, partition_by=["year"])
+    with _Scratch(spark) as scratch:
+        by_year(scratch.written(parsed, "parsed"), out, file_rows)
     return reports.ingest_summary(spark.read.parquet(out))
 
 

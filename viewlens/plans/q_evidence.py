@@ -41,7 +41,7 @@ def q_channel_patterns(spark, base):
 def q_channel_lookup(spark, base):
     """P24 + P25: channels asked about (customer keys), known or not."""
     req = io.read_table(spark, base, "customer").select(F.col("c_custkey").alias("channel"))
-    return E.channel_lookup(E.channel_patterns(V.watch(spark, base)), req)
+    return E.channels_asked(V.watch(spark, base), req)
 
 
 ENG_SQL = with_ctes(V.META_STATS_SQL, """m AS (SELECT video_id, view_count AS views, like_count AS likes,
@@ -207,8 +207,7 @@ def q_category_lookup(spark, base):
     channels, medians and quality in one record."""
     watch, meta = V.watch(spark, base), V.meta_stats(spark, base)
     req = io.read_table(spark, base, "part").select(F.col("p_size").cast("string").alias("category_id"))
-    quality = E.category_quality(doc_meta(spark, base), V.scores(spark, base))
-    j = E.category_lookup(E.category_context(watch, meta), E.category_top_channels(watch, meta), req, quality)
+    j = E.categories_asked(watch, meta, req, V.scores(spark, base), doc_meta(spark, base))
     tops = F.array_join(F.transform("top_channels", lambda t: F.concat_ws(
         ":", t["channel"].cast("string"), t["watches"].cast("string"))), ",")
     labels = F.array_join(F.transform(F.array_sort(F.map_entries("label_distribution")), lambda e: F.concat_ws(

@@ -258,65 +258,67 @@ def q_lookup_result(spark, base):
     return r.select("video_id", "api_title", "category_id", "duration_seconds")
 
 
-def arithmetic_service(ids):
-    """Stand-in metadata service: answers every id except those = 3 (mod 7)."""
-    items = []
-    for i in ids:
-        n = int(i)
-        if n % 7 == 3:
-            continue
-        items.append({"id": i, "snippet": {"title": f"video {n}", "categoryId": str(n % 44 + 1)},
-                      "contentDetails": {"duration": f"PT{n // 60 % 60}M{n % 60}S"},
-                      "statistics": {"viewCount": str(n * 3)}})
-    return {"items": items}
+def part_answers(spark, base):
+    """What a metadata service would hold: the item of each part that is not
+    withdrawn."""
+    r = part_response(spark, base)
+    item = F.from_json("response", S.RESPONSE)["items"]
+    return r.select(F.col("requested")[0].alias("video_id"), F.explode(item).alias("item"))
 
 
-class BudgetedService:
-    """A service that refuses after ``budget`` calls in one task (quota)."""
+LOOKUP_SQL = """SELECT CAST(p_partkey AS VARCHAR) AS video_id,
+  CASE WHEN p_type = 'PROMO' THEN '[unavailable]' ELSE p_name END AS api_title,
+  CASE WHEN p_type = 'PROMO' THEN NULL ELSE regexp_extract(p_brand, '#(\\d+)', 1) END AS category_id,
+  CASE WHEN p_type = 'PROMO' THEN NULL ELSE CAST(p_size AS BIGINT) * 60 END AS duration_seconds,
+  CASE WHEN p_type = 'PROMO' THEN NULL ELSE CAST(p_retailprice * 100 AS BIGINT) END AS view_count
+  FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem)"""
+
+
+def lookup_cols(df):
+    return df.select("video_id", "api_title", "category_id", "duration_seconds", "view_count")
 
-    def __init__(self, budget: int):
-        self.budget = budget
-        self.calls = 0
 
-    def __call__(self, ids):
-        self.calls += 1
-        if self.calls > self.budget:
-            raise L.QuotaExceeded()
-        return arithmetic_service(ids)
+def watched_ids(spark, base):
+    return V.watch(spark, base).select(F.col("video_id").cast("string").alias("video_id"))
 
 
-LOOKUP_SQL = """SELECT CAST(video_id AS VARCHAR) AS video_id,
-  CASE WHEN video_id % 7 = 3 THEN '[unavailable]' ELSE 'video ' || CAST(video_id AS VARCHAR) END AS api_title,
-  CASE WHEN video_id % 7 = 3 THEN NULL ELSE CAST(video_id % 44 + 1 AS VARCHAR) END AS category_id,
-  CASE WHEN video_id % 7 = 3 THEN NULL ELSE (video_id // 60 % 60) * 60 + video_id % 60 END AS duration_seconds,
-  CASE WHEN video_id % 7 = 3 THEN NULL ELSE video_id * 3 END AS view_count
-  FROM (SELECT DISTINCT l_partkey AS video_id FROM lineitem)"""
+BATCH_SQL = """n AS (SELECT video_id, row_number() OVER (ORDER BY md5(CAST(video_id AS VARCHAR) || ':42'), video_id) - 1 AS i
+  FROM (SELECT DISTINCT CAST(l_partkey AS VARCHAR) AS video_id FROM lineitem WHERE l_partkey IS NOT NULL))"""
 
 
-def lookup_cols(df):
-    return df.select("video_id", "api_title", "category_id", "duration_seconds", "view_count")
+@register("lookup_batches", with_ctes(BATCH_SQL) + """SELECT video_id, i // 50 AS batch,
+  CAST(i % 50 AS INTEGER) AS position FROM n""")
+def q_lookup_batches(spark, base):
+    """Every distinct watched id with its call and place in it."""
+    return L.batch_numbers(L.distinct_ids(watched_ids(spark, base)))
 
 
 @register("batched_lookup", LOOKUP_SQL)
 def q_batched_lookup(spark, base):
-    """S9 + W5 + U3: every distinct watched id looked up in batches of 50."""
-    pending = L.distinct_ids(V.watch(spark, base))
-    landed = L.fetch_landed(pending, arithmetic_service, scratch_path(spark, "landed"))
-    return lookup_cols(L.resolve(landed))
+    """S9 + W5 + U3: every distinct watched id asked for in calls of 50; the
+    answers are the items of ``part``."""
+    path = scratch_path(spark, "landed")
+    batches = L.batch_numbers(L.distinct_ids(watched_ids(spark, base)))
+    L.answered(batches, part_answers(spark, base)).write.parquet(path)
+    return lookup_cols(L.resolve_calls(spark.read.parquet(path)))
 
 
 @register("incremental_append", LOOKUP_SQL)
 def q_incremental_append(spark, base):
-    """K2-K5 + S5 + S14 + I1 + U4: run 1 stops on quota after 3 calls per task
-    and keeps what landed; run 2 anti-joins the store and finishes. Every id
-    ends in the store exactly once."""
+    """K2-K5 + S5 + S14 + I1 + U4: run 1 has a quota of half its calls and
+    keeps what landed; run 2 anti-joins the store and finishes. Every id ends
+    in the store exactly once."""
     store = scratch_path(spark, "meta-store")
-    watch = V.watch(spark, base)
-    for service in (BudgetedService(3), arithmetic_service):
+    answers = part_answers(spark, base)
+    for run in (1, 2):
         known = io.read_keys(spark, store, schema=S.META)
-        pending = L.pending_ids(watch.select(F.col("video_id").cast("string").alias("video_id")), known)
-        landed = L.fetch_landed(pending, service, scratch_path(spark, "landed"))
-        io.append(L.resolve(landed), store)
+        batches = L.batch_numbers(L.pending_ids(watched_ids(spark, base), known))
+        if run == 1:
+            calls = batches.agg(F.max("batch")).first()[0]
+            batches = batches.filter(F.col("batch") <= F.lit(calls or 0) / 2)
+        path = scratch_path(spark, "landed")
+        L.answered(batches, answers).write.parquet(path)
+        io.append(L.resolve_calls(spark.read.parquet(path)), store)
     io.require(spark, store, "lookup run wrote nothing")
     return lookup_cols(spark.read.parquet(store))
 
