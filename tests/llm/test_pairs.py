@@ -79,6 +79,33 @@ def test_join_when_every_list_is_long_and_every_shingle_hot(spark, monkeypatch):
     assert got == brute([(r.doc_id, r.text) for r in docs.collect()])
 
 
+def test_short_texts_whose_low_hash_bits_agree_stay_apart(spark):
+    """Two words whose 64-bit hashes differ but agree in 40 bits and bucket."""
+    docs = table(spark, ["w4438509", "w5779247", "w5779247 "], [1, 2, 3])
+    assert {r.doc_id: r.component_id for r in ngram_join.ngram_links(docs).collect()} == {1: 1, 2: 2, 3: 2}
+
+
+@pytest.mark.parametrize("rounds", [(), (1,), (1, 2, 4), (8, 64, 512)])
+def test_rounds_of_hubs_lose_no_link(spark, monkeypatch, rounds):
+    """Near copies of one text, most of which do not link to each other."""
+    monkeypatch.setattr(ngram_join, "ROUNDS", rounds)
+    monkeypatch.setattr(ngram_join, "LONG", 1000)  # one hub at first
+    rng = random.Random(21)
+    words = [f"v{i}" for i in range(3000)]
+    texts = []
+    for _ in range(2):
+        base = rng.choices(words, k=120)
+        for _ in range(60):
+            w = list(base)
+            for at in rng.sample(range(120), rng.randint(1, 4)):
+                w[at] = rng.choice(words)
+            texts.append(" ".join(w))
+    docs = table(spark, texts)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_links(docs).collect()}
+    want = brute(list(enumerate(texts)))
+    assert got == want and len({c for _, c in want.values()}) > 2
+
+
 def test_keep_one_with_null_and_repeated_ids_and_clashing_columns(spark):
     text = "a b c d e f g h"
     docs = table(spark, [text, text, text, "other words are here now", "", None, None, text],

@@ -6,8 +6,8 @@ link when ``100 * |A & B| >= percent * |A | B|`` (exact integers).
 * Equal sets are one *class*; only classes are compared.
 * **Light** sets (fewer than ``x`` shingles) enumerate fixed-size subsets:
   sets of sizes s and t link exactly when they share a subset of ``o(s, t)``
-  shingles, the overlap that the threshold asks for, so equal subset
-  signatures are links without a further look.
+  shingles, the overlap that the threshold asks for; equal 128-bit subset
+  signatures are candidates.
 * **Heavy** sets scan inverted lists: a set is listed under its rarest
   shingles, as many as guarantee that linked sets meet in a list, and
   candidates are verified on the whole sets.
@@ -15,9 +15,16 @@ link when ``100 * |A & B| >= percent * |A | B|`` (exact integers).
 
 Shingle counts cover all documents. A shingle that one class alone has
 needs no list, so most documents leave after counting. Members of a list
-are first verified against one hub; then only pairs of different
-components are compared, so a large group of near copies costs about one
-comparison for each member and not one for each pair.
+are first verified against one hub (a long list has several). While a list
+still holds many open pairs (members of different components, none of which
+was a hub), further hubs of different components are drawn and each is
+compared with every open member; a hub is then finished in its list, and the
+components have grown together. So a large group of near copies costs a few
+comparisons for each member and not one for each other member, and a pair is
+left out only if it is in one component already.
+
+A shingle is 64 bits of hash, a set of them (a class) 128; every link is
+decided on the whole sets.
 """
 
 from __future__ import annotations
@@ -28,7 +35,7 @@ from math import ceil, comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from viewlens.llm.common import (byte_table, doc_slices, hash_words, land, shingle_hashes,
@@ -46,6 +53,9 @@ HOT = 8192
 LIGHT_MAX, LIST_COST = 16, 6
 #: Members of a list beyond which it has HUBS hubs instead of one.
 LONG, HUBS = 32, 8
+#: Further hubs of a list, round by round, while its open pairs outnumber what
+#: they meet; what is open after the last round is compared pair by pair.
+ROUNDS = (8, 64, 512)
 BITS = 8  # 64-bit words of the parity bitmap
 
 
@@ -69,8 +79,20 @@ def _sets(batch, k: int, text: str):
             yield lo + i, shingle_hashes(words[at[i]: at[i + 1]], k)
 
 
-def _key(s: np.ndarray) -> int:
-    return xxhash.xxh64_intdigest(s.view(np.uint8)) - (1 << 63) if len(s) else 0
+def _key(s: np.ndarray) -> bytes:
+    """128 bits that name a set (nothing names the empty one)."""
+    return xxhash.xxh3_128_digest(s.view(np.uint8)) if len(s) else b""
+
+
+def _home(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of each class key (an array of 16-byte strings)."""
+    return (np.ascontiguousarray(keys).view(np.uint64)[::2] % np.uint64(buckets)).astype(np.int32)
+
+
+def _keys_column(keys: np.ndarray) -> pa.Array:
+    """Class keys for Arrow (numpy strips zero bytes from single strings)."""
+    raw = pa.py_buffer(np.ascontiguousarray(keys).tobytes())
+    return pa.Array.from_buffers(pa.binary(16), len(keys), [None, raw]).cast(pa.binary())
 
 
 def _bitmap(s: np.ndarray) -> np.ndarray:
@@ -87,7 +109,7 @@ def _profile(id_col: str, text: str, k: int):
         hot = c >= max(2, c.sum() // (2 * HOT))
         n = int(hot.sum())
         cols = [pa.array(np.ones(n, np.int8))] + [pa.nulls(n, pa.int64())] * (4 + BITS)
-        cols[3] = pa.nulls(n, pa.int32())
+        cols[3], cols[4] = pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())
         return pa.RecordBatch.from_arrays(
             cols + [pa.array(t[hot].view(np.int64)), pa.array(c[hot].astype(np.int64))], names=names)
 
@@ -111,11 +133,11 @@ def _profile(id_col: str, text: str, k: int):
             bits = np.array(maps, dtype=np.int64).reshape(m, BITS)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.zeros(m, np.int8)), b.column(id_col).cast(pa.int64()), b.column("th"), pa.array(ns, pa.int32()),
-                 pa.array(keys, pa.int64()), *(pa.array(bits[:, i]) for i in range(BITS)),
+                 pa.array(keys, pa.binary()), *(pa.array(bits[:, i]) for i in range(BITS)),
                  pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())], names=names)
         if held:
             yield frequent(held)
-    schema = ("kind tinyint, doc_id long, th long, n int, ckey long, " + ", ".join(f"b{i} long" for i in range(BITS))
+    schema = ("kind tinyint, doc_id long, th long, n int, ckey binary, " + ", ".join(f"b{i} long" for i in range(BITS))
               + ", token long, cnt long")
     return run, schema
 
@@ -127,16 +149,6 @@ _PACKED = pa.schema([("dest", pa.int32()), ("src", pa.int32()), ("keys", pa.bina
                      ("counts", pa.binary()), ("toks", pa.binary()), ("nums", pa.binary())])
 
 
-def _low5(tokens: np.ndarray) -> bytes:
-    return np.ascontiguousarray(tokens.view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
-
-
-def _wide(packed: bytes) -> np.ndarray:
-    out = np.zeros((len(packed) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(packed, np.uint8).reshape(-1, 5)
-    return out.reshape(-1).view(np.uint64)
-
-
 def _packed(rows) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist([dict(zip(_PACKED.names, r)) for r in rows], schema=_PACKED)
 
@@ -151,7 +163,7 @@ def _deal(text: str, k: int, buckets: int, hot: np.ndarray):
     """Pass 2: shingles by bucket of their hash; sizes and hot shingles of a
     class by bucket of the class (src = -1)."""
     def flush(keys, sets):
-        keys = np.array(keys, np.int64)
+        keys = np.frombuffer(b"".join(keys), "S16")
         sizes = np.array([len(s) for s in sets])
         toks, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
         rows = []
@@ -159,7 +171,7 @@ def _deal(text: str, k: int, buckets: int, hot: np.ndarray):
         is_hot = hot[np.minimum(at, len(hot) - 1)] == toks if len(hot) else np.zeros(len(toks), bool)
         hot_n = np.bincount(owner[is_hot], minlength=len(sets)).astype(np.uint32)
         ids, starts = at[is_hot].astype(np.uint64), np.cumsum(hot_n) - hot_n
-        home = (keys % buckets).astype(np.int32)
+        home = _home(keys, buckets)
         for d in np.unique(home):
             mine = np.flatnonzero(home == d)
             picked = [ids[starts[i]: starts[i] + hot_n[i]] for i in mine if hot_n[i]]
@@ -175,7 +187,7 @@ def _deal(text: str, k: int, buckets: int, hot: np.ndarray):
             o = owner[a: a + m]
             r, c = _runs(o)
             rows.append((int(dest[a]), int(dest[a]), keys[o[r]].tobytes(), c.astype(np.uint32).tobytes(),
-                         _low5(toks[a: a + m]), b""))
+                         toks[a: a + m].tobytes(), b""))
         return _packed(rows)
 
     def run(batches):
@@ -201,8 +213,8 @@ def _count(buckets: int):
     """Document frequency of each shingle of a bucket; those of two classes
     or more go to the buckets of their classes."""
     def bucket(src, parts):
-        toks = np.concatenate([_wide(p[2]) for p in parts])
-        keys = np.concatenate([np.repeat(np.frombuffer(p[0], np.int64), np.frombuffer(p[1], np.uint32))
+        toks = np.concatenate([np.frombuffer(p[2], np.uint64) for p in parts])
+        keys = np.concatenate([np.repeat(np.frombuffer(p[0], "S16"), np.frombuffer(p[1], np.uint32))
                                for p in parts])
         order = np.argsort(toks, kind="stable")
         at, m = _runs(toks[order])
@@ -217,13 +229,13 @@ def _count(buckets: int):
         at, m = _runs(toks)
         df = np.repeat(m, m)
         toks, keys, df = toks[df >= 2], keys[df >= 2], df[df >= 2].astype(np.uint32)
-        home = (keys % buckets).astype(np.int32)
+        home = _home(keys, buckets)
         order = np.lexsort((keys, home))
         toks, keys, df, home = toks[order], keys[order], df[order], home[order]
         for a, m in zip(*_runs(home)) if len(home) else ():
             r, c = _runs(keys[a: a + m])
             yield (int(home[a]), src, keys[a: a + m][r].tobytes(), c.astype(np.uint32).tobytes(),
-                   _low5(toks[a: a + m]), df[a: a + m].tobytes())
+                   toks[a: a + m].tobytes(), df[a: a + m].tobytes())
 
     def run(batches):
         held: dict[int, list] = {}
@@ -244,30 +256,30 @@ def _count(buckets: int):
     return run
 
 
-POSTINGS = "kind tinyint, token long, ckey long, n int, t int"
+POSTINGS = "kind tinyint, token long, token2 long, ckey binary, n int, t int"
 
 
-def _list(percent: int, x: int, hot_rank: np.ndarray):
+def _list(percent: int, x: int, hot: np.ndarray, hot_rank: np.ndarray):
     """Listed shingles (kind 0) and subset signatures (kind 1) of the classes
     of a bucket."""
-    names = ["kind", "token", "ckey", "n", "t"]
+    names = ["kind", "token", "token2", "ckey", "n", "t"]
 
     def bucket(parts):
         meta = [p for p in parts if p[0] < 0]
-        keys = np.concatenate([np.frombuffer(p[1], np.int64) for p in meta])
+        keys = np.concatenate([np.frombuffer(p[1], "S16") for p in meta])
         n = np.concatenate([np.frombuffer(p[4], np.uint32) for p in meta]).astype(np.int64)
         key0, first = np.unique(keys, return_index=True)
         n0 = n[first]
         own, tok, df = [], [], []
         for src, ks, cs, ts, nums in parts:
-            ks, cs = np.frombuffer(ks, np.int64), np.frombuffer(cs, np.uint32)
-            own.append(np.repeat(ks, cs))
+            ks, cs = np.frombuffer(ks, "S16"), np.frombuffer(cs, np.uint32)
+            own.append(np.repeat(np.searchsorted(key0, ks), cs))
             if src < 0:
                 ids = np.frombuffer(ts, np.uint64).astype(np.int64)
-                tok.append(-1 - ids)
+                tok.append(hot[ids].view(np.int64))
                 df.append((1 << 40) + hot_rank[ids] if len(ids) else ids)
             else:
-                tok.append((_wide(ts) | np.uint64(src << 40)).view(np.int64))
+                tok.append(np.frombuffer(ts, np.int64))
                 df.append(np.frombuffer(nums, np.uint32).astype(np.int64))
         own, tok, df = np.concatenate(own), np.concatenate(tok), np.concatenate(df)
         if not len(own):
@@ -277,7 +289,7 @@ def _list(percent: int, x: int, hot_rank: np.ndarray):
         new = np.concatenate(([True], (own[1:] != own[:-1]) | (tok[1:] != tok[:-1])))  # copies of a class
         own, tok = own[new], tok[new]
         at, m = _runs(own)
-        size = n0[np.searchsorted(key0, own[at])]
+        size = n0[own[at]]
         # shingles of this class alone come first and are listed nowhere
         want = np.clip(prefix_length(size, percent) - (size - m), 0, m)
         light = size < x
@@ -286,7 +298,7 @@ def _list(percent: int, x: int, hot_rank: np.ndarray):
         c = int(take.sum())
         if c:
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.zeros(c, np.int8)), pa.array(tok[take]), pa.array(own[take]),
+                [pa.array(np.zeros(c, np.int8)), pa.array(tok[take]), pa.array(np.zeros(c, np.int64)), _keys_column(key0[own[take]]),
                  pa.array(np.repeat(size, m)[take].astype(np.int32)), pa.array(np.zeros(c, np.int32))], names=names)
         sigs = []
         for i in np.flatnonzero(light):
@@ -295,12 +307,13 @@ def _list(percent: int, x: int, hot_rank: np.ndarray):
                 o = overlap(s, t, percent)
                 head = np.array([min(s, t), max(s, t)], np.int64).tobytes()
                 for sub in combinations(mine.tolist(), o) if o <= m[i] else ():
-                    sig = xxhash.xxh64_intdigest(head + np.array(sub, np.int64).tobytes()) - (1 << 63)
-                    sigs.append((1, sig, int(own[at[i]]), s, t))
+                    sig = xxhash.xxh3_128_digest(head + np.array(sub, np.int64).tobytes())
+                    sigs.append((1, *(int.from_bytes(h, "big", signed=True) for h in (sig[:8], sig[8:])), own[at[i]], s, t))
         if sigs:
             cols = list(zip(*sigs))
-            kinds = (pa.int8(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(cols, kinds)], names=names)
+            kinds = (pa.int8(), pa.int64(), pa.int64(), None, pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([_keys_column(key0[list(v)]) if k is None else pa.array(v, k)
+                                              for v, k in zip(cols, kinds)], names=names)
 
     def run(batches):
         held: dict[int, list] = {}
@@ -345,12 +358,12 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str
             for _, s in _sets(b, k, text):
                 keys.append(_key(s))
                 out.append(s.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()),
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()),
                                               pa.array(out, pa.list_(pa.int64()))], names=["ckey", "s"])
 
     mine = F.col("rep_id").eqNullSafe(F.col(id_col).cast("long")) & (F.col("rep_th") == F.xxhash64(text))
     full = land(docs.join(reps, mine, "left_semi").select(text)
-                .mapInArrow(sets, "ckey long, s array<long>").dropDuplicates(["ckey"]), "sets")
+                .mapInArrow(sets, "ckey binary, s array<long>").dropDuplicates(["ckey"]), "sets")
     joined = (kept.select("a", "b", "need")
               .join(full.select(F.col("ckey").alias("b"), F.col("s").alias("t")), "b")
               .join(full.select(F.col("ckey").alias("a"), "s"), "a"))
@@ -394,50 +407,65 @@ def ngram_links(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k:
     rank = np.array([r["cnt"] for r in hot], np.int64)[by] if hot else np.zeros(0, np.int64)
     buckets = max(shuffle_partitions(spark), ceil(total / BUCKET))
     lists = land(docs.select(text).mapInArrow(_deal(text, k, buckets, tokens), PACKED)
-                 .repartition(buckets, "dest").mapInArrow(_count(buckets), PACKED)
-                 .repartition(buckets, "dest").mapInArrow(_list(percent, x, rank), POSTINGS), "lists")
+                 .repartitionById(buckets, "dest").mapInArrow(_count(buckets), PACKED)
+                 .repartitionById(buckets, "dest").mapInArrow(_list(percent, x, tokens, rank), POSTINGS), "lists")
 
     heavy = lists.where("kind = 0").select("token", "ckey", "n")
     # a long list has several hubs: a member that misses one meets another
     more = [F.min_by("ckey", F.xxhash64("ckey", F.lit(i))).alias(f"hub{i}") for i in range(1, HUBS)]
     hubs = heavy.groupBy("token").agg(F.min("ckey").alias("hub"), F.count(F.lit(1)).alias("c"), *more).where("c > 1")
-    hubs = hubs.select("token", "hub", F.when(F.col("c") > LONG, F.array("hub", *(f"hub{i}" for i in range(1, HUBS))))
-                       .otherwise(F.array("hub")).alias("hubs"))
+    hubs = land(hubs.select("token", F.when(F.col("c") > LONG, F.array_distinct(F.array("hub", *(f"hub{i}" for i in range(1, HUBS)))))
+                            .otherwise(F.array("hub")).alias("hubs")), "hubs")
     met = land(heavy.join(hubs, "token"), "met")
     first = met.select(F.col("ckey").alias("a"), F.explode("hubs").alias("b")).where("a <> b").distinct()
     met = met.drop("hubs")
-    links = _verified(first, classes, docs, id_col, text, k, percent)
+    done = hubs.select("token", F.explode("hubs").alias("ckey"))
 
     # subset signatures: sizes s < t link across, equal sizes all together
     lo, hi = F.least("n", "t"), F.greatest("n", "t")
-    sigs = lists.where("kind = 1").select("token", "ckey", "n", lo.alias("lo"), hi.alias("hi"))
-    ends = sigs.groupBy("token", "lo", "hi").agg(F.min(F.when(F.col("n") == F.col("lo"), F.col("ckey"))).alias("one"),
-                                                 F.min(F.when(F.col("n") == F.col("hi"), F.col("ckey"))).alias("two"))
-    light = (sigs.join(ends, ["token", "lo", "hi"])
+    sigs = lists.where("kind = 1").select("token", "token2", "ckey", "n", lo.alias("lo"), hi.alias("hi"))
+    of = ["token", "token2", "lo", "hi"]
+    ends = sigs.groupBy(*of).agg(F.min(F.when(F.col("n") == F.col("lo"), F.col("ckey"))).alias("one"),
+                                 F.min(F.when(F.col("n") == F.col("hi"), F.col("ckey"))).alias("two"))
+    light = (sigs.join(ends, of)
              .select(F.col("ckey").alias("a"),
                      F.when(F.col("n") == F.col("lo"), F.col("two")).otherwise(F.col("one")).alias("b"))
              .where("a <> b"))
-    links = land(links.union(light).distinct(), "links")
+    links = land(_verified(first.union(light).distinct(), classes, docs, id_col, text, k, percent), "links")
     comp = land(components(links), "comp")
 
-    # pairs of a list that are not yet in one component
-    label = met.join(comp.withColumnRenamed("node", "ckey"), "ckey", "left").select(
-        "token", "ckey", "n", "hub", F.coalesce("comp", "ckey").alias("comp"))
-    mixed = label.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y")
     info = classes.select("ckey", *(f"b{i}" for i in range(BITS)))
-    open_ = land(label.join(mixed.select("token"), "token").join(info, "ckey"), "open")
-    other = open_.select(*(F.col(c).alias(f"o_{c}") for c in open_.columns))
     need = F.expr(f"({percent}L * (n + o_n) + {99 + percent}) div {100 + percent}")
     apart = sum((F.bit_count(F.col(f"b{i}").bitwiseXOR(F.col(f"o_b{i}"))) for i in range(BITS)), F.lit(0))
-    rest = (open_.join(other, (F.col("token") == F.col("o_token")) & (F.col("ckey") < F.col("o_ckey"))
-                       & (F.col("comp") != F.col("o_comp"))
-                       & (F.col("ckey") != F.col("o_hub")) & (F.col("o_ckey") != F.col("hub"))
-                       & (F.least("n", "o_n") >= need) & (apart <= F.col("n") + F.col("o_n") - 2 * need))
-            .select(F.col("ckey").alias("a"), F.col("o_ckey").alias("b")).distinct())
-    rest = land(rest, "rest")
-    if not rest.isEmpty():
-        links = land(links.union(_verified(rest, classes, docs, id_col, text, k, percent)), "links")
-        comp = land(components(links), "comp")
+    fits = (F.least("n", "o_n") >= need) & (apart <= F.col("n") + F.col("o_n") - 2 * need)
+    other = lambda t: t.select(*(F.col(c).alias(f"o_{c}") for c in t.columns))
+    for turn, width in enumerate([*ROUNDS, None]):
+        # members that were no hub yet, of lists where these are of several components
+        label = land(met.join(done, ["token", "ckey"], "left_anti").join(comp.withColumnRenamed("node", "ckey"), "ckey", "left")
+                     .select("token", "ckey", "n", F.coalesce("comp", "ckey").alias("comp")), "label")
+        groups = label.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"),
+                                                    F.min_by("ckey", F.xxhash64("ckey", F.lit(turn))).alias("hub"))
+        mixed = groups.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.sum("c").alias("m"),
+                                            F.sum(F.col("c") * F.col("c")).alias("sq")).where("k > 1")
+        if width:  # lists where pairs outnumber what the hubs of a round meet
+            mixed = mixed.where(F.col("m") * F.col("m") - F.col("sq") > 4 * width * F.col("m"))
+        open_ = land(label.join(mixed.select("token"), "token").join(info, "ckey"), "open")
+        if open_.isEmpty():
+            continue
+        if width:
+            order = Window.partitionBy("token").orderBy(F.xxhash64("comp", F.lit(turn)), "comp")
+            chosen = land(groups.join(mixed.select("token"), "token").withColumn("nth", F.row_number().over(order))
+                          .where(F.col("nth") <= width).select("token", F.col("hub").alias("ckey")), "chosen")
+            far = other(open_.join(chosen, ["token", "ckey"], "left_semi"))
+            pairs = open_.join(far, (F.col("token") == F.col("o_token")) & (F.col("comp") != F.col("o_comp")) & fits)
+            done = done.union(chosen)
+        else:
+            pairs = open_.join(other(open_), (F.col("token") == F.col("o_token")) & (F.col("ckey") < F.col("o_ckey"))
+                               & (F.col("comp") != F.col("o_comp")) & fits)
+        rest = land(pairs.select(F.least("ckey", "o_ckey").alias("a"), F.greatest("ckey", "o_ckey").alias("b")).distinct(), "rest")
+        if not rest.isEmpty():
+            links = land(links.union(_verified(rest, classes, docs, id_col, text, k, percent)), "links")
+            comp = land(components(links), "comp")
 
     named = classes.select("ckey", "rep").join(comp.withColumnRenamed("node", "ckey"), "ckey", "left") \
         .select("ckey", "rep", F.coalesce("comp", "ckey").alias("comp"))
