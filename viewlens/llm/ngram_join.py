@@ -24,11 +24,13 @@ comparisons for each member and not one for each other member, and a pair is
 left out only if it is in one component already.
 
 A shingle is 64 bits of hash, a set of them (a class) 128; every link is
-decided on the whole sets.
+decided on the whole sets. Tables written in between are removed as soon as
+nothing reads them.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 from math import ceil, comb
 
@@ -38,9 +40,10 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from viewlens.llm.common import (byte_table, doc_slices, hash_words, land, shingle_hashes,
-                                 shuffle_partitions, small, text_buffers)
+from viewlens.llm.common import (byte_table, doc_slices, hash_words, land, of_row, packed, shingle_hashes,
+                                 shuffle_partitions, small, text_buffers, unpacked)
 from viewlens.llm.components import components
+from viewlens.session import drop_scratch, scratch_path
 
 #: Shingles in a map chunk and in a reduce bucket.
 CHUNK = 500_000
@@ -336,38 +339,54 @@ def light_boundary(counts: dict[int, int], percent: int = 80, limit: int = LIGHT
     return min(costs, key=lambda x: (costs[x], x))
 
 
+class _Tables:
+    """Landed tables of one join, removed as soon as nothing reads them."""
+
+    def __init__(self, spark):
+        self.spark, self.paths = spark, {}
+
+    def land(self, df: DataFrame, name: str) -> DataFrame:
+        path = scratch_path(self.spark, name)
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (path, out)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            path, _ = self.paths.pop(id(t))
+            drop_scratch(self.spark, path)
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text: str,
-              k: int, percent: int) -> DataFrame:
-    """Those of ``pairs(a, b)`` that link. Sizes and parity bitmaps, both
-    exact bounds, go first; the rest are decided on the whole sets."""
-    info = classes.select("ckey", "n", "rep_id", "rep_th", *(f"b{i}" for i in range(BITS)))
+              k: int, percent: int, tables: _Tables) -> DataFrame:
+    """Those of ``pairs(a, b)`` that link, landed. Sizes and parity bitmaps,
+    both exact bounds, go first; the rest are decided on the whole sets."""
+    info = classes.select("cid", "n", "rep_id", "rep_th", *(f"b{i}" for i in range(BITS)))
     side = lambda s: info.select(*(F.col(c).alias(f"{s}_{c}") for c in info.columns))
     apart = sum((F.bit_count(F.col(f"l_b{i}").bitwiseXOR(F.col(f"r_b{i}"))) for i in range(BITS)), F.lit(0))
     need = F.expr(f"cast(({percent}L * (l_n + r_n) + {99 + percent}) div {100 + percent} as long)")
-    kept = (pairs.join(side("l"), F.col("a") == F.col("l_ckey")).join(side("r"), F.col("b") == F.col("r_ckey"))
-            .where(F.least("l_n", "r_n") >= need)
-            .where(apart <= F.col("l_n") + F.col("r_n") - 2 * need)
-            .select("a", "b", need.alias("need"), "l_rep_id", "l_rep_th", "r_rep_id", "r_rep_th"))
-    kept = land(kept, "pairs")
-    reps = small(land(kept.select(F.col("l_rep_id").alias("rep_id"), F.col("l_rep_th").alias("rep_th"))
-                      .union(kept.select("r_rep_id", "r_rep_th")).distinct(), "reps"))
+    kept = tables.land(pairs.join(side("l"), F.col("a") == F.col("l_cid")).join(side("r"), F.col("b") == F.col("r_cid"))
+                       .where(F.least("l_n", "r_n") >= need)
+                       .where(apart <= F.col("l_n") + F.col("r_n") - 2 * need)
+                       .select("a", "b", need.alias("need"), "l_rep_id", "l_rep_th", "r_rep_id", "r_rep_th"), "pairs")
+    reps = tables.land(kept.select(F.col("a").alias("cid"), F.col("l_rep_id").alias("rep_id"), F.col("l_rep_th").alias("rep_th"))
+                       .union(kept.select("b", "r_rep_id", "r_rep_th")).distinct(), "reps")
 
     def sets(batches):
         for b in batches:
-            keys, out = [], []
-            for _, s in _sets(b, k, text):
-                keys.append(_key(s))
-                out.append(s.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()),
-                                              pa.array(out, pa.list_(pa.int64()))], names=["ckey", "s"])
+            out = [s.view(np.int64) for _, s in _sets(b, k, text)]
+            yield pa.RecordBatch.from_arrays([b.column("cid"), pa.array(out, pa.list_(pa.int64()))], names=["cid", "s"])
 
     mine = F.col("rep_id").eqNullSafe(F.col(id_col).cast("long")) & (F.col("rep_th") == F.xxhash64(text))
-    full = land(docs.join(reps, mine, "left_semi").select(text)
-                .mapInArrow(sets, "ckey binary, s array<long>").dropDuplicates(["ckey"]), "sets")
+    full = tables.land(docs.join(small(reps), mine).select("cid", text)
+                       .mapInArrow(sets, "cid long, s array<long>").dropDuplicates(["cid"]), "sets")
     joined = (kept.select("a", "b", "need")
-              .join(full.select(F.col("ckey").alias("b"), F.col("s").alias("t")), "b")
-              .join(full.select(F.col("ckey").alias("a"), "s"), "a"))
-    return joined.where(F.size(F.array_intersect("s", "t")) >= F.col("need")).select("a", "b")
+              .join(full.select(F.col("cid").alias("b"), F.col("s").alias("t")), "b")
+              .join(full.select(F.col("cid").alias("a"), "s"), "a"))
+    links = tables.land(joined.where(F.size(F.array_intersect("s", "t")) >= F.col("need")).select("a", "b"), "links")
+    tables.drop(kept, reps, full)
+    return links
 
 
 def ngram_links(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5,
@@ -387,13 +406,16 @@ def ngram_links(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k:
     spark = docs.sparkSession
     docs = docs.select(id_col, text)
     run, schema = _profile(id_col, text, k)
-    seen = land(docs.withColumn("th", F.xxhash64(text)).mapInArrow(run, schema), "profile")
+    tables = _Tables(spark)
+    seen = tables.land(docs.withColumn("th", F.xxhash64(text)).mapInArrow(run, schema), "profile")
     rows = seen.where("kind = 0")
     rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th"))
-    classes = land(rows.where("n > 0").groupBy("ckey")
-                   .agg(rep.alias("rep"), F.first("n").alias("n"),
-                        *(F.first(f"b{i}").alias(f"b{i}") for i in range(BITS)))
-                   .select("*", F.col("rep.doc_id").alias("rep_id"), F.col("rep.th").alias("rep_th")), "classes")
+    # a class has 128 bits of name; its joins go by a number of 64
+    classes = tables.land(rows.where("n > 0").groupBy("ckey")
+                          .agg(rep.alias("rep"), F.first("n").alias("n"),
+                               *(F.first(f"b{i}").alias(f"b{i}") for i in range(BITS)))
+                          .select("*", F.monotonically_increasing_id().alias("cid"),
+                                  F.col("rep.doc_id").alias("rep_id"), F.col("rep.th").alias("rep_th")), "classes")
     total = classes.agg(F.sum("n")).first()[0] or 0
     counts = {r["n"]: r["c"] for r in classes.where(F.col("n") <= LIGHT_MAX).groupBy("n")
               .agg(F.count(F.lit(1)).alias("c")).collect()}
@@ -406,71 +428,85 @@ def ngram_links(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k:
     tokens = tokens[by]
     rank = np.array([r["cnt"] for r in hot], np.int64)[by] if hot else np.zeros(0, np.int64)
     buckets = max(shuffle_partitions(spark), ceil(total / BUCKET))
-    lists = land(docs.select(text).mapInArrow(_deal(text, k, buckets, tokens), PACKED)
-                 .repartitionById(buckets, "dest").mapInArrow(_count(buckets), PACKED)
-                 .repartitionById(buckets, "dest").mapInArrow(_list(percent, x, tokens, rank), POSTINGS), "lists")
+    listed = (docs.select(text).mapInArrow(_deal(text, k, buckets, tokens), PACKED)
+              .repartitionById(buckets, "dest").mapInArrow(_count(buckets), PACKED)
+              .repartitionById(buckets, "dest").mapInArrow(_list(percent, x, tokens, rank), POSTINGS))
+    lists = tables.land(listed.join(classes.select("ckey", "cid"), "ckey").drop("ckey"), "lists")
 
-    heavy = lists.where("kind = 0").select("token", "ckey", "n")
+    heavy = lists.where("kind = 0").select("token", "cid", "n")
     # a long list has several hubs: a member that misses one meets another
-    more = [F.min_by("ckey", F.xxhash64("ckey", F.lit(i))).alias(f"hub{i}") for i in range(1, HUBS)]
-    hubs = heavy.groupBy("token").agg(F.min("ckey").alias("hub"), F.count(F.lit(1)).alias("c"), *more).where("c > 1")
-    hubs = land(hubs.select("token", F.when(F.col("c") > LONG, F.array_distinct(F.array("hub", *(f"hub{i}" for i in range(1, HUBS)))))
-                            .otherwise(F.array("hub")).alias("hubs")), "hubs")
-    met = land(heavy.join(hubs, "token"), "met")
-    first = met.select(F.col("ckey").alias("a"), F.explode("hubs").alias("b")).where("a <> b").distinct()
-    met = met.drop("hubs")
-    done = hubs.select("token", F.explode("hubs").alias("ckey"))
+    more = [F.min_by("cid", F.xxhash64("cid", F.lit(i))).alias(f"hub{i}") for i in range(1, HUBS)]
+    hubs = heavy.groupBy("token").agg(F.min("cid").alias("hub"), F.count(F.lit(1)).alias("c"), *more).where("c > 1")
+    hubs = hubs.select("token", F.when(F.col("c") > LONG, F.array_distinct(F.array("hub", *(f"hub{i}" for i in range(1, HUBS)))))
+                       .otherwise(F.array("hub")).alias("hubs"))
+    met = tables.land(heavy.join(hubs, "token"), "met")
+    first = met.select(F.col("cid").alias("a"), F.explode("hubs").alias("b")).where("a <> b").distinct()
 
     # subset signatures: sizes s < t link across, equal sizes all together
     lo, hi = F.least("n", "t"), F.greatest("n", "t")
-    sigs = lists.where("kind = 1").select("token", "token2", "ckey", "n", lo.alias("lo"), hi.alias("hi"))
+    sigs = lists.where("kind = 1").select("token", "token2", "cid", "n", lo.alias("lo"), hi.alias("hi"))
     of = ["token", "token2", "lo", "hi"]
-    ends = sigs.groupBy(*of).agg(F.min(F.when(F.col("n") == F.col("lo"), F.col("ckey"))).alias("one"),
-                                 F.min(F.when(F.col("n") == F.col("hi"), F.col("ckey"))).alias("two"))
+    ends = sigs.groupBy(*of).agg(F.min(F.when(F.col("n") == F.col("lo"), F.col("cid"))).alias("one"),
+                                 F.min(F.when(F.col("n") == F.col("hi"), F.col("cid"))).alias("two"))
     light = (sigs.join(ends, of)
-             .select(F.col("ckey").alias("a"),
+             .select(F.col("cid").alias("a"),
                      F.when(F.col("n") == F.col("lo"), F.col("two")).otherwise(F.col("one")).alias("b"))
              .where("a <> b"))
-    links = land(_verified(first.union(light).distinct(), classes, docs, id_col, text, k, percent), "links")
-    comp = land(components(links), "comp")
+    check = lambda pairs: _verified(pairs, classes, docs, id_col, text, k, percent, tables)
+    links = [check(first.union(light).distinct())]
+    tables.drop(lists)
+    comp = tables.land(components(links[0]), "comp")
 
-    info = classes.select("ckey", *(f"b{i}" for i in range(BITS)))
+    info = classes.select("cid", *(f"b{i}" for i in range(BITS)))
     need = F.expr(f"({percent}L * (n + o_n) + {99 + percent}) div {100 + percent}")
     apart = sum((F.bit_count(F.col(f"b{i}").bitwiseXOR(F.col(f"o_b{i}"))) for i in range(BITS)), F.lit(0))
     fits = (F.least("n", "o_n") >= need) & (apart <= F.col("n") + F.col("o_n") - 2 * need)
     other = lambda t: t.select(*(F.col(c).alias(f"o_{c}") for c in t.columns))
+    live = met.where(~F.array_contains("hubs", F.col("cid"))).select("token", "cid", "n")
+    held = [met]
     for turn, width in enumerate([*ROUNDS, None]):
-        # members that were no hub yet, of lists where these are of several components
-        label = land(met.join(done, ["token", "ckey"], "left_anti").join(comp.withColumnRenamed("node", "ckey"), "ckey", "left")
-                     .select("token", "ckey", "n", F.coalesce("comp", "ckey").alias("comp")), "label")
+        # members that were no hub yet, of lists where these are of several
+        # components; a list that is of one stays so
+        label = live.join(comp.select(F.col("node").alias("cid"), "comp"), "cid", "left").select(
+            "token", "cid", "n", F.coalesce("comp", "cid").alias("comp"))
+        ends = label.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
+        label = tables.land(label.join(ends, "token"), "label")
+        tables.drop(*held)
+        held, live = [label], label.select("token", "cid", "n")
         groups = label.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"),
-                                                    F.min_by("ckey", F.xxhash64("ckey", F.lit(turn))).alias("hub"))
-        mixed = groups.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.sum("c").alias("m"),
-                                            F.sum(F.col("c") * F.col("c")).alias("sq")).where("k > 1")
+                                                    F.min_by("cid", F.xxhash64("cid", F.lit(turn))).alias("hub"))
+        open_ = label
         if width:  # lists where pairs outnumber what the hubs of a round meet
-            mixed = mixed.where(F.col("m") * F.col("m") - F.col("sq") > 4 * width * F.col("m"))
-        open_ = land(label.join(mixed.select("token"), "token").join(info, "ckey"), "open")
-        if open_.isEmpty():
-            continue
-        if width:
+            per = groups.groupBy("token").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("sq"))
+            far = per.where(F.col("m") * F.col("m") - F.col("sq") > 4 * width * F.col("m")).select("token")
             order = Window.partitionBy("token").orderBy(F.xxhash64("comp", F.lit(turn)), "comp")
-            chosen = land(groups.join(mixed.select("token"), "token").withColumn("nth", F.row_number().over(order))
-                          .where(F.col("nth") <= width).select("token", F.col("hub").alias("ckey")), "chosen")
-            far = other(open_.join(chosen, ["token", "ckey"], "left_semi"))
-            pairs = open_.join(far, (F.col("token") == F.col("o_token")) & (F.col("comp") != F.col("o_comp")) & fits)
-            done = done.union(chosen)
+            chosen = tables.land(groups.join(far, "token").withColumn("nth", F.row_number().over(order))
+                                 .where(F.col("nth") <= width).select("token", F.col("hub").alias("cid")), "chosen")
+            held.append(chosen)
+            if chosen.isEmpty():
+                continue
+            open_ = tables.land(label.join(chosen.select("token").distinct(), "token").join(info, "cid"), "open")
+            meets = other(open_.join(chosen, ["token", "cid"], "left_semi"))
+            pairs = open_.join(meets, (F.col("token") == F.col("o_token")) & (F.col("comp") != F.col("o_comp")) & fits)
+            live = live.join(chosen, ["token", "cid"], "left_anti")
         else:
-            pairs = open_.join(other(open_), (F.col("token") == F.col("o_token")) & (F.col("ckey") < F.col("o_ckey"))
+            open_ = tables.land(label.join(info, "cid"), "open")
+            pairs = open_.join(other(open_), (F.col("token") == F.col("o_token")) & (F.col("cid") < F.col("o_cid"))
                                & (F.col("comp") != F.col("o_comp")) & fits)
-        rest = land(pairs.select(F.least("ckey", "o_ckey").alias("a"), F.greatest("ckey", "o_ckey").alias("b")).distinct(), "rest")
+        rest = tables.land(pairs.select(F.least("cid", "o_cid").alias("a"), F.greatest("cid", "o_cid").alias("b")).distinct(), "rest")
+        tables.drop(open_)
         if not rest.isEmpty():
-            links = land(links.union(_verified(rest, classes, docs, id_col, text, k, percent)), "links")
-            comp = land(components(links), "comp")
-
-    named = classes.select("ckey", "rep").join(comp.withColumnRenamed("node", "ckey"), "ckey", "left") \
-        .select("ckey", "rep", F.coalesce("comp", "ckey").alias("comp"))
+            links.append(check(rest))
+            tables.drop(comp)
+            comp = tables.land(components(reduce(DataFrame.union, links)), "comp")
+        tables.drop(rest)
+    tables.drop(*held, *links)
+
+    named = classes.select("ckey", "cid", "rep").join(comp.withColumnRenamed("node", "cid"), "cid", "left") \
+        .select("ckey", "rep", F.coalesce("comp", "cid").alias("comp"))
     least = named.groupBy("comp").agg(F.min("rep").alias("least"))
-    of_class = land(named.join(least, "comp").select("ckey", "least"), "named")
+    of_class = tables.land(named.join(least, "comp").select("ckey", "least"), "named")
+    tables.drop(classes, comp)
     linked = rows.where("n > 0").join(of_class, "ckey").select(
         "doc_id", "ckey", "n", F.col("least.doc_id").alias("component_id"), "th",
         (F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("th") == F.col("least.th"))).alias("stays"))
@@ -486,13 +522,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **kw)
     Other columns are kept as they are."""
     found = land(ngram_links(docs, id_col, text, **kw), "ngram").select(
         F.col(id_col).alias("_id"), F.col("th").alias("_th"), "n_shingles", "stays")
-    mine = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_th"))
+    rows, here = packed(docs), F.xxhash64(of_row(text))
+    mine = of_row(id_col).cast("long").eqNullSafe(F.col("_id")) & (here == F.col("_th"))
     gone = land(found.where("not stays").select("_id", "_th").distinct(), "gone")
-    kept = docs.join(small(gone), mine, "left_anti")
+    kept = rows.join(small(gone), mine, "left_anti")
     again = land(found.where("stays and n_shingles > 0").groupBy("_id", "_th").count().where("count > 1")
                  .select("_id", "_th"), "again")
     if again.isEmpty():
-        return kept
+        return kept.select(*unpacked(docs.columns))
     again = small(again)
-    once = kept.join(again, mine, "left_semi").withColumn("_th", F.xxhash64(text)).dropDuplicates([id_col, "_th"])
-    return kept.join(again, mine, "left_anti").unionByName(once.drop("_th"))
+    once = (kept.join(again, mine, "left_semi").withColumn("_id", of_row(id_col)).withColumn("_th", here)
+            .dropDuplicates(["_id", "_th"]).select("_row"))
+    return kept.join(again, mine, "left_anti").unionByName(once).select(*unpacked(docs.columns))
