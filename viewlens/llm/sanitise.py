@@ -6,16 +6,19 @@ occurs mostly with it: with ``c`` texts that hold both, ``n`` texts that
 hold the term and ``e`` that hold the entity among ``N`` texts (all of them
 distinct texts: copies are one), it tells ``log2((c / n) / (e / N))`` of the
 entity's own ``log2(N / e)`` bits and is right in ``c / n`` of its uses.
-Terms beyond both thresholds are spans of kind ``term`` themselves and are
-generalised wherever they occur.
+Terms beyond both thresholds, whose company with the entity is not by chance
+(a bound over all pairs that are looked at), are spans of kind ``term``
+themselves and are generalised wherever they occur.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from viewlens.llm.common import land, small
+from viewlens.llm.common import land, of_row, packed, small
 
 #: The base patterns of the contract. Possessive repeats never
 #: give back and run without recursion; a run that cannot start a match is
@@ -32,6 +35,11 @@ MIN_SHARE, MIN_TOLD = 0.5, 0.5
 #: Texts that hold a term: a word of one text alone has no other use that it
 #: could be counted in.
 MIN_TEXTS = 2
+#: Pairs expected to pass, of all that are looked at, if words and entities
+#: were independent: c of a word's n texts hold the entity by luck with a
+#: probability of at most exp(-n KL(c / n || e / N)) (Chernoff), and that times
+#: the number of pairs must not exceed it (Bonferroni).
+CHANCE = 1.0
 WORDS = r"[^\p{L}\p{N}]+"
 
 _SPAN = "array<struct<kind:int,start:int,end:int,value:string>>"
@@ -111,8 +119,14 @@ def _held_by(rows: DataFrame, what: str) -> DataFrame:
                                   F.bit_xor(F.xxhash64("th", F.lit(2))).alias("y"))
 
 
+def _divergence(share: Column, rate: Column) -> Column:
+    """Kullback-Leibler divergence of two rates, in nats; ``share > rate``."""
+    rest = F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - rate))).otherwise(F.lit(0.0))
+    return share * F.log(share / rate) + rest
+
+
 def revealing_terms(near: DataFrame, docs: DataFrame, min_share: float = MIN_SHARE, min_told: float = MIN_TOLD,
-                    min_texts: int = MIN_TEXTS) -> DataFrame:
+                    min_texts: int = MIN_TEXTS, chance: float = CHANCE) -> DataFrame:
     """``(term, entity, contexts, texts, bits)`` of the terms that give an
     entity away. ``near(th, entities, rest)`` are the texts that hold
     entities, with these and the text outside them, ``docs(th, text)`` all
@@ -141,10 +155,14 @@ def revealing_terms(near: DataFrame, docs: DataFrame, min_share: float = MIN_SHA
     both = (beside.join(small(alike.select(F.col("head").alias("term"), "texts")), "term")
             .join(held.join(small(heads), "entity"), "th")
             .groupBy("entity", "e", F.col("term").alias("head"), "texts").agg(F.count(F.lit(1)).alias("contexts")))
+    # no more pairs of a word and an entity than this are looked at
+    words = F.size(F.filter(F.array_distinct(F.split(F.lower("rest"), WORDS)), lambda w: F.char_length(w) >= 3))
+    tested = max(1, near.agg(F.sum(words.cast("long") * F.size(F.array_distinct("entities")))).first()[0] or 0)
     share = F.col("contexts") / F.col("texts")
     own = F.log2(F.lit(total) / F.col("e"))
     told = both.withColumn("bits", F.log2(share) + own).where(
         (share >= min_share) & (F.col("bits") > 0) & (F.col("bits") >= own * min_told))
+    told = told.where(F.col("texts") * _divergence(share, F.col("e") / total) >= math.log(tested / chance))
     members = terms.join(alike, same).select("term", "head")
     return told.join(members, "head").select("term", "entity", "contexts", "texts", "bits")
 
@@ -214,7 +232,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **kw)
     stays null); all other columns as they are."""
     marked = land(find(docs, id_col, text, **kw).where(F.size("spans") > 0).select(
         F.col(id_col).alias("_id"), F.col("th").alias("_th"), "spans").dropDuplicates(["_id", "_th"]), "marked")
-    mine = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("_th"))
-    joined_ = docs.join(small(marked), mine, "left")
-    new = F.when(F.col("spans").isNull(), F.col(text)).otherwise(sanitised(F.col(text), F.col("spans")))
-    return joined_.select(*(new.alias(c) if c == text else docs[c] for c in docs.columns))
+    mine = of_row(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(of_row(text), F.lit(""))) == F.col("_th"))
+    joined_ = packed(docs).join(small(marked), mine, "left")
+    new = F.when(F.col("spans").isNull(), of_row(text)).otherwise(sanitised(of_row(text), F.col("spans")))
+    return joined_.select(*(new.alias(c) if c == text else of_row(c).alias(c) for c in docs.columns))
