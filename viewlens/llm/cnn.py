@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from viewlens.llm.common import byte_table, doc_slices, hash_words, text_buffers
-from viewlens.llm.labelled import Adam, held_out, sample, sigmoid
+from viewlens.llm.labelled import Adam, sample, scored, sigmoid, with_scores
 
 #: Embedding rows and size, filter widths and filters of each, and the bytes
 #: of a word that have rows of their own.
@@ -247,16 +247,13 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     null ids or of no document are not used; of several labels of a document
     the largest counts; without any label scores come from the untrained
     net. Null ids are not held out. Rows that repeat are scored alike. An
-    empty table gives an empty table; other columns stay as they are.
+    empty table gives an empty table; other columns stay as they are, but
+    those named like the added ones, which are replaced.
     """
     net = fit(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")), labels, label, folds, fold)
 
-    def run(batches):
-        for b in batches:
-            parts = [net.score(r, at, lang) for r, at, lang in _words(b.column(text))]
-            s = np.concatenate(parts) if parts else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], names=[*b.schema.names, "score"])
+    def scores(texts):
+        parts = [net.score(r, at, lang) for r, at, lang in _words(texts)]
+        return np.concatenate(parts) if parts else np.zeros(0)
 
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + ", score double"
-    return docs.mapInArrow(run, schema).select(
-        "*", held_out(id_col, folds, fold).alias("held_out"), (F.col("score") >= accept).cast("int").alias("predicted"))
+    return with_scores(docs, scored(docs, text, scores), id_col, folds, fold, accept)

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from viewlens.session import scratch_path
@@ -33,6 +33,21 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def packed(df: DataFrame, name: str = "_row") -> DataFrame:
+    """``df`` as one struct column, so that its names clash with no other."""
+    return df.select(F.struct(*(df[c] for c in df.columns)).alias(name))
+
+
+def of_row(column: str, name: str = "_row") -> Column:
+    """A column of a packed table."""
+    return F.col(name).getField(column)
+
+
+def unpacked(columns: list[str], name: str = "_row", without: tuple[str, ...] = ()) -> list[Column]:
+    """The columns of a packed table again, but those named in ``without``."""
+    return [of_row(c, name).alias(c) for c in columns if c not in without]
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -3,24 +3,69 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from viewlens.llm.common import land, of_row, packed, unpacked
 
-def held_out(id_col: str, folds: int, fold: int) -> Column:
+
+def held_out(id_col: str | Column, folds: int, fold: int) -> Column:
     """Whether a document is never learned from (a null id: never)."""
-    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold, F.lit(False))
+    doc = F.col(id_col) if isinstance(id_col, str) else id_col
+    return F.coalesce(F.crc32(doc.cast("string").cast("binary")) % folds == fold, F.lit(False))
+
+
+ADDED = ("held_out", "score", "predicted")
+
+
+def scored(docs: DataFrame, text: str, scores) -> DataFrame:
+    """``docs`` as packed rows ``_row`` with ``score``: ``scores`` maps an
+    Arrow column of texts to their scores."""
+    base = packed(docs)
+
+    def run(batches):
+        for b in batches:
+            row = b.column("_row")
+            yield pa.RecordBatch.from_arrays([row, pa.array(scores(row.field(text)), pa.float64())], names=["_row", "score"])
+    return base.mapInArrow(run, T.StructType([base.schema["_row"], T.StructField("score", T.DoubleType())]))
+
+
+def with_scores(docs: DataFrame, rows: DataFrame, id_col: str, folds: int, fold: int, accept: float) -> DataFrame:
+    """``scored`` rows as ``docs`` plus ADDED; columns of these names in
+    ``docs`` are replaced."""
+    return rows.select(*unpacked(docs.columns, without=ADDED), held_out(of_row(id_col), folds, fold).alias("held_out"),
+                       "score", (F.col("score") >= accept).cast("int").alias("predicted"))
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, rows: int,
            id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``(text, label, pick)`` of at most ``rows`` labelled documents outside
-    the held-out fold, picked by a hash of the id; ``pick`` orders them."""
+    the held-out fold, picked by a hash of the id; ``pick`` orders them.
+
+    The picks are bounded before and after they meet the documents. A
+    threshold on the hash, from the number of labels, leaves few more than
+    ``rows`` of them, which alone are sorted (a hash of the distinct ids is
+    even; if too few are left, the threshold is doubled). An id that several
+    documents share gives the one of the least text hash.
+    """
     known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col, folds, fold))
-    known = known.groupBy(F.col(id_col).alias("_id")).agg(F.max(label).cast("int").alias("label"))
-    known = known.withColumn("pick", F.xxhash64("_id", F.lit("train"))).orderBy("pick", "_id").limit(rows)
-    return docs.join(F.broadcast(known), F.col(id_col) == F.col("_id")).select(
-        F.coalesce(F.col(text), F.lit("")).alias("text"), "label", "pick")
+    known = land(known.groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.max(label).cast("int").alias("label"))
+                 .withColumn("pick", F.xxhash64("_id", F.lit("train"))), "labels")
+    n, share = known.count(), 1.1
+    few = known
+    while share * rows < n:
+        few = known.where(F.col("pick") < F.lit(int((share * rows / n) * 2.0 ** 64 - 2.0 ** 63)))
+        if few.count() >= rows:
+            break
+        few, share = known, share * 2
+    few = F.broadcast(few.orderBy("pick", "_id").limit(rows))
+    met = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(few, "_id")
+    one = met.groupBy("_id", "label", "pick").agg(F.min(F.xxhash64("text")).alias("th"))
+    # equal texts of an id are one after the hash, whichever row gives them
+    return (met.join(F.broadcast(one.select(F.col("_id").alias("i"), "th")), (F.col("_id") == F.col("i")) & (F.xxhash64("text") == F.col("th")))
+            .groupBy("_id", "label", "pick", "th").agg(F.first("text").alias("text")).select("text", "label", "pick"))
 
 
 class Adam:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from viewlens.llm.common import WORD, land, shuffle_partitions, small
+from viewlens.llm.common import WORD, land, of_row, packed, shuffle_partitions, small, unpacked
 
 WEIGHTS = (3, 1, 2)  # by source order, repeating
 SHARE = (3, 2)       # all targets together: 3/2 of all words
@@ -17,9 +17,10 @@ SEED = "mix-1"
 DRAWS = 32
 
 
-def n_words(text: str) -> Column:
+def n_words(text: str | Column) -> Column:
     """Number of runs of other than ASCII white space (null: 0)."""
-    return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
+    text = F.col(text) if isinstance(text, str) else text
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def numbered(df: DataFrame, *order: Column) -> DataFrame:
@@ -71,8 +72,36 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share=SHARE, limit: int = LIMIT)
         F.col("w").cast("double") * F.lit(rest) / F.lit(float(max(wsum, 1)))).alias("target"))
 
 
-def mixture(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source",
-            seed: str = SEED, **kw) -> DataFrame:
+ADDED = ("size", "source_size", "target", "copies")
+
+
+def _drawn(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source",
+           seed: str = SEED, **kw) -> DataFrame:
+    """Packed rows ``_row`` of ``docs`` with ADDED."""
+    sized = packed(docs).withColumn("size", n_words(of_row(text)))
+    per = sized.groupBy(of_row(source).alias("source")).agg(F.sum("size").alias("source_size"))
+    goal = land(targets(land(per, "sizes"), **kw), "targets").withColumnRenamed("source", "of")
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    mark = F.concat(F.lit(seed + ":"), F.coalesce(of_row(id_col).cast("string"), F.lit("null")), F.lit(":"),
+                    F.md5(F.coalesce(of_row(text), F.lit(""))))
+    draw = F.conv(F.substring(F.md5(mark), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+
+    def copies(turn) -> Column:
+        turned = F.col("draw") + turn
+        return F.floor("rate") + (turned - F.floor(turned) < F.col("rate") - F.floor("rate")).cast("long")
+
+    met = (sized.withColumn("draw", draw).join(small(goal), of_row(source).eqNullSafe(F.col("of")))
+           .withColumn("rate", rate))
+    taken = met.select("of", "target", "size", "rate", "draw").groupBy("of", "target").agg(
+        *(F.sum(F.col("size") * copies(F.lit(k / DRAWS))).alias(f"t{k}") for k in range(DRAWS)))
+    best = F.array_min(F.array(*(F.struct(F.abs(F.col(f"t{k}") - F.col("target")).alias("off"), F.lit(k).alias("k"))
+                                 for k in range(DRAWS))))
+    turns = land(taken.select(F.col("of").alias("turn_of"), (best["k"] / F.lit(float(DRAWS))).alias("turn")), "turns")
+    out = met.join(small(turns), F.col("of").eqNullSafe(F.col("turn_of")))
+    return out.select("_row", "size", "source_size", "target", copies(F.col("turn")).alias("copies"))
+
+
+def mixture(docs: DataFrame, **kw) -> DataFrame:
     """``docs`` with ``size, source_size, target, copies``: each document
     comes floor(rate) times, plus once more with the fraction's probability,
     by a hash of seed, id and text (so reruns agree, and rows that repeat id
@@ -82,35 +111,15 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source:
 
     Null sources are one source, ordered last; null and empty texts have
     size 0 and count for no words; a source of size 0 has target 0 and
-    copies 0. An empty table gives an empty table; other columns stay.
+    copies 0. An empty table gives an empty table; other columns stay, but
+    those named like the added ones, which are replaced. ``id_col``,
+    ``text``, ``source`` and ``seed`` may be given.
     """
-    sized = docs.withColumn("_size", n_words(text))
-    per = sized.groupBy(F.col(source).alias("source")).agg(F.sum("_size").alias("source_size"))
-    goal = land(targets(land(per, "sizes"), **kw), "targets").select(
-        F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
-    rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(F.lit(0.0))
-    mark = F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(":"),
-                    F.md5(F.coalesce(F.col(text), F.lit(""))))
-    draw = F.conv(F.substring(F.md5(mark), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
-
-    def copies(turn) -> Column:
-        turned = F.col("_draw") + turn
-        return F.floor("_rate") + (turned - F.floor(turned) < F.col("_rate") - F.floor("_rate")).cast("long")
-
-    drawn = sized.withColumn("_draw", draw)
-    met = drawn.join(small(goal), F.col(source).eqNullSafe(F.col("_source"))).withColumn("_rate", rate)
-    taken = met.select("_source", "_target", "_size", "_rate", "_draw").groupBy("_source", "_target").agg(
-        *(F.sum(F.col("_size") * copies(F.lit(k / DRAWS))).alias(f"t{k}") for k in range(DRAWS)))
-    best = F.array_min(F.array(*(F.struct(F.abs(F.col(f"t{k}") - F.col("_target")).alias("off"), F.lit(k).alias("k"))
-                                 for k in range(DRAWS))))
-    turns = land(taken.select(F.col("_source").alias("_of"), (best["k"] / F.lit(float(DRAWS))).alias("_turn")), "turns")
-    out = met.join(small(turns), F.col("_source").eqNullSafe(F.col("_of")))
-    return out.select(*(docs[c] for c in docs.columns), F.col("_size").alias("size"),
-                      F.col("_source_size").alias("source_size"), F.col("_target").alias("target"),
-                      copies(F.col("_turn")).alias("copies"))
+    return _drawn(docs, **kw).select(*unpacked(docs.columns, without=ADDED), *ADDED)
 
 
 def mix(docs: DataFrame, **kw) -> DataFrame:
-    """The mixed table: each row of ``docs`` as often as it is drawn."""
-    drawn = mixture(docs.select("*"), **kw).where("copies > 0")
-    return drawn.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(docs.columns)
+    """The mixed table: each row of ``docs`` as often as it is drawn, with
+    all its columns."""
+    drawn = _drawn(docs, **kw).where("copies > 0")
+    return drawn.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*unpacked(docs.columns))

@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from viewlens.llm.common import byte_table, doc_slices, hash_words, splitmix, text_buffers
-from viewlens.llm.labelled import Adam, held_out, sample, sigmoid, temperature
+from viewlens.llm.common import byte_table, doc_slices, hash_words, splitmix, text_buffers, unpacked
+from viewlens.llm.labelled import Adam, sample, scored, sigmoid, temperature, with_scores
 
 #: Rows and dimensions of the word table (its size is fixed: 2 MB), nonzero
 #: entries of an index vector, and neighbours on either side.
@@ -178,22 +178,20 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     null, of null ids or of no document are not used; of several labels of a
     document the largest counts. With no labels at all every score is 0.5.
     Null ids are not held out. Rows that repeat are scored alike. An empty
-    table gives an empty table; other columns stay as they are.
+    table gives an empty table; other columns stay as they are, but those
+    named like the added ones, which are replaced.
     """
-    vectors, net = fit(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")),
-                       labels, label, folds, fold)
+    return with_scores(docs, _scored(docs, labels, id_col, text, label, folds, fold), id_col, folds, fold, accept)
 
-    def run(batches):
-        for b in batches:
-            s = net.score(pooled(b.column(text), vectors))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], names=[*b.schema.names, "score"])
 
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + ", score double"
-    return docs.mapInArrow(run, schema).select(
-        "*", held_out(id_col, folds, fold).alias("held_out"), (F.col("score") >= accept).cast("int").alias("predicted"))
+def _scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality",
+            folds: int = 4, fold: int = 2) -> DataFrame:
+    vectors, net = fit(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")),
+                       labels, label, folds, fold)
+    return scored(docs, text, lambda texts: net.score(pooled(texts, vectors)))
 
 
-def accepted(docs: DataFrame, labels: DataFrame, **kw) -> DataFrame:
+def accepted(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT, **kw) -> DataFrame:
     """``docs`` without the documents that the classifier rejects: those that
-    ``score`` predicts 0, with its ``accept``."""
-    return score(docs, labels, **kw).where("predicted = 1").select(docs.columns)
+    ``score`` predicts 0, with its ``accept``. All columns stay."""
+    return _scored(docs, labels, **kw).where(F.col("score") >= accept).select(*unpacked(docs.columns))
