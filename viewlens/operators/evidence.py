@@ -19,7 +19,7 @@ from viewlens.operators.ranking import exact_medians, rank_below
 
 
 def channel_patterns(watch: DataFrame, channel: str = "channel_name", video: str = "video_id",
-                     ts: str = "timestamp") -> DataFrame:
+                     ts: str = "timestamp", weight: str | None = None, unique: DataFrame | None = None) -> DataFrame:
     """Per channel: totals, first/last watch, span, rate, rewatch ratio, trend.
 
     The profile is a partial aggregate, so a hot channel is combined
@@ -27,24 +27,29 @@ def channel_patterns(watch: DataFrame, channel: str = "channel_name", video: str
     before it are counted from (channel, day) totals, and only the rows of
     the midpoint's own day meet it row by row, on (channel, day), so no join
     gathers a hot channel.
+
+    Rows may stand for several watches (``weight``); the distinct videos then
+    come as a table, ``unique(channel, unique_videos)``.
     """
     w = watch.filter(F.col(channel).isNotNull())
-    prof = w.groupBy(channel).agg(
-        F.count(F.lit(1)).alias("total_watches"),
-        F.count_distinct(video).alias("unique_videos"),
-        F.min(ts).alias("first_watch"),
-        F.max(ts).alias("last_watch"))
+    n = F.lit(1).cast("long") if weight is None else F.col(weight)
+    span = [F.sum(n).alias("total_watches"), F.min(ts).alias("first_watch"), F.max(ts).alias("last_watch")]
+    if unique is None:
+        prof = w.groupBy(channel).agg(F.count_distinct(video).alias("unique_videos"), *span)
+    else:
+        prof = w.groupBy(channel).agg(*span).join(unique.withColumnRenamed("channel", channel), channel, "left").withColumn(
+            "unique_videos", F.coalesce("unique_videos", F.lit(0).cast("long")))
     prof = prof.withColumn("span_days", F.greatest(C.days_floor("first_watch", "last_watch"),
                                                    F.lit(1)).cast("long"))
     long_span = prof.filter(F.col("span_days") > S.TREND_MIN_SPAN_DAYS).select(
         channel, C.add_seconds("first_watch", F.col("span_days") * 43200).alias("_mid"))
     day = F.to_date(ts)
-    daily = w.groupBy(channel, day.alias("_day")).agg(F.count(F.lit(1)).alias("_n"))
+    daily = w.groupBy(channel, day.alias("_day")).agg(F.sum(n).alias("_n"))
     on_day = long_span.select(channel, F.to_date("_mid").alias("_day"), "_mid")
     before = daily.join(on_day.select(channel, F.col("_day").alias("_mid_day")), channel).select(
         channel, F.when(F.col("_day") < F.col("_mid_day"), F.col("_n")).otherwise(F.lit(0)).alias("_n"))
-    same = (w.select(channel, ts, day.alias("_day")).join(on_day, [channel, "_day"])
-            .groupBy(channel).agg(F.count_if(F.col(ts) < F.col("_mid")).alias("_n")))
+    same = (w.select(channel, ts, day.alias("_day"), n.alias("_w")).join(on_day, [channel, "_day"])
+            .groupBy(channel).agg(F.sum(F.when(F.col(ts) < F.col("_mid"), F.col("_w")).otherwise(F.lit(0))).alias("_n")))
     halves = before.unionByName(same).groupBy(channel).agg(F.sum("_n").alias("_first_half"))
     p = prof.join(halves, channel, "left")
     first, total = F.col("_first_half"), F.col("total_watches")

@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from viewlens import schemas as S
 from viewlens.functions import columns as C
 
-DIMS_SCHEMA = ", ".join(f"{d} bigint" for d in S.QUALITY_DIMENSIONS) + \
-    ", triage_label string, rationale string"
 ASSESSMENT_SCHEMA = ("triage_label string, confidence string, content_type string, "
                      "key_signals array<string>, summary string")
 
@@ -38,12 +36,19 @@ def validate(responses: DataFrame, key: str = "video_id", text: str = "text") ->
     nulls become NULL under the typed parse and reject the row (TR14);
     clamping happens only after that check (TR21).
 
+    The text is parsed once, to a variant; the fields are read from that.
     Each step is its own projection, so no expression is re-inlined into the
     next (the optimizer keeps projects apart when that would duplicate work).
     """
-    df = responses.select(key, unfence(F.col(text)).alias("_body"))
-    df = df.select(key, (F.col("_body").isNotNull() & F.try_parse_json("_body").isNotNull()).alias("_ok_json"),
-                   F.from_json("_body", DIMS_SCHEMA).alias("_j"))
+    df = responses.select(key, F.try_parse_json(unfence(F.col(text))).alias("_v"))
+
+    def integer(name):  # a JSON integer that fits, else NULL
+        v = F.try_variant_get("_v", f"$.{name}", "variant")
+        return F.when(F.schema_of_variant(v) == "BIGINT", F.try_variant_get("_v", f"$.{name}", "bigint"))
+
+    df = df.select(key, F.col("_v").isNotNull().alias("_ok_json"), F.struct(
+        *(integer(d).alias(d) for d in S.QUALITY_DIMENSIONS),
+        *(F.try_variant_get("_v", f"$.{c}", "string").alias(c) for c in ("triage_label", "rationale"))).alias("_j"))
     dims_ok = F.lit(True)
     for d in S.QUALITY_DIMENSIONS:
         dims_ok = dims_ok & F.col(f"_j.{d}").isNotNull()

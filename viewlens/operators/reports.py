@@ -34,6 +34,11 @@ def yearly(enriched: DataFrame, ts: str = "timestamp") -> DataFrame:
     g = (enriched.filter(F.col("year").isNotNull()).groupBy("year")
          .agg(F.count(F.lit(1)).alias("events"), hours_sum().alias("hours"),
               F.min(ts).alias("_first"), F.max(ts).alias("_last")))
+    return per_calendar_day(g)
+
+
+def per_calendar_day(g: DataFrame) -> DataFrame:
+    """A5 + A6 for yearly rows with hours and their first and last time."""
     jan1 = F.make_timestamp_ntz(F.col("year"), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
     dec31 = F.make_timestamp_ntz(F.col("year"), F.lit(12), F.lit(31), F.lit(0), F.lit(0), F.lit(0))
     start = F.greatest(F.col("_first"), jan1)

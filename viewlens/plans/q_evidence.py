@@ -228,3 +228,21 @@ def q_engagement_first_row(spark, base):
     twice = m.withColumn("ingest_order", F.lit(1)).unionByName(
         m.withColumn("view_count", F.col("view_count") * 2).withColumn("ingest_order", F.lit(2)))
     return E.engagement_metrics(twice)
+
+
+@register("transcript_failures", TRANSCRIPT_SQL + """SELECT r.video_id,
+  coalesce(t.status, CASE lang WHEN 'de' THEN 'unavailable' ELSE 'error' END) AS status, length(t.transcript) AS transcript_length,
+  t.transcript, CASE WHEN t.status IS NULL THEN CASE lang WHEN 'de' THEN 'no transcript in de' WHEN 'fr' THEN 'HTTP 500'
+    ELSE 'no transcript segments' END END AS reason,
+  CASE WHEN t.status IS NULL THEN 'Transcript unavailable; evaluate based on metadata' END AS suggestion
+  FROM (SELECT doc_id AS video_id, lang FROM documents) r LEFT JOIN tr t USING (video_id)""")
+def q_transcript_failures(spark, base):
+    """Ids without segments, with the status and reason of their fetch
+    (twice for German ones: the first in order counts)."""
+    docs = io.read_table(spark, base, "documents").select(F.col("doc_id").alias("video_id"), "lang")
+    gone = docs.filter(F.col("lang") == "de").select("video_id", F.lit("unavailable").alias("status"),
+                                                     F.lit("no transcript in de").alias("reason"))
+    late = gone.withColumn("reason", F.lit("retried: no transcript"))
+    failed = docs.filter(F.col("lang") == "fr").select("video_id", F.lit("error").alias("status"), F.lit("HTTP 500").alias("reason"))
+    return E.transcript_lookup(E.transcripts(segments(spark, base)), docs.select("video_id"),
+                               failures=gone.union(late).union(failed))

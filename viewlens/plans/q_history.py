@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from viewlens.functions import columns as C
-from viewlens.operators import history, reports
+from viewlens.operators import history, reports, states
 from viewlens.plans import standins as V
 from viewlens.plans.catalog import register, with_ctes
+from viewlens.plans.q_evidence import CHANNEL_SQL
 from viewlens.sources import io
 
 HOURS = "coalesce(CAST(sum(duration_seconds) AS DOUBLE) / 3600, 0.0)"
@@ -164,3 +165,56 @@ def q_numeric_coerce(spark, base):
     df = p.select(F.col("p_partkey").alias("video_id"), raw.alias("raw"))
     return df.select("video_id", "raw", C.to_double("raw").alias("value"),
                      F.col("video_id").isNotNull().alias("has_id"))
+
+
+@register("category_year_named", BASE + f""", ranked AS (SELECT category, row_number() OVER (ORDER BY hours DESC, category) AS rn
+    FROM (SELECT category, {HOURS} AS hours FROM enriched GROUP BY category)),
+  cells AS (SELECT year, CASE WHEN rn <= 6 THEN category ELSE 'Other' END AS label, duration_seconds
+    FROM enriched JOIN ranked USING (category) WHERE year IS NOT NULL)
+  PIVOT cells ON label USING coalesce(CAST(sum(duration_seconds) AS DOUBLE) / 3600, 0.0) GROUP BY year""")
+def q_category_year_named(spark, base):
+    """A10 + A11 + P27: the pivot under the names of the top categories, in
+    their order, and 'Other' where there are more."""
+    return reports.category_year_pivot(enriched(spark, base))
+
+
+# --- reports from stored states (A1-A11, A17-A21) --------------------------------
+
+def grown(spark, base, build, name):
+    """The state table after two parts of the history were added, the old
+    years first, then the rest."""
+    from viewlens.session import scratch_path
+    path = scratch_path(spark, name)
+    new = F.year("timestamp") >= 1998
+    rows = enriched(spark, base)
+    for part in (rows.filter(~new | F.col("timestamp").isNull()), rows.filter(new)):
+        io.append(build(part), path)
+    return spark.read.parquet(path)
+
+
+@register("yearly_from_states", YEARLY_SQL)
+def q_yearly_from_states(spark, base):
+    """A4-A6 from the states of an old history plus a new part."""
+    return states.yearly(grown(spark, base, states.report_states, "states"))
+
+
+@register("reports_from_states", BASE + f"""SELECT 'total' AS report, 'all' AS key, {HOURS} AS hours, count(*) AS events FROM enriched
+  UNION ALL SELECT 'month', CAST(month AS VARCHAR), {HOURS}, count(*) FROM enriched WHERE month IS NOT NULL GROUP BY month
+  UNION ALL SELECT 'category', category, {HOURS}, count(*) FROM enriched GROUP BY category
+  UNION ALL SELECT 'type', type, {HOURS}, count(*) FROM enriched GROUP BY type""")
+def q_reports_from_states(spark, base):
+    """A1 A2 A7 A8 A12 from merged states."""
+    s = states.merged(grown(spark, base, states.report_states, "states"))
+
+    def of(name, key, rows):
+        return rows.groupBy(key.cast("string").alias("key")).agg(
+            reports.hours_sum().alias("hours"), F.sum("events").alias("events")).select(F.lit(name).alias("report"), "key", "hours", "events")
+    out = states.totals(s).select(F.lit("total").alias("report"), F.lit("all").alias("key"), F.col("total_hours").alias("hours"), "events")
+    return (out.unionByName(of("month", F.col("month"), s.filter(F.col("month").isNotNull())))
+            .unionByName(of("category", F.col("category"), s)).unionByName(of("type", F.col("type"), s)))
+
+
+@register("channel_patterns_from_states", CHANNEL_SQL + "SELECT * FROM patterns")
+def q_channel_patterns_from_states(spark, base):
+    """A17-A21 from the states of an old history plus a new part."""
+    return states.channel_patterns(grown(spark, base, states.channel_times, "times"), grown(spark, base, states.channel_videos, "videos"))

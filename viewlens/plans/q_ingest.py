@@ -414,3 +414,24 @@ def q_csv_metadata_import(spark, base):
     path = scratch_path(spark, "meta-csv")
     io.write_csv(L.resolve(part_response(spark, base)), path)
     return io.read_csv(spark, path, S.META).select("video_id", "api_title", "category_id", "duration_seconds")
+
+
+@register("watch_csv_import", with_ctes(V.WATCH_SQL) + """SELECT 'video "' || video_id || '"' || chr(10) || 'of ' || channel_name
+    AS title, 'https://www.youtube.com/watch?v=' || video_id AS video_url, CAST(video_id AS VARCHAR) AS video_id,
+  CAST(channel_name AS VARCHAR) AS channel_name, "timestamp", nullif(type, 'N') AS type, count(*) AS events
+  FROM watch GROUP BY ALL""")
+def q_watch_csv_import(spark, base):
+    """S2 + K6: the watch history through CSV and back with its own schema
+    (quotes and line breaks in titles, blanks for NULL)."""
+    w = V.watch(spark, base)
+    video, channel = F.col("video_id").cast("string"), F.col("channel_name").cast("string")
+    rows = w.select(F.concat(F.lit('video "'), video, F.lit('"\nof '), channel).alias("title"),
+                    F.concat(F.lit("https://www.youtube.com/watch?v="), video).alias("video_url"), video.alias("video_id"),
+                    channel.alias("channel_name"), F.lit(None).cast("string").alias("channel_url"),
+                    F.col("timestamp").cast("timestamp_ntz").alias("timestamp"),
+                    F.nullif("type", F.lit("N")).alias("type"))
+    path = scratch_path(spark, "watch-csv")
+    io.write_csv(rows, path)
+    back = io.read_csv(spark, path, S.WATCH)
+    return back.groupBy("title", "video_url", "video_id", "channel_name", "timestamp", "type").agg(
+        F.count(F.lit(1)).alias("events"))

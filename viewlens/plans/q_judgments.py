@@ -421,3 +421,87 @@ def q_report_append(spark, base):
     outcome = s.select("video_id", (F.col("outcome") == "assessed").alias("assessed"))
     return r.select("video_id", "title").join(outcome, "video_id").join(per, "video_id").select(
         "video_id", "title", "assessed", "reports")
+
+
+# --- traces that submit the assessments of events ------------------------------
+
+def event_traces(spark, base):
+    """One trace an event: it asks for evidence, then submits the event's
+    assessment; calls of error events fail in round 2, and purchases stop
+    without another call."""
+    a = assessments(spark, base)
+    ev = io.read_table(spark, base, "events").select(F.col("event_id").alias("video_id"), F.col("event_type").alias("et"))
+    both = a.join(ev, "video_id")
+    block = "struct<round:int,pos:int,block_type:string,tool_name:string,input_json:string>"
+
+    def of(r, pos, kind, name=None, body=None):
+        return F.struct(F.lit(r), F.lit(pos), F.lit(kind), F.lit(name).cast("string"),
+                        body if body is not None else F.lit("{}")).cast(block)
+
+    ask = of(1, 0, "tool_use", S.EVIDENCE_TOOLS[0])
+    blocks = (F.when(F.col("et") == "error", F.array(ask, of(2, 0, "error")))
+              .when(F.col("et") == "purchase", F.array(ask, of(2, 0, "text")))
+              .otherwise(F.array(ask, of(1, 1, "tool_use", "search_web"), of(2, 0, "text"),
+                                 of(2, 1, "tool_use", S.SUBMIT_TOOL, F.col("assessment")))))
+    return both.select("video_id", F.inline(blocks))
+
+
+@register("trace_failures", f"""SELECT event_id AS video_id, CASE event_type WHEN 'error' THEN 'failed'
+    WHEN 'purchase' THEN 'stopped_without_tools' ELSE 'assessed' END AS outcome, 2 AS end_round,
+  CASE WHEN event_type IN ('error', 'purchase') THEN '{S.EVIDENCE_TOOLS[0]}'
+    ELSE '{S.EVIDENCE_TOOLS[0]}|{S.SUBMIT_TOOL}' END AS tools_used,
+  CAST(CASE WHEN event_type IN ('error', 'purchase') THEN 0 ELSE 1 END AS BIGINT) AS error_calls FROM events""")
+def q_trace_failures(spark, base):
+    """G4 + G5: traces with failed calls, unknown tools and no submission."""
+    return TR.summarise(event_traces(spark, base)).select(
+        "video_id", "outcome", "end_round", F.array_join("tools_used", "|").alias("tools_used"), "error_calls")
+
+
+@register("report_fields", f"""SELECT video_id, label AS triage_label, ['high', 'medium', 'low', 'sure'][k % 4 + 1] AS confidence,
+  [{", ".join("'" + c + "'" for c in [*S.CONTENT_TYPES, "vlog"])}][k % 11 + 1] AS content_type, summary,
+  array_to_string(['a', 'b', 'c', 'd', 'e', 'f'][1:k % 7], '|') AS key_signals, substr(summary, 1, 120) AS summary_preview
+  FROM (SELECT event_id AS video_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k,
+    CASE event_type WHEN 'view' THEN 'deep' WHEN 'click' THEN 'useful' WHEN 'signup' THEN 'mixed' END AS label,
+    CASE WHEN CAST(json_extract(props, '$.k') AS BIGINT) % 13 <> 0 THEN event_type END AS summary
+    FROM events WHERE event_type NOT IN ('error', 'purchase'))""".replace("['high', 'medium', 'low', 'sure']", "[" + ", ".join(
+        "'" + c + "'" for c in [*S.CONFIDENCE_LEVELS, "sure"]) + "]"))
+def q_report_fields(spark, base):
+    """P29 + P30: the report of each assessed event with all its fields."""
+    meta = io.read_table(spark, base, "events").select(
+        F.col("event_id").alias("video_id"), F.col("event_type").alias("api_title"), F.lit(None).cast("string").alias("api_channel_title"))
+    r = TR.report_rows(TR.summarise(event_traces(spark, base)), meta, clock())
+    return r.select("video_id", "triage_label", "confidence", "content_type", "summary",
+                    F.array_join("key_signals", "|").alias("key_signals"), "summary_preview")
+
+
+@register("score_resume", RESP + """SELECT video_id, composite_score, triage_label, 1::BIGINT AS stored FROM v WHERE status = 'ok'""")
+def q_score_resume(spark, base):
+    """S6 + S14 + K3 + U4: judged twice over; the second run reads the keys
+    that the first stored and appends what is left."""
+    from viewlens.plans import jobs
+    from viewlens.session import scratch_path
+    landed, meta, out = (scratch_path(spark, n) for n in ("responses", "titles", "judged"))
+    r = responses(spark, base)
+    docs = io.read_table(spark, base, "documents").select(F.col("doc_id").alias("video_id"), F.col("text").alias("api_title"))
+    io.overwrite(docs, meta)
+    io.overwrite(r, landed)
+    for _ in range(2):
+        jobs.score(spark, landed, meta, out, MODEL, clock())
+    io.require(spark, f"{out}/scores", "scoring wrote nothing")
+    per = spark.read.parquet(f"{out}/scores").groupBy("video_id", "composite_score", "triage_label").agg(
+        F.count(F.lit(1)).alias("stored"))
+    return per.select(F.col("video_id").cast("long").alias("video_id"), "composite_score", "triage_label", "stored")
+
+
+@register("evaluation_defaults", """SELECT doc_id AS video_id, 'Evaluate this YouTube video:' || chr(10) || chr(10)
+  || 'Title: Unknown' || chr(10) || 'Channel: ' || coalesce(CASE WHEN lang <> 'fr' THEN lang END, 'Unknown') || chr(10)
+  || 'Category: N/A' || chr(10) || 'Duration: N/A' || chr(10) || 'Views: N/A | Likes: N/A | Comments: N/A' || chr(10)
+  || 'Tags: None' || chr(10) || 'Description:' || chr(10) || chr(10) AS prompt FROM documents""")
+def q_evaluation_defaults(spark, base):
+    """P36 + P31-P35: metadata without a title column, with blanks everywhere."""
+    d = io.read_table(spark, base, "documents")
+    none = {"category_id": "string", "duration_seconds": "long", "view_count": "long", "like_count": "long",
+            "comment_count": "long", "tags": "array<string>", "description": "string"}
+    return J.evaluation_text(d.select(
+        F.col("doc_id").alias("video_id"), F.when(F.col("lang") != "fr", F.col("lang")).alias("api_channel_title"),
+        *(F.lit(None).cast(t).alias(c) for c, t in none.items())))
