@@ -85,7 +85,7 @@ def test_short_texts_whose_low_hash_bits_agree_stay_apart(spark):
     assert {r.doc_id: r.component_id for r in ngram_join.ngram_links(docs).collect()} == {1: 1, 2: 2, 3: 2}
 
 
-@pytest.mark.parametrize("rounds", [(), (1,), (1, 2, 4), (8, 64, 512)])
+@pytest.mark.parametrize("rounds", [(), (1, 2)])
 def test_rounds_of_hubs_lose_no_link(spark, monkeypatch, rounds):
     """Near copies of one text, most of which do not link to each other."""
     monkeypatch.setattr(ngram_join, "ROUNDS", rounds)
@@ -136,21 +136,21 @@ def test_components_of_chains_and_stars(spark):
 
 
 def overlaps(text, items):
-    """Brute force: a window of 13 aligned tokens (or the item) 80 % equal,
-    with a seed intact in it."""
+    """Brute force, free of masks: a window of 13 aligned tokens (or the item)
+    80 % equal; items of fewer than eight tokens stand unchanged."""
     tok = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
     w, found = tok(text), set()
     for i, item in items:
         v = tok(item)
         n = min(13, len(v))
         if len(v) < 8:
+            if v and any(w[a:a + len(v)] == v for a in range(len(w))):
+                found.add(i)
             continue
         for a in range(len(w) - n + 1):
             for b in range(len(v) - n + 1):
                 same = [x == y for x, y in zip(w[a:a + n], v[b:b + n])]
-                if sum(same) * 100 >= 80 * n and any(
-                        all(same[s + k] for k, c in enumerate(m) if c == "1")
-                        for m in decontaminate.MASKS for s in range(n - 7)):
+                if sum(same) * 100 >= 80 * n:
                     found.add(i)
     return found
 
@@ -174,6 +174,7 @@ def test_decontamination_matches_brute_force(spark):
     rng = random.Random(1)
     words = [f"v{i}" for i in range(60)]
     items = [(i, " ".join(rng.choices(words, k=rng.choice((3, 8, 11, 20, 40))))) for i in range(12)] + [(50, None), (51, "")]
+    items += [(60, "v3"), (61, "V7, v7"), (62, " ".join(rng.choices(words, k=7))), (63, "?!")]
     texts = [None, "", "x"]
     for i in range(60):
         w = rng.choices(words, k=rng.randint(0, 50))

@@ -51,6 +51,22 @@ def _seeds(df: DataFrame, keep: list[str], masks, at: str) -> DataFrame:
     return rows.select(*keep, "h", at, F.explode(F.array(*picked)).alias("seed"))
 
 
+def _whole_runs(base: DataFrame, short: DataFrame) -> DataFrame:
+    """``(doc_id, th, no, item, same)`` of the items in ``short``, which are
+    too short for a mask: their whole sequence of tokens is their seed, and
+    the texts have a seed for each start and length that occurs."""
+    lengths = sorted(r[0] for r in short.select(F.size("h")).distinct().collect())  # at most SPAN - 1
+    seed = lambda row, at, n: F.xxhash64(F.lit(n), *(F.get(row, at + i) for i in range(n)))
+    probes = F.broadcast(short.select("no", "item", F.col("h").alias("ih"), F.coalesce(
+        *(F.when(F.size("h") == n, seed(F.col("h"), F.lit(0), n)) for n in lengths)).alias("seed")))
+    starts = base.where(F.size("h") > 0).select("doc_id", "th", "h", F.explode(F.sequence(F.lit(0), F.size("h") - 1)).alias("i"))
+    seeds = F.filter(F.array(*(F.when(F.col("i") + n <= F.size("h"), seed(F.col("h"), F.col("i"), n)) for n in lengths)),
+                     lambda x: x.isNotNull())
+    hits = starts.select("doc_id", "th", "h", "i", F.explode(seeds).alias("seed")).join(probes, "seed")
+    return hits.where(F.slice("h", F.col("i") + 1, F.size("ih")) == F.col("ih")).groupBy("doc_id", "th", "no").agg(
+        F.first("item").alias("item"), F.max(F.size("ih")).alias("same"))
+
+
 def contaminated(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text: str = "text",
                  item_col: str = "item_id", item_text: str = "text", masks=MASKS, window: int = WINDOW,
                  percent: int = PERCENT) -> DataFrame:
@@ -60,15 +76,18 @@ def contaminated(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text
     id it names a row. ``items`` lists the items, ``overlap`` is the largest
     number of equal tokens.
 
-    Null and empty texts, and items of fewer than eight tokens (too short to
-    tell from common phrases), match nothing. Items with equal tokens are
+    Items of fewer than eight tokens match where their whole sequence stands
+    unchanged. Null and empty texts, and items without a token, match
+    nothing. Items with equal tokens are
     one, under their smallest id; null item ids are one more id, listed as
     null is not: only their match counts. Repeated documents give one row.
     Empty tables give an empty table. No other column is read.
     """
     items = _hashed(tests.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).alias("_t")), ["item"], "_t")
-    items = land(items.where(F.size("h") >= SPAN).groupBy("h").agg(F.min("item").alias("item"))
+    items = land(items.where(F.size("h") > 0).groupBy("h").agg(F.min("item").alias("item"))
                  .withColumn("no", F.xxhash64("h")), "items")
+    short, items = items.where(F.size("h") < SPAN), items.where(F.size("h") >= SPAN)
+    few = short.agg(F.sum(F.size("h"))).first()[0] or 0
     tokens = items.agg(F.sum(F.size("h"))).first()[0] or 0
     blocks = -(-tokens * len(masks) // (3 * BLOCK_TOKENS))
     base = _hashed(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("_t"), F.xxhash64(F.col(text)).alias("th")),
@@ -94,6 +113,10 @@ def contaminated(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text
         scored = scored.where(F.col("same") * 100 >= F.col("len") * percent)
         best = scored.groupBy("doc_id", "th", "no").agg(F.first("item").alias("item"), F.max("same").alias("same"))
         found = best if found is None else found.union(best)
+    blocks = -(-few // BLOCK_TOKENS)
+    for b in range(blocks):
+        best = _whole_runs(base, short.where(F.pmod("no", F.lit(blocks)) == b) if blocks > 1 else short)
+        found = best if found is None else found.union(best)
     if found is None:
         return base.where("false").select("doc_id", "th", F.array().cast("array<long>").alias("items"),
                                           F.lit(0).alias("overlap"))
