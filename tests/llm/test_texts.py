@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -183,6 +184,23 @@ def test_extraction_of_text_after_a_bare_less_than_sign():
     assert html_text.main_text("<p>one, two</p><p>a < b, then <a href='cut") == "one, two\na < b, then"
 
 
+def test_extraction_keeps_an_article_whole():
+    page = """<nav><a href="/">Home</a></nav><article><h1>T</h1><p>One, two, and three, in a line.</p><p class="social">A social matter, told, at length.</p>
+    <blockquote class="related">Said of related things.</blockquote><div class="share-buttons"><a href="#">Share</a></div>
+    <p class="ad">Buy, now.</p><div class="comments"><p>Nice, really, nice, thanks, for, this.</p></div>
+    <ul><li><a href="/a">First reference</a></li><li><a href="/b">Second reference</a></li></ul></article><p class="social">Follow us.</p>"""
+    assert html_text.main_text(page) == ("T\nOne, two, and three, in a line.\nA social matter, told, at length.\nSaid of related things.\n"
+                                         "First reference\nSecond reference")
+
+
+def test_extraction_is_linear_in_headings():
+    text = "A paragraph, with commas, and more of them, in part, and, so on. " * 4
+    page = "<div>" + f"<div><p>{text}</p></div>" + "".join(f"<h2>Heading {i}</h2>" for i in range(64_000)) + "</div>"
+    start = time.perf_counter()
+    got = html_text.main_text(page)
+    assert got.count("\n") == 64_000 and time.perf_counter() - start < 10  # a few seconds on a busy machine; quadratic: minutes
+
+
 def test_extraction_judges_siblings_by_their_own_points():
     text = "A paragraph, with commas, and more of them, in part, and, so on."
     said, code, head = "Said, by one, two, three, four, five, six, seven.", "code(a, b, c, d, e, f, g, h)", "In, part, of, a, long, kind, of, list"

@@ -34,6 +34,10 @@ UNWANTED = re.compile(
     r"breadcrumbs?|pagination|pager|footer|foot|header|masthead|topbar|toolbar|share|sharing|social|related|recommend\w*|"
     r"newsletter|subscribe|signup|login|popup|modal|overlay|search|form|tags|taglist|skip|contentinfo|complementary|hidden)"
     r"(?:$|[\s_-])", re.I)
+#: Of these, words that a paragraph of the article may well carry itself.
+SOFT = re.compile(
+    r"(?:^|(?<=[\s_-]))(?:social|related|recommend\w*|search|side|aside|form|tags|foot|head|header|footer|menu|nav|widgets?|"
+    r"banner|alerts?|modal|skip|hidden|reply|respond)(?=$|[\s_-])", re.I)
 #: Such a word after one of these only describes the page's layout.
 LAYOUT = re.compile(r"(?:^|(?<=\s))(?:has|with|without|no)[_-][\w-]+", re.I)
 #: ... unless the element says that it is the article.
@@ -73,6 +77,12 @@ class Tree(HTMLParser):
                 return
             node = node.parent
 
+    def _in_article(self) -> bool:
+        node = self.at
+        while node is not None and node.tag not in ("article", "main"):
+            node = node.parent
+        return node is not None
+
     def handle_starttag(self, tag, attrs):
         if tag in ("html", "body"):
             return
@@ -89,15 +99,14 @@ class Tree(HTMLParser):
         if not drop and tag not in ("article", "main"):
             named = " ".join(v for k, v in attrs if v and k in ("class", "id", "role"))
             named = LAYOUT.sub("", named)
+            if tag in ("p", "pre", "blockquote") and self._in_article():
+                named = SOFT.sub("", named)
             drop = bool(named and UNWANTED.search(named) and not WANTED.search(named))
             hidden = {k: v for k, v in attrs}
             drop = drop or "hidden" in hidden or hidden.get("aria-hidden") == "true" or bool(
                 re.search(r"display\s*:\s*none", hidden.get("style") or ""))
         if tag == "header":  # a page's, but not an article's own heading
-            node = self.at
-            while node is not None and node.tag not in ("article", "main"):
-                node = node.parent
-            drop = node is None
+            drop = not self._in_article()
         kid = Node(tag, self.at, drop)
         self.at.kids.append(kid)
         if drop or kid.depth < DEEPEST:
@@ -229,14 +238,16 @@ def main_text(html: str) -> str:
             if type(k) is not Node or k.drop:
                 continue
             size = sums[k][0]
-            heading = k.tag in ("h1", "h2", "h3") and best in best.parent.kids
+            heading = k.tag in ("h1", "h2", "h3")
             prose = k.tag == "p" and size and (size > 80 and density(k) < 0.25 or density(k) == 0)
             alone = k.tag in ("pre", "blockquote", "h4", "h5", "h6") and points(k) >= need  # its points went to the parent
             if k is best or heading or prose or alone or k.score * (1 - density(k)) >= need:
                 kept.append(k)
-    for node in (x for k in kept for x in _walk(k)):  # lists of links inside
-        if node not in kept and node.tag in ("ul", "ol", "div", "table", "section") and density(node) > 0.6:
-            node.drop = True
+    if best.tag not in ("article", "main"):  # what says it is the article is kept whole, its lists of links too
+        own = set(kept)
+        for node in (x for k in kept for x in _walk(k)):
+            if node not in own and node.tag in ("ul", "ol", "div", "table", "section") and density(node) > 0.6:
+                node.drop = True
     return "\n".join(t for k in kept for t in blocks(k))
 
 
