@@ -62,6 +62,18 @@ def test_damage_is_noticed(spark):
         warc.read(spark, other).collect()
 
 
+@pytest.mark.parametrize("where", ["record like '5:%' and chunk = 1", "cast(data as string) like '%WARC-Type: revisit%'", "last and chunk > 1"])
+def test_damaged_running_digests_are_noticed(spark, where):
+    from pyspark.sql import functions as F
+    path, other = scratch_path(spark, "warc"), scratch_path(spark, "warc")
+    warc.write(pages(spark, ROWS), path, chunk=500)
+    spark.read.parquet(path).withColumn("running", F.when(F.expr(where), F.unhex(F.sha1("running"))).otherwise(
+        F.col("running"))).write.parquet(other)
+    assert spark.read.parquet(path).where(where).count()
+    with pytest.raises(Exception, match="damaged record"):
+        warc.read(spark, other).collect()
+
+
 def test_empty_archive(spark):
     path = scratch_path(spark, "warc")
     warc.write(pages(spark, ROWS).limit(0), path)

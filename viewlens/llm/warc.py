@@ -125,8 +125,9 @@ def parse(head: bytes) -> tuple[dict[str, str], int, int]:
 def read(spark, path: str) -> DataFrame:
     """One row for each record of the archive: page_id, payload_bytes,
     payload_digest, record_type, refers_to, uri. The payload of a response
-    is hashed anew from its chunks, in order, one chunk at a time; a digest
-    or length that differs from the header's raises ``ValueError``."""
+    is hashed anew from its chunks, in order, one chunk at a time, and each
+    chunk's running digest is compared; a digest or length that differs from
+    the table's or the header's raises ``ValueError``."""
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "uri"]
 
     def run(batches):
@@ -134,7 +135,7 @@ def read(spark, path: str) -> DataFrame:
         left = size = 0
         for b in batches:
             out = []
-            data = b.column("data")
+            data, running = b.column("data"), b.column("running").to_pylist()
             for i, (chunk, last) in enumerate(zip(b.column("chunk").to_pylist(), b.column("last").to_pylist())):
                 view = memoryview(data[i].as_buffer())
                 at = 0
@@ -144,6 +145,9 @@ def read(spark, path: str) -> DataFrame:
                 part = view[at: len(view) - 4 if last else len(view)]
                 sha.update(part)
                 left -= len(part)
+                whole = base64.b32decode(fields["WARC-Payload-Digest"].removeprefix("sha1:"))
+                if running[i] != (sha.digest() if fields["WARC-Type"] == RESPONSE else whole):
+                    raise ValueError(f"damaged record {fields['WARC-Record-ID']}, chunk {chunk}")
                 if last:
                     said = fields["WARC-Payload-Digest"].removeprefix("sha1:")
                     kind = fields["WARC-Type"]
