@@ -47,7 +47,7 @@ from viewlens.session import drop_scratch, scratch_path
 
 #: Shingles in a map chunk and in a reduce bucket.
 CHUNK = 500_000
-BUCKET = 2_000_000
+BUCKET = 1_000_000
 #: A shingle with more than this share of all shingle occurrences is hot: it
 #: is ordered last and has no counting bucket. At most HOT of them exist.
 HOT = 8192
@@ -462,9 +462,9 @@ def ngram_links(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k:
     apart = sum((F.bit_count(F.col(f"b{i}").bitwiseXOR(F.col(f"o_b{i}"))) for i in range(BITS)), F.lit(0))
     fits = (F.least("n", "o_n") >= need) & (apart <= F.col("n") + F.col("o_n") - 2 * need)
     other = lambda t: t.select(*(F.col(c).alias(f"o_{c}") for c in t.columns))
-    live = met.where(~F.array_contains("hubs", F.col("cid"))).select("token", "cid", "n")
-    held = [met]
-    for turn, width in enumerate([*ROUNDS, None]):
+    live, held, widths = met.where(~F.array_contains("hubs", F.col("cid"))).select("token", "cid", "n"), [met], list(ROUNDS)
+    turn = 0
+    while True:
         # members that were no hub yet, of lists where these are of several
         # components; a list that is of one stays so
         label = live.join(comp.select(F.col("node").alias("cid"), "comp"), "cid", "left").select(
@@ -475,21 +475,24 @@ def ngram_links(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k:
         held, live = [label], label.select("token", "cid", "n")
         groups = label.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"),
                                                     F.min_by("cid", F.xxhash64("cid", F.lit(turn))).alias("hub"))
-        open_ = label
-        if width:  # lists where pairs outnumber what the hubs of a round meet
-            per = groups.groupBy("token").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("sq"))
+        per = groups.groupBy("token").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("sq"))
+        # open partners of a member, in the list where they are most
+        partners = per.select(F.max((F.col("m") * F.col("m") - F.col("sq")) / F.col("m"))).first()[0]
+        if partners is None:
+            break
+        width = widths.pop(0) if widths else None
+        if width and partners > 4 * width:  # lists where pairs outnumber what the hubs of a round meet
             far = per.where(F.col("m") * F.col("m") - F.col("sq") > 4 * width * F.col("m")).select("token")
             order = Window.partitionBy("token").orderBy(F.xxhash64("comp", F.lit(turn)), "comp")
             chosen = tables.land(groups.join(far, "token").withColumn("nth", F.row_number().over(order))
                                  .where(F.col("nth") <= width).select("token", F.col("hub").alias("cid")), "chosen")
             held.append(chosen)
-            if chosen.isEmpty():
-                continue
-            open_ = tables.land(label.join(chosen.select("token").distinct(), "token").join(info, "cid"), "open")
+            open_ = tables.land(label.join(far, "token").join(info, "cid"), "open")
             meets = other(open_.join(chosen, ["token", "cid"], "left_semi"))
             pairs = open_.join(meets, (F.col("token") == F.col("o_token")) & (F.col("comp") != F.col("o_comp")) & fits)
             live = live.join(chosen, ["token", "cid"], "left_anti")
         else:
+            widths, width = [], None  # later rounds are wider still
             open_ = tables.land(label.join(info, "cid"), "open")
             pairs = open_.join(other(open_), (F.col("token") == F.col("o_token")) & (F.col("cid") < F.col("o_cid"))
                                & (F.col("comp") != F.col("o_comp")) & fits)
@@ -500,6 +503,9 @@ def ngram_links(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k:
             tables.drop(comp)
             comp = tables.land(components(reduce(DataFrame.union, links)), "comp")
         tables.drop(rest)
+        turn += 1
+        if width is None:
+            break
     tables.drop(*held, *links)
 
     named = classes.select("ckey", "cid", "rep").join(comp.withColumnRenamed("node", "cid"), "cid", "left") \
