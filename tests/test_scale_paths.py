@@ -118,6 +118,23 @@ def test_lookups_shuffle_requested_rows_only(spark, conf):
     assert max(rows_shuffled(ev.channel_lookup(ev.channel_patterns(watch), asked))) > 10_000
 
 
+@pytest.mark.parametrize("limits", [(0, 8_000_000), (0, 0)])
+def test_many_channels_asked_are_joined_after_they_are_combined(spark, conf, monkeypatch, limits):
+    monkeypatch.setattr(keyed, "BROADCAST_KEYS", limits[0])
+    monkeypatch.setattr(keyed, "FILTER_KEYS", limits[1])
+    conf(autoBroadcastJoinThreshold="-1")
+    watch = spark.range(20_000).select(
+        (F.col("id") % 97).alias("video_id"),
+        F.when(F.col("id") % 3 == 0, F.lit(1)).when(F.col("id") % 50 == 0, F.lit(None)).otherwise(F.col("id") % 800).alias("channel_name"),
+        F.timestamp_seconds(F.lit(1_600_000_000) + F.col("id") * 977).alias("timestamp"))
+    asked = spark.range(0, 1200, 7).select(F.col("id").alias("channel")).union(spark.sql("SELECT 1L UNION ALL SELECT CAST(NULL AS LONG)"))
+    got = ev.channels_asked(watch, asked.union(asked))
+    full = ev.channel_lookup(ev.channel_patterns(watch), asked)
+    assert sorted(got.collect(), key=str) == sorted(full.collect(), key=str)
+    # a join on the history's rows would gather each channel in one task, where they are aggregated uncombined
+    assert "LeftSemi" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 # --- heavy keys (J1) ----------------------------------------------------------
 
 def skewed(spark, n=60_000):

@@ -81,10 +81,11 @@ def channel_lookup(patterns: DataFrame, requested: DataFrame, key: str = "channe
 def channels_asked(watch: DataFrame, requested: DataFrame, channel: str = "channel_name",
                    video: str = "video_id", ts: str = "timestamp") -> DataFrame:
     """P24 + P25 for ``requested(channel)``: only the history of these
-    channels is aggregated; the answer is that of ``channel_lookup`` over the
-    patterns of all channels."""
+    channels is aggregated (and of a few others, if many are asked: these go
+    when the keys meet the patterns); the answer is that of
+    ``channel_lookup`` over the patterns of all channels."""
     asked = requested.select(F.col("channel").alias(channel))
-    mine = keyed.among(watch.select(video, channel, ts), asked, channel)
+    mine = keyed.maybe_among(watch.select(video, channel, ts), asked, channel)
     return channel_lookup(channel_patterns(mine, channel, video, ts), requested)
 
 

@@ -5,7 +5,9 @@ Few keys are broadcast (their number is counted first) and select the rows by
 a semi-join within the scan's own tasks. Many keys become a bit filter: two
 hashed positions a key in an array of words that every task reads, built and
 tested with built-in functions; the rows that pass (all of the requested, and
-about one in sixty of the others) then meet the keys in a plain semi-join.
+about one in sixty of the others) then meet the keys in a plain semi-join
+(``among``), or in the caller's own join of what it has combined by key
+(``maybe_among``).
 """
 
 from __future__ import annotations
@@ -46,15 +48,30 @@ def passes(words: Column, bits: int, key: Column) -> Column:
     return out
 
 
-def among(df: DataFrame, requested: DataFrame, key: str) -> DataFrame:
-    """The rows of ``df`` whose ``key`` is among those of ``requested`` (NULL
-    is never). Only these rows leave the scan's tasks, up to FILTER_KEYS
-    keys; beyond, a question about that many keys is a plain semi-join."""
+def _filtered(df: DataFrame, requested: DataFrame, key: str) -> tuple[DataFrame, DataFrame, bool]:
+    """(rows of ``df`` that may be asked for, distinct keys, whether the rows
+    are exact); no row is shuffled."""
     keys = requested.select(key).filter(F.col(key).isNotNull()).distinct()
     n = keys.count()
     if n <= BROADCAST_KEYS:
-        return df.join(F.broadcast(keys), key, "left_semi")
+        return df.join(F.broadcast(keys), key, "left_semi"), keys, True
     if n <= FILTER_KEYS:
         words, bits = bit_filter(keys, key, n)
-        df = df.filter(passes(words, bits, F.col(key)))
-    return df.join(keys, key, "left_semi")
+        return df.filter(passes(words, bits, F.col(key))), keys, False
+    return df.filter(F.col(key).isNotNull()), keys, False
+
+
+def maybe_among(df: DataFrame, requested: DataFrame, key: str) -> DataFrame:
+    """The rows of ``df`` whose ``key`` is among those of ``requested``, and
+    a few others when there are many keys: for a caller that aggregates by
+    ``key`` and joins the keys after that, so that no join gathers the rows
+    of one key before they are combined."""
+    return _filtered(df, requested, key)[0]
+
+
+def among(df: DataFrame, requested: DataFrame, key: str) -> DataFrame:
+    """The rows of ``df`` whose ``key`` is among those of ``requested`` (NULL
+    is never). Only these rows leave the scan's tasks, up to FILTER_KEYS
+    keys; beyond, a question about that many keys is a plain semi-join."""
+    rows, keys, exact = _filtered(df, requested, key)
+    return rows if exact else rows.join(keys, key, "left_semi")
