@@ -5,6 +5,9 @@ import re
 from itertools import combinations
 
 import duckdb
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 import __spark_entry__ as E
@@ -128,6 +131,44 @@ def test_boundary_follows_cost():
             assert 100 * o >= 80 * (s + t - o) and 100 * (o - 1) < 80 * (s + t - o + 1)
 
 
+def test_short_names_are_distinct_and_found_again(spark):
+    keys = np.frombuffer(bytes([7, 1] + [0] * 14 + [7, 2] + [0] * 14 + [7, 1, 3] + [0] * 13), "S16")
+    classes = spark.createDataFrame([(bytearray(keys.tobytes()[i: i + 16]),) for i in (0, 16, 32)], "ckey binary")
+    at, width = cut = ngram_join.short_cut(classes, 3, 1)  # no single byte tells them apart
+    names = ngram_join._names(keys, cut)
+    assert width == 2 and len(set(names.tolist())) == 3
+    assert (ngram_join._from_bytes(ngram_join._to_bytes(names, width), width) == names).all()
+    owner = np.repeat([4, 9, 2], [3, 600, 255])
+    r, c = ngram_join._owners(owner)
+    assert c.max() == 255 and (np.repeat(owner[r], c) == owner).all()
+
+
+def test_a_dealt_shingle_takes_few_bytes_in_many_buckets():
+    """A class whose shingles go to a bucket each names itself with each."""
+    texts = [" ".join(f"w{d}x{i}" for i in range(300)) for d in range(20)]
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    out = pa.Table.from_batches(ngram_join._deal("text", 5, 4096, np.zeros(0, np.uint64), (0, 5))([batch]))
+    dealt = out.filter(pc.greater_equal(out["src"], 0))
+    shingles = sum(len(x) for x in dealt["toks"].to_pylist()) // 8
+    assert shingles == 20 * 296
+    assert sum(len(x) for c in ("keys", "counts", "toks") for x in dealt[c].to_pylist()) <= 14 * shingles  # 28 with whole keys
+
+
+def test_repeated_representatives_are_verified_once(spark, monkeypatch):
+    a = " ".join(f"a{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, a)] * 3 + [(2, a + " b")] * 4 + [(3, "c " + a)], "doc_id long, text string").repartition(8)
+    got = [(r.doc_id, r.component_id) for r in ngram_join.ngram_links(docs).collect()]
+    assert sorted(got) == [(1, 1)] * 3 + [(2, 1)] * 4 + [(3, 1)]
+
+
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_components_by_exchanges_or_in_one_partition(spark, monkeypatch, few):
+    monkeypatch.setattr(cc, "FEW", few)
+    edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (100, 100), (200, 100), (None, 3)]
+    got = {r.node: r.comp for r in cc.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 200: 100}
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, i) for i in range(101, 140)] + [(7, 7), (None, 3)]
     got = {r.node: r.comp for r in cc.components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -42,12 +42,12 @@ from pyspark.sql import functions as F
 
 from viewlens.llm.common import (byte_table, doc_slices, hash_words, land, of_row, packed, shingle_hashes,
                                  shuffle_partitions, small, text_buffers, unpacked)
-from viewlens.llm.components import components
+from viewlens.llm.components import FEW, components
 from viewlens.session import drop_scratch, scratch_path
 
 #: Shingles in a map chunk and in a reduce bucket.
 CHUNK = 500_000
-BUCKET = 1_000_000
+BUCKET = 2_000_000
 #: A shingle with more than this share of all shingle occurrences is hot: it
 #: is ordered last and has no counting bucket. At most HOT of them exist.
 HOT = 8192
@@ -87,9 +87,42 @@ def _key(s: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(s.view(np.uint8)) if len(s) else b""
 
 
-def _home(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Bucket of each class key (an array of 16-byte strings)."""
-    return (np.ascontiguousarray(keys).view(np.uint64)[::2] % np.uint64(buckets)).astype(np.int32)
+def _names(keys: np.ndarray, cut: tuple[int, int]) -> np.ndarray:
+    """Short names of class keys (an array of 16-byte strings): the bytes
+    ``cut = (first, how many)`` of each, which no two classes share."""
+    at, width = cut
+    out = np.zeros((len(keys), 8), np.uint8)
+    out[:, :width] = np.ascontiguousarray(keys).view(np.uint8).reshape(-1, 16)[:, at: at + width]
+    return out.view(np.uint64)[:, 0]
+
+
+def _to_bytes(names: np.ndarray, width: int) -> bytes:
+    return np.ascontiguousarray(names).view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _from_bytes(raw: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(raw) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(-1, width)
+    return out.view(np.uint64)[:, 0]
+
+
+def _home(names: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of each class by its short name."""
+    return (names % np.uint64(buckets)).astype(np.int32)
+
+
+def short_cut(classes: DataFrame, n: int, width: int = 0) -> tuple[int, int]:
+    """Which bytes of the key (first, how many) name each of the ``n``
+    classes, and no two of them alike: as few as make an equal pair unlikely,
+    then whichever the table shows to be distinct."""
+    width = width or next(w for w in range(1, 9) if w == 8 or n * n < 1 << (8 * w - 4))
+    classes = classes.select("ckey").coalesce(1) if n <= FEW else classes
+    for w in range(width, 9):
+        for at in range(17 - w):
+            alike = classes.groupBy(F.substring("ckey", at + 1, w)).agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+            if alike.isEmpty():
+                return at, w
+    raise RuntimeError("no eight bytes of the keys are distinct")
 
 
 def _keys_column(keys: np.ndarray) -> pa.Array:
@@ -162,9 +195,20 @@ def _runs(owner: np.ndarray):
     return at, np.diff(np.concatenate((at, [len(owner)])))
 
 
-def _deal(text: str, k: int, buckets: int, hot: np.ndarray):
-    """Pass 2: shingles by bucket of their hash; sizes and hot shingles of a
-    class by bucket of the class (src = -1)."""
+def _owners(owner: np.ndarray):
+    """An index for each run of equal values and its length as a byte; longer
+    runs are several."""
+    at, m = _runs(owner)
+    k = -(-m // 255)
+    c = np.full(int(k.sum()), 255, np.uint8)
+    c[np.cumsum(k) - 1] = m - 255 * (k - 1)
+    return np.repeat(at, k), c
+
+
+def _deal(text: str, k: int, buckets: int, hot: np.ndarray, cut: tuple[int, int]):
+    """Pass 2: shingles by bucket of their hash, with the short names of their
+    classes; keys, sizes and hot shingles of a class by bucket of the class
+    (src = -1)."""
     def flush(keys, sets):
         keys = np.frombuffer(b"".join(keys), "S16")
         sizes = np.array([len(s) for s in sets])
@@ -174,7 +218,8 @@ def _deal(text: str, k: int, buckets: int, hot: np.ndarray):
         is_hot = hot[np.minimum(at, len(hot) - 1)] == toks if len(hot) else np.zeros(len(toks), bool)
         hot_n = np.bincount(owner[is_hot], minlength=len(sets)).astype(np.uint32)
         ids, starts = at[is_hot].astype(np.uint64), np.cumsum(hot_n) - hot_n
-        home = _home(keys, buckets)
+        names = _names(keys, cut)
+        home = _home(names, buckets)
         for d in np.unique(home):
             mine = np.flatnonzero(home == d)
             picked = [ids[starts[i]: starts[i] + hot_n[i]] for i in mine if hot_n[i]]
@@ -188,8 +233,8 @@ def _deal(text: str, k: int, buckets: int, hot: np.ndarray):
         toks, owner, dest = toks[order], owner[order], dest[order]
         for a, m in zip(*_runs(dest)) if len(dest) else ():
             o = owner[a: a + m]
-            r, c = _runs(o)
-            rows.append((int(dest[a]), int(dest[a]), keys[o[r]].tobytes(), c.astype(np.uint32).tobytes(),
+            r, c = _owners(o)
+            rows.append((int(dest[a]), int(dest[a]), _to_bytes(names[o[r]], cut[1]), c.tobytes(),
                          toks[a: a + m].tobytes(), b""))
         return _packed(rows)
 
@@ -212,12 +257,12 @@ def _deal(text: str, k: int, buckets: int, hot: np.ndarray):
     return run
 
 
-def _count(buckets: int):
+def _count(buckets: int, width: int):
     """Document frequency of each shingle of a bucket; those of two classes
     or more go to the buckets of their classes."""
     def bucket(src, parts):
         toks = np.concatenate([np.frombuffer(p[2], np.uint64) for p in parts])
-        keys = np.concatenate([np.repeat(np.frombuffer(p[0], "S16"), np.frombuffer(p[1], np.uint32))
+        keys = np.concatenate([np.repeat(_from_bytes(p[0], width), np.frombuffer(p[1], np.uint8))
                                for p in parts])
         order = np.argsort(toks, kind="stable")
         at, m = _runs(toks[order])
@@ -236,8 +281,8 @@ def _count(buckets: int):
         order = np.lexsort((keys, home))
         toks, keys, df, home = toks[order], keys[order], df[order], home[order]
         for a, m in zip(*_runs(home)) if len(home) else ():
-            r, c = _runs(keys[a: a + m])
-            yield (int(home[a]), src, keys[a: a + m][r].tobytes(), c.astype(np.uint32).tobytes(),
+            r, c = _owners(keys[a: a + m])
+            yield (int(home[a]), src, _to_bytes(keys[a: a + m][r], width), c.tobytes(),
                    toks[a: a + m].tobytes(), df[a: a + m].tobytes())
 
     def run(batches):
@@ -262,7 +307,7 @@ def _count(buckets: int):
 POSTINGS = "kind tinyint, token long, token2 long, ckey binary, n int, t int"
 
 
-def _list(percent: int, x: int, hot: np.ndarray, hot_rank: np.ndarray):
+def _list(percent: int, x: int, hot: np.ndarray, hot_rank: np.ndarray, cut: tuple[int, int]):
     """Listed shingles (kind 0) and subset signatures (kind 1) of the classes
     of a bucket."""
     names = ["kind", "token", "token2", "ckey", "n", "t"]
@@ -271,12 +316,15 @@ def _list(percent: int, x: int, hot: np.ndarray, hot_rank: np.ndarray):
         meta = [p for p in parts if p[0] < 0]
         keys = np.concatenate([np.frombuffer(p[1], "S16") for p in meta])
         n = np.concatenate([np.frombuffer(p[4], np.uint32) for p in meta]).astype(np.int64)
-        key0, first = np.unique(keys, return_index=True)
-        n0 = n[first]
+        name0, first = np.unique(_names(keys, cut), return_index=True)
+        key0, n0 = keys[first], n[first]
         own, tok, df = [], [], []
         for src, ks, cs, ts, nums in parts:
-            ks, cs = np.frombuffer(ks, "S16"), np.frombuffer(cs, np.uint32)
-            own.append(np.repeat(np.searchsorted(key0, ks), cs))
+            if src < 0:
+                ks, cs = _names(np.frombuffer(ks, "S16"), cut), np.frombuffer(cs, np.uint32)
+            else:
+                ks, cs = _from_bytes(ks, cut[1]), np.frombuffer(cs, np.uint8)
+            own.append(np.repeat(np.searchsorted(name0, ks), cs))
             if src < 0:
                 ids = np.frombuffer(ts, np.uint64).astype(np.int64)
                 tok.append(hot[ids].view(np.int64))
@@ -370,22 +418,30 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str
                        .where(F.least("l_n", "r_n") >= need)
                        .where(apart <= F.col("l_n") + F.col("r_n") - 2 * need)
                        .select("a", "b", need.alias("need"), "l_rep_id", "l_rep_th", "r_rep_id", "r_rep_th"), "pairs")
-    reps = tables.land(kept.select(F.col("a").alias("cid"), F.col("l_rep_id").alias("rep_id"), F.col("l_rep_th").alias("rep_th"))
-                       .union(kept.select("b", "r_rep_id", "r_rep_th")).distinct(), "reps")
+    no, yes = F.lit(False), F.lit(True)
+    reps = tables.land(kept.select(F.col("a").alias("cid"), F.col("l_rep_id").alias("rep_id"), F.col("l_rep_th").alias("rep_th"),
+                                   yes.alias("is_a"), no.alias("is_b"))
+                       .union(kept.select("b", "r_rep_id", "r_rep_th", no, yes))
+                       .groupBy("cid", "rep_id", "rep_th").agg(F.max("is_a").alias("is_a"), F.max("is_b").alias("is_b")), "reps")
 
     def sets(batches):
         for b in batches:
             out = [s.view(np.int64) for _, s in _sets(b, k, text)]
-            yield pa.RecordBatch.from_arrays([b.column("cid"), pa.array(out, pa.list_(pa.int64()))], names=["cid", "s"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("cid", "is_a", "is_b")), pa.array(out, pa.list_(pa.int64()))],
+                                             names=["cid", "is_a", "is_b", "s"])
 
     mine = F.col("rep_id").eqNullSafe(F.col(id_col).cast("long")) & (F.col("rep_th") == F.xxhash64(text))
-    full = tables.land(docs.join(small(reps), mine).select("cid", text)
-                       .mapInArrow(sets, "cid long, s array<long>").dropDuplicates(["cid"]), "sets")
+    full = tables.land(docs.join(small(reps), mine).select("cid", "is_a", "is_b", text)
+                       .mapInArrow(sets, "cid long, is_a boolean, is_b boolean, s array<long>"), "sets")
+    held = [kept, reps, full]
+    if full.count() > reps.count():  # a representative's row is repeated
+        full = tables.land(full.dropDuplicates(["cid"]), "sets")
+        held.append(full)
     joined = (kept.select("a", "b", "need")
-              .join(full.select(F.col("cid").alias("b"), F.col("s").alias("t")), "b")
-              .join(full.select(F.col("cid").alias("a"), "s"), "a"))
+              .join(full.where("is_b").select(F.col("cid").alias("b"), F.col("s").alias("t")), "b")
+              .join(full.where("is_a").select(F.col("cid").alias("a"), "s"), "a"))
     links = tables.land(joined.where(F.size(F.array_intersect("s", "t")) >= F.col("need")).select("a", "b"), "links")
-    tables.drop(kept, reps, full)
+    tables.drop(*held)
     return links
 
 
@@ -416,7 +472,8 @@ def ngram_links(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k:
                                *(F.first(f"b{i}").alias(f"b{i}") for i in range(BITS)))
                           .select("*", F.monotonically_increasing_id().alias("cid"),
                                   F.col("rep.doc_id").alias("rep_id"), F.col("rep.th").alias("rep_th")), "classes")
-    total = classes.agg(F.sum("n")).first()[0] or 0
+    total, n_classes = classes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    cut = short_cut(classes, n_classes)
     counts = {r["n"]: r["c"] for r in classes.where(F.col("n") <= LIGHT_MAX).groupBy("n")
               .agg(F.count(F.lit(1)).alias("c")).collect()}
     x = light_boundary(counts, percent)
@@ -428,9 +485,9 @@ def ngram_links(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k:
     tokens = tokens[by]
     rank = np.array([r["cnt"] for r in hot], np.int64)[by] if hot else np.zeros(0, np.int64)
     buckets = max(shuffle_partitions(spark), ceil(total / BUCKET))
-    listed = (docs.select(text).mapInArrow(_deal(text, k, buckets, tokens), PACKED)
-              .repartitionById(buckets, "dest").mapInArrow(_count(buckets), PACKED)
-              .repartitionById(buckets, "dest").mapInArrow(_list(percent, x, tokens, rank), POSTINGS))
+    listed = (docs.select(text).mapInArrow(_deal(text, k, buckets, tokens, cut), PACKED)
+              .repartitionById(buckets, "dest").mapInArrow(_count(buckets, cut[1]), PACKED)
+              .repartitionById(buckets, "dest").mapInArrow(_list(percent, x, tokens, rank, cut), POSTINGS))
     lists = tables.land(listed.join(classes.select("ckey", "cid"), "ckey").drop("ckey"), "lists")
 
     heavy = lists.where("kind = 0").select("token", "cid", "n")
