@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from viewlens.llm.common import byte_table, doc_slices, hash_words, splitmix, text_buffers, unpacked
+from viewlens.llm.common import byte_table, doc_slices, hash_words, splitmix, text_buffers
 from viewlens.llm.labelled import Adam, sample, scored, sigmoid, temperature, with_scores
 
 #: Rows and dimensions of the word table (its size is fixed: 2 MB), nonzero
@@ -194,4 +194,6 @@ def _scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: st
 def accepted(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT, **kw) -> DataFrame:
     """``docs`` without the documents that the classifier rejects: those that
     ``score`` predicts 0, with its ``accept``. All columns stay."""
-    return _scored(docs, labels, **kw).where(F.col("score") >= accept).select(*unpacked(docs.columns))
+    aside = {c: f"_own_{c}" for c in docs.columns if c.lower() in ("held_out", "score", "predicted")}
+    rated = score(docs.withColumnsRenamed(aside), labels, accept=accept, **kw).where("predicted = 1")
+    return rated.select(*(F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns))
