@@ -4,38 +4,55 @@ token packs.
 Each stage takes ``(spark, docs, sf_dir)`` and works on all rows that its
 predecessor kept; all but the last return the columns of ``documents``. A
 stage's result is written as Parquet and read again as the next one's input.
+All stages hand their rows to Python in batches of bounded bytes.
 """
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from viewlens.llm import decontaminate, mixing, ngram_join, quality, tokens
-from viewlens.llm.common import documents, land
+from viewlens.llm.common import bounded_batches, documents, land
 from viewlens.session import scratch_path
 
 
+def bounded(stage):
+    """``stage`` with batches of bounded bytes."""
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        bounded_batches(spark)
+        return stage(spark, docs, sf_dir)
+    return run
+
+
+@bounded
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     return quality.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+@bounded
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked documents stays."""
     return ngram_join.keep_one(docs)
 
 
+@bounded
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap a benchmark item go."""
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@bounded
 def mixture_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's weight asks."""
     return mixing.mix(docs)
 
 
+@bounded
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixture as compressed token packs, read back: doc_id, start,
     n_tokens, ids_crc32 of each copy."""

@@ -254,3 +254,30 @@ def test_queries_match_their_sql(spark, name):
     cols = [d[0] for d in res.description]
     assert sorted(cols) == sorted(df.columns)
     assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of(cols, res.fetchall())
+
+
+def test_a_bucket_is_worked_on_in_parts(monkeypatch):
+    import tracemalloc
+    cut, none = (0, 8), np.zeros(0, np.int64)
+    rng = np.random.default_rng(3)
+    words = [" ".join(map(str, rng.integers(0, 400, 60))) for _ in range(200)]
+    texts = [" ".join(words[i % 200: i % 200 + 3]) + f" {i}" for i in range(2000)] + ["a b c d e f", "a b c d e g f"]
+
+    def lists():
+        first = list(ngram_join._deal("text", 5, 2, none.view(np.uint64), cut)([pa.record_batch({"text": texts})]))
+        dealt = [r for b in first for r in b.to_pylist()]
+        met = [r for d in range(2) for b in ngram_join._count(2, 8)([ngram_join._packed([tuple(r.values()) for r in dealt if r["dest"] == d])])
+               for r in b.to_pylist()]
+        rows, most = [], 0
+        for d in range(2):
+            of = ngram_join._packed([tuple(r.values()) for r in met if r["dest"] == d])
+            tracemalloc.start()
+            got = list(ngram_join._list(80, 12, none.view(np.uint64), none, cut)([of]))
+            most = max(most, tracemalloc.get_traced_memory()[1])
+            tracemalloc.stop()
+            rows += [tuple(r.values()) for b in got for r in b.to_pylist()]
+        return sorted(rows), most
+    whole, peak = lists()
+    monkeypatch.setattr(ngram_join, "AT_ONCE", 5000)
+    parts, less = lists()
+    assert parts == whole and len({r[3] for r in whole}) > 1000 and less < 0.6 * peak

@@ -2,10 +2,12 @@
 
 import re
 
+import pyarrow as pa
+
 import __spark_entry__ as E
 import corpus_pipeline
 from tests.conftest import SF0001
-from viewlens.llm.common import documents, land
+from viewlens.llm.common import BATCH_BYTES, documents, land
 
 from tests.llm.test_pairs import brute, overlaps
 
@@ -42,3 +44,19 @@ def test_every_query_is_registered():
     for n in range(1, 11):
         assert sum(k.startswith(f"op{n}_") for k in names) == 1
     assert "pipeline" in names
+
+
+def test_stages_send_batches_of_bounded_bytes(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    rows = spark.range(0, 4000, 1, 1).selectExpr("id AS doc_id", "repeat('word and more ', 400) AS text", "'en' AS lang", "'s' AS source")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows], "size": [b.nbytes]})
+    try:
+        corpus_pipeline.STAGES[3][1](spark, rows, SF0001)
+        got = rows.mapInArrow(sizes, "n long, size long").collect()
+    finally:
+        spark.conf.unset(key)
+    assert sum(r.n for r in got) == 4000 and max(r.size for r in got) < 2 * BATCH_BYTES

@@ -15,6 +15,9 @@ from viewlens.session import scratch_path
 #: Largest table (rows of a few numbers) that is broadcast; counted first.
 BROADCAST_ROWS = 500_000
 
+#: Bytes of rows that go to a Python worker at a time.
+BATCH_BYTES = 4 << 20
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -27,6 +30,16 @@ def land(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches of BATCH_BYTES between executors and their Python workers, in
+    place of 10,000 rows however long, unless the session sets a size. Both
+    sides hold batches beside the heap, and little of it is given back while
+    a session lasts."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it counts at most ``rows`` rows, else
     unchanged: the join then shuffles. ``df`` should be landed and narrow."""

@@ -48,6 +48,8 @@ from viewlens.session import drop_scratch, scratch_path
 #: Shingles in a map chunk and in a reduce bucket.
 CHUNK = 500_000
 BUCKET = 2_000_000
+#: Shingles of a reduce bucket that are unpacked and sorted at a time.
+AT_ONCE = 250_000
 #: A shingle with more than this share of all shingle occurrences is hot: it
 #: is ordered last and has no counting bucket. At most HOT of them exist.
 HOT = 8192
@@ -125,6 +127,12 @@ def short_cut(classes: DataFrame, n: int, width: int = 0) -> tuple[int, int]:
     raise RuntimeError("no eight bytes of the keys are distinct")
 
 
+def _turn(hashes: np.ndarray, turns: int) -> np.ndarray:
+    """In which of ``turns`` passes over a bucket a hash is worked on."""
+    with np.errstate(over="ignore"):
+        return (hashes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(turns)
+
+
 def _keys_column(keys: np.ndarray) -> pa.Array:
     """Class keys for Arrow (numpy strips zero bytes from single strings)."""
     raw = pa.py_buffer(np.ascontiguousarray(keys).tobytes())
@@ -260,10 +268,15 @@ def _deal(text: str, k: int, buckets: int, hot: np.ndarray, cut: tuple[int, int]
 def _count(buckets: int, width: int):
     """Document frequency of each shingle of a bucket; those of two classes
     or more go to the buckets of their classes."""
-    def bucket(src, parts):
-        toks = np.concatenate([np.frombuffer(p[2], np.uint64) for p in parts])
-        keys = np.concatenate([np.repeat(_from_bytes(p[0], width), np.frombuffer(p[1], np.uint8))
-                               for p in parts])
+    def shared(parts, turn, turns):
+        """Shingles of this turn that several classes have, with these."""
+        toks, keys = [], []
+        for names, counts, part in parts:
+            t, c = np.frombuffer(part, np.uint64), np.repeat(_from_bytes(names, width), np.frombuffer(counts, np.uint8))
+            mine = _turn(t, turns) == turn if turns > 1 else slice(None)
+            toks.append(t[mine])
+            keys.append(c[mine])
+        toks, keys = np.concatenate(toks), np.concatenate(keys)
         order = np.argsort(toks, kind="stable")
         at, m = _runs(toks[order])
         order = order[np.repeat(m >= 2, m)]
@@ -271,12 +284,16 @@ def _count(buckets: int, width: int):
         order = np.lexsort((keys, toks))
         toks, keys = toks[order], keys[order]
         if not len(toks):
-            return
+            return toks, keys, np.zeros(0, np.uint32)
         new = np.concatenate(([True], (toks[1:] != toks[:-1]) | (keys[1:] != keys[:-1])))
         toks, keys = toks[new], keys[new]
         at, m = _runs(toks)
         df = np.repeat(m, m)
-        toks, keys, df = toks[df >= 2], keys[df >= 2], df[df >= 2].astype(np.uint32)
+        return toks[df >= 2], keys[df >= 2], df[df >= 2].astype(np.uint32)
+
+    def bucket(src, parts):
+        turns = max(1, ceil(sum(len(p[2]) for p in parts) / (8 * AT_ONCE)))
+        toks, keys, df = (np.concatenate(c) for c in zip(*(shared(parts, i, turns) for i in range(turns))))
         home = _home(keys, buckets)
         order = np.lexsort((keys, home))
         toks, keys, df, home = toks[order], keys[order], df[order], home[order]
@@ -318,20 +335,29 @@ def _list(percent: int, x: int, hot: np.ndarray, hot_rank: np.ndarray, cut: tupl
         n = np.concatenate([np.frombuffer(p[4], np.uint32) for p in meta]).astype(np.int64)
         name0, first = np.unique(_names(keys, cut), return_index=True)
         key0, n0 = keys[first], n[first]
+        turns = max(1, ceil(sum(len(p[3]) for p in parts) / (8 * AT_ONCE)))
+        for turn in range(turns):
+            yield from classes(parts, turn, turns, name0, key0, n0)
+
+    def classes(parts, turn, turns, name0, key0, n0):
         own, tok, df = [], [], []
         for src, ks, cs, ts, nums in parts:
             if src < 0:
                 ks, cs = _names(np.frombuffer(ks, "S16"), cut), np.frombuffer(cs, np.uint32)
             else:
                 ks, cs = _from_bytes(ks, cut[1]), np.frombuffer(cs, np.uint8)
+            mine = slice(None)
+            if turns > 1:
+                its = _turn(ks, turns) == turn
+                mine, ks, cs = np.repeat(its, cs), ks[its], cs[its]
             own.append(np.repeat(np.searchsorted(name0, ks), cs))
             if src < 0:
-                ids = np.frombuffer(ts, np.uint64).astype(np.int64)
+                ids = np.frombuffer(ts, np.uint64)[mine].astype(np.int64)
                 tok.append(hot[ids].view(np.int64))
                 df.append((1 << 40) + hot_rank[ids] if len(ids) else ids)
             else:
-                tok.append(np.frombuffer(ts, np.int64))
-                df.append(np.frombuffer(nums, np.uint32).astype(np.int64))
+                tok.append(np.frombuffer(ts, np.int64)[mine])
+                df.append(np.frombuffer(nums, np.uint32)[mine].astype(np.int64))
         own, tok, df = np.concatenate(own), np.concatenate(tok), np.concatenate(df)
         if not len(own):
             return
