@@ -6,8 +6,9 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, models, normalizers, pre_tokenizers
 
 from viewlens.llm import tokens, warc
 from viewlens.session import scratch_path
@@ -119,3 +120,34 @@ def test_no_documents(spark):
     path = scratch_path(spark, "tokens")
     tokens.write(spark.createDataFrame([], "doc_id long, text string"), path, VOCAB)
     assert tokens.read(spark, path).count() == 0
+
+
+def encoded(enc, rows, limit=1 << 20):
+    return [list(np.frombuffer(i, "<u2")) for part in tokens._slices(pa.array(rows, pa.string()), limit) for i in enc.batch(part)]
+
+
+def test_words_in_any_case_and_before_any_mark_are_encoded_once():
+    words = [f"w{a}{b}" for a in "abcdefg" for b in "hijklmn"]
+    rows = [f"{case(w)}{tail} {w}" for w in words for case in (str.lower, str.title, str.upper) for tail in ("", ",", ".", "!!")]
+    enc, tok = tokens.Encoder(VOCAB, 2, 2), Tokenizer.from_file(VOCAB)
+    assert encoded(enc, rows) == [tok.encode(r, add_special_tokens=False).ids + [2] for r in rows]
+    assert enc.parts and len(enc.known) <= len(words) + 4
+
+
+@pytest.mark.parametrize("limit", [50, 1 << 20])
+def test_words_apart_give_the_ids_of_the_whole_text(monkeypatch, limit):
+    monkeypatch.setattr(tokens, "CACHE", 20)  # words are met again in the older generation
+    rows = ["", None, " ", "\n\n", "The END. the end", "Fin<|ENDOFTEXT|>, Fin<|endoftext|>, x|> A.", "<|startoftext|>", "I\u0338\u0307 I",
+            "A\u0301, E\u0301. a", "X\u0130, \u0130x, \u212a.", "\u03a3\u0391\u03a3, \ufb01!", "don't, 'Tis s', s'.", "Tab\tTab, a\x1cB.", "a.b. c,d", "A,\nB!\nC",
+            "1a, 2\u00bd, a2.", "\u00c4h, \u00e4h", "\U0001f600. Z\u200d,", "x," * 40] * 3
+    enc, tok = tokens.Encoder(VOCAB, 2, 2), Tokenizer.from_file(VOCAB)
+    assert encoded(enc, rows, limit) == [tok.encode(r or "", add_special_tokens=False).ids + [2] for r in rows]
+
+
+def test_shortcuts_that_a_vocabulary_disproves_are_left(tmp_path):
+    tok = Tokenizer(models.WordLevel({w: i + 3 for i, w in enumerate(["?", "one", "two", "two,", ",", "three"])}, unk_token="?"))
+    tok.normalizer, tok.pre_tokenizer = normalizers.Lowercase(), pre_tokenizers.WhitespaceSplit()
+    tok.save(str(tmp_path / "words.json"))
+    enc, rows = tokens.Encoder(str(tmp_path / "words.json"), 2, 2), ["One two, three", "three TWO,"]
+    assert encoded(enc, rows) == [[4, 6, 8, 2], [8, 6, 2]]
+    assert enc.words and not enc.parts

@@ -17,13 +17,16 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import string
 import unicodedata
 import zlib
 from array import array
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +51,9 @@ _LOADED: dict[str, object] = {}
 #: that part words from punctuation (checked, see ``Encoder``): all but the
 #: apostrophe of contractions and the "<" of special tokens.
 _PUNCTUATION = "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
+#: Such punctuation after an ASCII letter, at the end of a word.
+_TAIL = rf"([A-Za-z])([{re.escape(_PUNCTUATION)}]+)( |\z)"
+_LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 _NONE = "\uffff"
 
 
@@ -75,24 +81,33 @@ def _load(path: str):
 
 
 class Encoder:
-    """Ids of a text, serialised, by its words between blanks and line feeds;
-    words seen lately are looked up (two generations of at most CACHE).
+    """Ids of a text, serialised, by its words between blanks and line feeds.
+    Arrow splits the texts and numbers the different words; these alone are
+    looked up among the words seen lately (two generations of at most CACHE)
+    or encoded, and Arrow lines their ids up again.
 
     Whether words can be encoded apart is asked of the tokenizer itself, on
     a probe: if not (byte-level vocabularies whose tokens start with a
-    blank), texts are encoded whole. Likewise the shortcuts for a word of
-    letters and punctuation are checked on the first words of every task.
+    blank), texts are encoded whole. Likewise the shortcuts are checked on
+    the first words of every task: whole texts get their ASCII letters
+    lower-cased and the punctuation at a word's end parted from the ASCII
+    letter before it, which leaves fewer different words, and words of
+    letters and punctuation go straight to the model. A text that holds an
+    added token, in whatever case, or a combining mark on an ASCII letter
+    (some compose with capitals only) keeps its words as they are.
     """
 
     def __init__(self, tokenizer: str, end_id: int, width: int = 4):
         self.tok, self.kind = _load(tokenizer), {2: "H", 4: "I"}[width]
         self.letters = _Letters(self.tok)
         self.ascii_lower = all(self.letters[ord(c)] == c.lower() for c in string.ascii_letters)
+        added = [re.escape(t.content.translate(_LOWER)) for t in self.tok.get_added_tokens_decoder().values()]
+        self.aside = "|".join([*added, r"[a-z]\p{M}"])
         self.end = self._pack([end_id])
         ids = lambda t: self.tok.encode(t, add_special_tokens=False).ids
         self.words = ids("One two,\nthree") == ids("One") + ids("two,") + ids("three") and not ids(" ") and not ids("\n")
-        self.known, self.old, self.pieces = {}, {}, {}
-        self.parts, self.checked = True, 0
+        self.known, self.old = {}, {}
+        self.parts, self.checked = True, set()
 
     def _pack(self, ids) -> bytes:
         return array(self.kind, ids).tobytes()
@@ -106,10 +121,7 @@ class Encoder:
             piece = head.translate(self.letters)
         else:
             return None
-        got = self.pieces.get(piece)
-        if got is None and _NONE not in piece:
-            got = self.pieces[piece] = array(self.kind, [t.id for t in self.tok.model.tokenize(piece)]).tobytes()
-        return got
+        return None if _NONE in piece else self._pack([t.id for t in self.tok.model.tokenize(piece)])
 
     def _shortcut(self, word: str) -> bytes | None:
         """Ids of letters and ASCII punctuation after them, else None."""
@@ -127,20 +139,12 @@ class Encoder:
             end = self.known[tail] = self._pack(self.tok.encode(tail, add_special_tokens=False).ids)
         return out + end
 
-    def _learn(self, new: set[str]) -> None:
+    def _learn(self, new: list[str]) -> None:
         known, old, slow = self.known, self.old, []
         for w in new:
             got = old.get(w)
             if got is None and self.parts:
                 got = self._shortcut(w)
-                if got is not None and self.checked < CHECKED:
-                    self.checked += 1
-                    if got != self._pack(self.tok.encode(w, add_special_tokens=False).ids):
-                        self.parts, got = False, None
-                        known.clear()
-                        old.clear()
-                        slow = [v for v in new]
-                        break
             if got is None:
                 slow.append(w)
             else:
@@ -150,24 +154,55 @@ class Encoder:
             for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
                 known[w] = self._pack(e.ids)
 
-    def batch(self, texts: list[str]) -> list[bytes]:
+    def _split(self, texts: pa.Array) -> pa.Array:
+        """The words of each text."""
+        texts = pc.replace_substring(texts, "\n", " ")
+        if self.parts:
+            low = pc.ascii_lower(texts)
+            short = pc.replace_substring_regex(low if self.ascii_lower else texts, _TAIL, r"\1 \2\3")
+            texts = pc.if_else(pc.match_substring_regex(low, self.aside), texts, short)
+        return pc.split_pattern(texts, " ")
+
+    def _encode(self, texts: pa.Array) -> list[bytes]:
+        docs = self._split(texts)
+        coded = docs.values.dictionary_encode()
+        words, known = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), self.known
+        self._learn([w for w in words if w not in known])
+        ids = pa.array([known[w] for w in words] + [self.end], pa.large_binary())
+        ends = docs.offsets.to_numpy()[1:]
+        out = ids.take(pa.array(np.insert(coded.indices.to_numpy(), ends, len(words))))
+        _, offsets, data = out.buffers()
+        at = np.frombuffer(offsets, np.int64)[ends + np.arange(1, len(ends) + 1)].tolist()
+        return [data[lo:hi].to_pybytes() for lo, hi in zip([0, *at], at)]
+
+    def _check(self, texts: pa.Array) -> None:
+        """Go without the shortcuts if the first words they are for disprove them."""
+        first = islice((w for t in texts for w in t.as_py().replace("\n", " ").split(" ")), 20 * CHECKED)
+        words = [w for w in dict.fromkeys(first) if w not in self.checked and w.rstrip(_PUNCTUATION).isalpha()]
+        words = words[:CHECKED - len(self.checked)]
+        self.checked.update(words)
+        want = self.tok.encode_batch_fast(words, add_special_tokens=False)
+        if words and self._encode(pa.array(words, pa.large_string())) != [self._pack(e.ids) + self.end for e in want]:
+            self.parts, self.known, self.old = False, {}, {}
+
+    def batch(self, texts: pa.Array) -> list[bytes]:
         """Serialised ids of each text, the end id included."""
         if not self.words:
-            return [self._pack(e.ids) + self.end for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+            return [self._pack(e.ids) + self.end
+                    for e in self.tok.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
         if len(self.known) > CACHE:  # words of this batch come over as they are met
-            self.known, self.old, self.pieces = {}, self.known, {}
-        known = self.known
-        self._learn({w for w in set().union(*split) if w not in known})
-        return [b"".join([known[w] for w in ws]) + self.end for ws in split]
+            self.known, self.old = {}, self.known
+        if self.parts and len(self.checked) < CHECKED:
+            self._check(texts)
+        return self._encode(texts)
 
 
-def _slices(column, limit: int = 1 << 20):
+def _slices(column, limit: int = 2 << 20):
     """Texts of an Arrow column, about ``limit`` bytes at a time."""
     column = column.fill_null("")
     _, offsets = text_buffers(column)
     for lo, hi in doc_slices(offsets, limit):
-        yield column.slice(lo, hi - lo).to_pylist()
+        yield column.slice(lo, hi - lo).cast(pa.large_string())
 
 
 def train(docs: DataFrame, tokenizer: str, width: int, end_id: int, id_col: str, text: str,
