@@ -244,6 +244,33 @@ def test_decontamination_matches_brute_force(spark):
     assert not any(r.contaminated for r in decontaminate.flag(docs, tests.limit(0)).collect())
 
 
+def test_long_texts_and_many_items_are_held_in_parts(spark, monkeypatch):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(3000)]
+    items = [(0, " ".join(rng.choices(words, k=20))), (1, " ".join(rng.choices(words, k=500))), (2, "short one here"), (3, "never seen")]
+    w = rng.choices(words, k=30000)
+    passage, part = items[0][1].split(), items[1][1].split()[200:213]
+    part[6] = "zz"
+    for at, put in ((250, passage), (5000, "short one here".split()), (12540, part), (29980, passage)):
+        w[at: at + len(put)] = put
+    texts = [" ".join(w), " ".join(w[12000:13000]), " ".join(w[4000:5002])]
+    texts += [" ".join(rng.choices(words, k=n)) for n in (255, 256, 257, 263, 264, 300)]
+    for edge in range(244, 260):
+        t = rng.choices(words, k=300)
+        t[edge: edge + 13] = part
+        texts.append(" ".join(t))
+    docs, tests = table(spark, texts), spark.createDataFrame(items, "item_id long, text string")
+    want = [(i, sorted(overlaps(t, items))) for i, t in enumerate(texts)]
+    # before, each of a text's 30,000 starts kept all of its tokens in memory at once
+    got = decontaminate.flag(docs, tests).collect()
+    assert sorted((r.doc_id, r["items"]) for r in got) == want and want[0][1] == [0, 1, 2] and all(x[1] for x in want[9:])
+    monkeypatch.setattr(decontaminate, "BLOCK_TOKENS", 3)
+    many = decontaminate.contaminated(docs, tests)
+    # before, each block of items was broadcast, all at once
+    assert many._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange") < 8
+    assert sorted((r.doc_id, r["items"]) for r in many.collect()) == [x for x in want if x[1]]
+
+
 @pytest.mark.parametrize("name", ["op1_warc_chunked_records", "op7_ngram_jaccard_join", "op9_source_mixture"])
 def test_queries_match_their_sql(spark, name):
     con = duckdb.connect()
